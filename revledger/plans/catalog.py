@@ -5,3 +5,4 @@ from __future__ import annotations
 
 def load() -> None:
     from revledger.plans import ledger_queries  # noqa: F401
+    from revledger.plans import graph_queries  # noqa: F401

@@ -11,6 +11,8 @@ The views only shape input rows. None of them does an operator's work.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from revledger.session import TABLES, read_table
@@ -59,8 +61,8 @@ where k = 1
 
 _view("fx_nodes", ("orders",), """
 select o_custkey as application, o_orderpriority as priority, o_orderstatus as status,
-       row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as rev,
-       count(*) over (partition by o_custkey) as target_rev
+       cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as bigint) as rev,
+       cast(count(*) over (partition by o_custkey) as bigint) as target_rev
 from {orders}
 """)
 
@@ -74,7 +76,7 @@ where rev + 2 <= target_rev and priority in ('1-URGENT', '2-HIGH')
 _view("fx_starts", ("fx_nodes",), """
 select application, rev as from_rev, target_rev from {fx_nodes}
 union all
-select distinct application, 0, target_rev from {fx_nodes}
+select distinct application, cast(0 as bigint), target_rev from {fx_nodes}
 """)
 
 # migration descriptors in their nested shape: one row per (application, revision)
@@ -249,12 +251,13 @@ def duckdb_sql(query: str, uses: tuple[str, ...]) -> str:
     ident = {n: n for n in list(VIEWS) + list(TABLES)}
     body = _dialect(query.strip(), "duckdb")
     head = "with "
-    low = body.lower()
-    if low.startswith("with recursive "):
-        head, body = "with recursive ", body[len("with recursive "):]
+    rec = re.match(r"(?i)with\s+recursive\s+", body)
+    plain = re.match(r"(?i)with\s+", body)
+    if rec:
+        head, body = "with recursive ", body[rec.end():]
         ctes.append("")
-    elif low.startswith("with "):
-        body = body[len("with "):]
+    elif plain:
+        body = body[plain.end():]
         ctes.append("")
     if not ctes:
         return body.format(**ident)
