@@ -56,10 +56,12 @@ def inherit_type(child: DataFrame, parent: DataFrame, child_key: str, parent_key
 
 def inherited(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str,
               child_type: str = "type", parent_type: str = "type") -> DataFrame:
-    """Children whose type differs from a parent that has one (A4)."""
+    """Children whose own type differs from a parent that has one (A4). A
+    child without a type inherits the parent's, so it never conflicts."""
     p = parent.select(F.col(parent_key).alias("_pk"), F.col(parent_type).alias("parent_type"))
     j = child.join(p, child[child_key] == p["_pk"], "inner")
-    bad = F.col("parent_type").isNotNull() & ~F.col(child_type).eqNullSafe(F.col("parent_type"))
+    bad = (F.col("parent_type").isNotNull() & F.col(child_type).isNotNull()
+           & (F.col(child_type) != F.col("parent_type")))
     return j.filter(bad).drop("_pk")
 
 

@@ -6,3 +6,6 @@ from __future__ import annotations
 def load() -> None:
     from revledger.plans import ledger_queries  # noqa: F401
     from revledger.plans import graph_queries  # noqa: F401
+    from revledger.plans import grant_queries  # noqa: F401
+    from revledger.plans import routing_queries  # noqa: F401
+    from revledger.plans import check_queries  # noqa: F401

@@ -202,6 +202,89 @@ from {orders} where o_orderstatus = 'O'
 """)
 
 
+# parents of hosts: one per market segment, its type the smallest nation
+# key of the segment; BUILDING declares no type
+_view("fx_segments", ("customer",), """
+select c_mktsegment as segment,
+       case when c_mktsegment = 'BUILDING' then null else cast(min(c_nationkey) as string) end as type
+from {customer} group by c_mktsegment
+""")
+
+# per schemas type: which single-script phases it declares
+_view("fx_groups", ("nation",), """
+select cast(n_nationkey as string) as schemas_type, n_nationkey % 2 = 0 as has_init,
+       n_nationkey % 3 = 0 as has_late, n_nationkey % 5 = 0 as has_safeguard
+from {nation}
+""")
+
+_view("fx_param_hosts", ("events",), """
+select event_id as host_id, concat(event_type, '-', cast(user_id as string)) as name,
+       event_type as type, props as params
+from {events}
+""")
+
+_view("fx_settings_clusters", ("fx_settings_compat",), """
+select application, array_agg(revision) as compatible from {fx_settings_compat} group by application
+""")
+
+# recorded schema lists per customer (one per order) and declared lists
+# (one own schema and one shared by the market segment; every 7th declares none)
+_view("fx_recorded", ("orders",), """
+select o_custkey as application, array_agg(concat('s', cast(o_orderkey as string))) as schemas
+from {orders} group by o_custkey
+""")
+
+_view("fx_declared", ("customer",), """
+select c_custkey as application,
+       case when c_custkey % 7 = 0 then null
+            else @ARRAY@(concat('s', cast(c_custkey as string)), concat('x', c_mktsegment)) end as schemas
+from {customer}
+""")
+
+_view("fx_routines", ("part",), """
+select concat('s', cast(p_partkey as string)) as schema_name, p_name as routine_name, p_type as args
+from {part}
+""")
+
+_view("fx_versions", ("customer",), """
+select c_custkey as application,
+       case when c_acctbal < 0 then 'PostgreSQL 9.6.24 on x86_64'
+            when c_acctbal < 3000 then 'PostgreSQL 10.23 on x86_64'
+            when c_acctbal < 6000 then 'PostgreSQL 100.1 on x86_64'
+            else 'PostgreSQL 16.2 on x86_64' end as server_version
+from {customer}
+""")
+
+# include groups for pinned ordering: group = language, include dirs =
+# sources (dir_pos from the source number), file name = document id
+_view("fx_files", ("documents",), """
+select lang as grp, source as dir, cast(substr(source, 4) as int) as dir_pos,
+       concat(cast(doc_id as string), '.sql') as name, doc_id as file_id
+from {documents}
+""")
+
+# pins of the 'en' group: good documents first, toxic ones last
+_view("fx_pins", ("labels",), """
+select 'en' as grp, concat(cast(doc_id as string), '.sql') as name,
+       case when toxic = 1 then 'last' else 'first' end as which, doc_id as pin_pos
+from {labels} where toxic = 1 or quality = 1
+""")
+
+_view("fx_roots", ("pages",), """
+select distinct concat('src', cast(page_id % 7 as string), '/',
+                       case when page_id % 2 = 0 then 'en' else 'fr' end) as root
+from {pages}
+""")
+
+_view("fx_list_fields", ("pages",), """
+select page_id,
+       case when page_id % 5 = 0 then null
+            when page_id % 2 = 0 then concat('["', url, '", "p', cast(page_id as string), '"]')
+            else url end as field
+from {pages}
+""")
+
+
 def _dialect(sql: str, dialect: str) -> str:
     for token, value in DIALECT[dialect].items():
         sql = sql.replace(token, value)
