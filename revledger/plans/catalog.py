@@ -9,3 +9,4 @@ def load() -> None:
     from revledger.plans import grant_queries  # noqa: F401
     from revledger.plans import routing_queries  # noqa: F401
     from revledger.plans import check_queries  # noqa: F401
+    from revledger.plans import script_queries  # noqa: F401
