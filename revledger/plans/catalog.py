@@ -10,3 +10,5 @@ def load() -> None:
     from revledger.plans import routing_queries  # noqa: F401
     from revledger.plans import check_queries  # noqa: F401
     from revledger.plans import script_queries  # noqa: F401
+    from revledger.plans import layout_queries  # noqa: F401
+    from revledger.plans import stream_queries  # noqa: F401

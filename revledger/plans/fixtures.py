@@ -285,6 +285,19 @@ from {pages}
 """)
 
 
+# the old layout: keyed by application only
+_view("fx_legacy_history", ("fx_history",), """
+select revision_history_id as id, application, datetime, revision, comment from {fx_history}
+""")
+
+_view("fx_legacy_current", ("fx_legacy_history",), """
+select application, datetime, revision, comment
+from (select *, row_number() over (partition by application order by id desc) as k
+      from {fx_legacy_history}) x
+where k = 1
+""")
+
+
 def _dialect(sql: str, dialect: str) -> str:
     for token, value in DIALECT[dialect].items():
         sql = sql.replace(token, value)
@@ -310,6 +323,11 @@ class Fixtures:
         return self._frames[name]
 
 
+def view_over(spark: SparkSession, name: str, **frames: DataFrame) -> DataFrame:
+    """Fixture view ``name`` over the given frames (streaming ones too)."""
+    return spark.sql(_dialect(VIEWS[name][0], "spark"), **frames)
+
+
 def _closure(names) -> list[str]:
     order: list[str] = []
 
