@@ -14,8 +14,8 @@ def scan_scripts(spark: SparkSession, roots: list[str], suffix: str = ".sql") ->
     the file source; nothing is listed on the driver by hand."""
     out = None
     for root in roots:
-        df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-              .option("pathGlobFilter", f"*{suffix}").text(root)
+        df = (spark.read.option("recursiveFileLookup", True)
+              .option("pathGlobFilter", f"*{suffix}").text(root, wholetext=True)
               .select(F.col("_metadata.file_path").alias("_full"), F.col("value").alias("text")))
         base = root.rstrip("/")
         rel = F.regexp_replace(F.col("_full"), r"^(file:)?/*" + base.lstrip("/") + "/", "")
