@@ -3,8 +3,9 @@ W2 / W3 / A6 / O1).
 
 ``row_number() over (partition by g order by o)`` sends every row of one
 group to one task, and without ``partition by`` it sends the whole table to
-one task. Here rows are range-partitioned on (group, order) instead, so a hot
-group is spread over many partitions; each partition reports one small
+one task. That is kept only for groups whose size is checked to be under a
+limit. Rows of hot groups (and a global numbering) are range-partitioned
+on (group, order) instead, so a hot group is spread over many partitions; each partition reports one small
 summary row per group it holds, and prefix sums over those summaries (at
 most one row per partition per group) give every row its offset.
 
@@ -46,11 +47,41 @@ def _null_safe_on(left: DataFrame, right: DataFrame, names: list[str]) -> Column
     return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
 
 
+# groups with more rows than this are numbered by range partitioning; the
+# rest by a window partitioned on the group (each such task is bounded)
+GROUP_ROW_LIMIT = 1_000_000
+
+
 def number_rows(df: DataFrame, group_cols: list[str], order_cols: list, out_col: str,
-                start: int = 1) -> DataFrame:
+                start: int = 1, group_row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
     """Add ``out_col`` = start, start+1, … within each group in ``order_cols``
-    order (the order must be total inside a group for a repeatable result)."""
+    order (the order must be total inside a group for a repeatable result).
+
+    Group sizes are counted first (a partial aggregate). Hot groups, those
+    over ``group_row_limit`` rows, are at most rows / limit in number, so
+    their key list is broadcast to split them off; they are numbered by
+    range partitioning. All other groups use ``row_number`` over a window
+    partitioned by the group, which never holds more than the limit."""
     group_cols = list(group_cols)
+    if not group_cols:
+        return _number_by_range(df, [], order_cols, out_col, start)
+    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_sq_size"))
+    hot = sizes.filter(F.col("_sq_size") > group_row_limit).select(*group_cols)
+    hot = hot.checkpoint(eager=True)
+    w = Window.partitionBy(*group_cols).orderBy(*_cols(order_cols))
+    if hot.isEmpty():
+        return df.withColumn(out_col, (F.row_number().over(w) + F.lit(start - 1)).cast("long"))
+    hk = F.broadcast(hot.select(*[F.col(g).alias(f"_hk_{g}") for g in group_cols]))
+    on = reduce(lambda a, b: a & b, [df[g].eqNullSafe(hk[f"_hk_{g}"]) for g in group_cols])
+    hot_rows = df.join(hk, on, "left_semi")
+    cold_rows = df.join(hk, on, "left_anti")
+    numbered_cold = cold_rows.withColumn(
+        out_col, (F.row_number().over(w) + F.lit(start - 1)).cast("long"))
+    return numbered_cold.unionByName(_number_by_range(hot_rows, group_cols, order_cols, out_col, start))
+
+
+def _number_by_range(df: DataFrame, group_cols: list[str], order_cols: list, out_col: str,
+                     start: int) -> DataFrame:
     tagged = _tag(df, _cols(group_cols) + _cols(order_cols))
     summary = tagged.groupBy(_PID, *group_cols).agg(
         F.count(F.lit(1)).alias(_N), F.min(_POS).alias(_FIRST)
@@ -79,12 +110,13 @@ def assign_ids(df: DataFrame, order_cols: list, id_col: str, start: int) -> Data
 
 
 def previous_in_group(df: DataFrame, group_cols: list[str], order_cols: list,
-                      value_cols: list[str], prefix: str = "prev_") -> DataFrame:
+                      value_cols: list[str], prefix: str = "prev_",
+                      group_row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
     """``lag`` of ``value_cols`` inside each group, as an equi-join on
     (group, n) = (group, n + 1): both sides hash-partition on the row
     number, so a hot group does not land in one task."""
     seq = "_sq_seq"
-    numbered = number_rows(df, group_cols, order_cols, seq)
+    numbered = number_rows(df, group_cols, order_cols, seq, group_row_limit=group_row_limit)
     prev = numbered.select(
         *[F.col(g).alias(f"_pg_{g}") for g in group_cols],
         (F.col(seq) + 1).alias("_pg_seq"),

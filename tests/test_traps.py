@@ -82,12 +82,13 @@ def test_transitions_order_by_id(spark):  # W3
     assert out == [(1, None, "r1"), (5, "r1", "r5"), (9, "r5", "r9")]
 
 
-def test_numbering_spreads_a_hot_group(spark):  # T5, W2
+@pytest.mark.parametrize("limit", [1000, 10_000_000])
+def test_numbering_spreads_a_hot_group(spark, limit):  # T5, W2
     df = spark.range(0, 5000).select(
         F.when(F.col("id") < 4000, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 7)
                                                                     .cast("string"))).alias("g"),
         (F.col("id") * 7919 % 5000).alias("o"))
-    n = number_rows(df, ["g"], ["o"], "n")
+    n = number_rows(df, ["g"], ["o"], "n", group_row_limit=limit)
     bad = n.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"),
                              F.count("*").alias("c"), F.countDistinct("n").alias("d"))
     for r in bad.collect():
@@ -98,10 +99,11 @@ def test_numbering_spreads_a_hot_group(spark):  # T5, W2
     assert ids.agg(F.min("id"), F.max("id"), F.countDistinct("id")).first()[:] == (100, 5099, 5000)
 
 
-def test_previous_in_group_nulls_in_key(spark):
+@pytest.mark.parametrize("limit", [1, 1000])
+def test_previous_in_group_nulls_in_key(spark, limit):
     df = spark.createDataFrame([(None, 1, "x"), (None, 2, "y"), ("a", 1, "z")],
                                "k string, o long, v string")
-    out = rows(previous_in_group(df, ["k"], ["o"], ["v"]), "k", "o", "prev_v")
+    out = rows(previous_in_group(df, ["k"], ["o"], ["v"], group_row_limit=limit), "k", "o", "prev_v")
     assert out == srt([(None, 1, None), (None, 2, "x"), ("a", 1, None)])
 
 
