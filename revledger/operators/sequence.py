@@ -52,32 +52,38 @@ def _null_safe_on(left: DataFrame, right: DataFrame, names: list[str]) -> Column
 GROUP_ROW_LIMIT = 1_000_000
 
 
+def split_hot(df: DataFrame, group_cols: list[str], group_row_limit: int):
+    """(hot_rows, cold_rows) by group size, or (None, df) when no group is
+    over the limit. Hot groups number at most rows / limit, so their key
+    list is broadcast (no shuffle of ``df`` for the split)."""
+    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_sq_size"))
+    hot = sizes.filter(F.col("_sq_size") > group_row_limit).select(*group_cols)
+    hot = hot.checkpoint(eager=True)
+    if hot.isEmpty():
+        return None, df
+    hk = F.broadcast(hot.select(*[F.col(g).alias(f"_hk_{g}") for g in group_cols]))
+    on = reduce(lambda a, b: a & b, [df[g].eqNullSafe(hk[f"_hk_{g}"]) for g in group_cols])
+    return df.join(hk, on, "left_semi"), df.join(hk, on, "left_anti")
+
+
 def number_rows(df: DataFrame, group_cols: list[str], order_cols: list, out_col: str,
                 start: int = 1, group_row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
     """Add ``out_col`` = start, start+1, … within each group in ``order_cols``
     order (the order must be total inside a group for a repeatable result).
 
     Group sizes are counted first (a partial aggregate). Hot groups, those
-    over ``group_row_limit`` rows, are at most rows / limit in number, so
-    their key list is broadcast to split them off; they are numbered by
-    range partitioning. All other groups use ``row_number`` over a window
-    partitioned by the group, which never holds more than the limit."""
+    over ``group_row_limit`` rows, are numbered by range partitioning. All
+    other groups use ``row_number`` over a window partitioned by the group,
+    which never holds more than the limit."""
     group_cols = list(group_cols)
     if not group_cols:
         return _number_by_range(df, [], order_cols, out_col, start)
-    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_sq_size"))
-    hot = sizes.filter(F.col("_sq_size") > group_row_limit).select(*group_cols)
-    hot = hot.checkpoint(eager=True)
+    hot_rows, cold_rows = split_hot(df, group_cols, group_row_limit)
     w = Window.partitionBy(*group_cols).orderBy(*_cols(order_cols))
-    if hot.isEmpty():
-        return df.withColumn(out_col, (F.row_number().over(w) + F.lit(start - 1)).cast("long"))
-    hk = F.broadcast(hot.select(*[F.col(g).alias(f"_hk_{g}") for g in group_cols]))
-    on = reduce(lambda a, b: a & b, [df[g].eqNullSafe(hk[f"_hk_{g}"]) for g in group_cols])
-    hot_rows = df.join(hk, on, "left_semi")
-    cold_rows = df.join(hk, on, "left_anti")
-    numbered_cold = cold_rows.withColumn(
-        out_col, (F.row_number().over(w) + F.lit(start - 1)).cast("long"))
-    return numbered_cold.unionByName(_number_by_range(hot_rows, group_cols, order_cols, out_col, start))
+    cold = cold_rows.withColumn(out_col, (F.row_number().over(w) + F.lit(start - 1)).cast("long"))
+    if hot_rows is None:
+        return cold
+    return cold.unionByName(_number_by_range(hot_rows, group_cols, order_cols, out_col, start))
 
 
 def _number_by_range(df: DataFrame, group_cols: list[str], order_cols: list, out_col: str,
@@ -112,11 +118,19 @@ def assign_ids(df: DataFrame, order_cols: list, id_col: str, start: int) -> Data
 def previous_in_group(df: DataFrame, group_cols: list[str], order_cols: list,
                       value_cols: list[str], prefix: str = "prev_",
                       group_row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
-    """``lag`` of ``value_cols`` inside each group, as an equi-join on
-    (group, n) = (group, n + 1): both sides hash-partition on the row
-    number, so a hot group does not land in one task."""
+    """``lag`` of ``value_cols`` inside each group. Groups under the limit
+    use ``lag`` over a window partitioned by the group. Hot groups are
+    numbered by range and joined to themselves on (group, n) = (group,
+    n + 1): both sides hash-partition on the row number, so a hot group
+    does not land in one task."""
+    group_cols = list(group_cols)
+    hot_rows, cold_rows = split_hot(df, group_cols, group_row_limit)
+    w = Window.partitionBy(*group_cols).orderBy(*_cols(order_cols))
+    cold = cold_rows.select("*", *[F.lag(v).over(w).alias(prefix + v) for v in value_cols])
+    if hot_rows is None:
+        return cold
     seq = "_sq_seq"
-    numbered = number_rows(df, group_cols, order_cols, seq, group_row_limit=group_row_limit)
+    numbered = _number_by_range(hot_rows, group_cols, order_cols, seq, 1)
     prev = numbered.select(
         *[F.col(g).alias(f"_pg_{g}") for g in group_cols],
         (F.col(seq) + 1).alias("_pg_seq"),
@@ -125,5 +139,6 @@ def previous_in_group(df: DataFrame, group_cols: list[str], order_cols: list,
     on = [numbered[seq] == prev["_pg_seq"]] + [
         numbered[g].eqNullSafe(prev[f"_pg_{g}"]) for g in group_cols
     ]
-    out = numbered.join(prev, reduce(lambda a, b: a & b, on), "left")
-    return out.drop("_pg_seq", *[f"_pg_{g}" for g in group_cols])
+    hot = numbered.join(prev, reduce(lambda a, b: a & b, on), "left")
+    hot = hot.drop("_pg_seq", seq, *[f"_pg_{g}" for g in group_cols])
+    return cold.unionByName(hot)
