@@ -56,9 +56,10 @@ where k = 1
 def stream_push(fx):
     """Continuous clean-then-push of a push stream into a ledger (K1)."""
     root = ls.scratch(fx.spark, "push")
-    ls.stream_push(_pushes(fx), root, root + "/_checkpoint")
-    return ls.read_current(fx.spark, root).select("application", "schemas_type", "datetime",
-                                                  "revision", "comment")
+    pushes = _pushes(fx)
+    ls.stream_push(pushes, root, root + "/_checkpoint")
+    return ls.read_current(fx.spark, root, pushes.schema).select(
+        "application", "schemas_type", "datetime", "revision", "comment")
 
 
 def guard_pushes(pushes):

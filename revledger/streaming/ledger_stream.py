@@ -20,6 +20,7 @@ from revledger.operators import checks, ledger
 from revledger.operators.joins import is_small
 from revledger.operators.sequence import assign_ids
 from revledger.session import ensure_checkpoint_dir
+from revledger.sources import ledger_io
 
 KEY = ["application", "schemas_type"]
 
@@ -63,55 +64,28 @@ def stream_route(stream: DataFrame, descriptors: DataFrame, stream_key: str, des
     run_available(joined.writeStream.format("parquet").option("path", out), checkpoint)
 
 
-def _latest_snapshot(spark: SparkSession, root: str, before: int, schema) -> DataFrame:
-    """Newest current snapshot whose batch committed before ``before``. A
-    batch appends its commit row only after both of its folders are
-    written, so a half-written batch is never read."""
-    try:
-        commits = spark.read.parquet(f"{root}/commits")
-        top = commits.filter(F.col("batch_id") < before).agg(F.max("batch_id").alias("m")).first()["m"]
-    except Exception:  # noqa: BLE001 - nothing committed yet
-        top = None
-    if top is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(f"{root}/current/batch_id={top}")
-
-
-def _history_top(spark: SparkSession, root: str, before: int) -> int:
-    try:
-        h = spark.read.parquet(f"{root}/history")
-    except Exception:  # noqa: BLE001 - no batch written yet
-        return 0
-    top = h.filter(F.col("batch_id") < before).agg(F.max(ledger.ID).alias("m")).first()["m"]
-    return 0 if top is None else int(top)
-
-
 def stream_push(stream: DataFrame, root: str, checkpoint: str) -> None:
-    """K1: clean-then-push every micro-batch into the ledger at ``root``.
-
-    History rows of batch N go to ``history/batch_id=N`` with ids after the
-    largest id of earlier batches (in event-id order); then the whole
-    current table after batch N is published as ``current/batch_id=N``,
-    and last a commit row. Readers take the newest committed snapshot."""
+    """K1: clean-then-push every micro-batch into the ledger at ``root``
+    (layout and commit protocol: ``sources.ledger_io``). History ids follow
+    the largest committed id, in event-id order; the batch's newest row per
+    key replaces the stored one."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         cols = [c for c in batch.columns if c != ledger.ID]
-        rows = assign_ids(batch, [ledger.ID], "_new_id", _history_top(spark, root, batch_id) + 1)
+        rows = assign_ids(batch, [ledger.ID], "_new_id",
+                          ledger_io.history_top(spark, root, batch_id) + 1)
         hist = rows.select(F.col("_new_id").alias(ledger.ID), *cols)
-        hist.write.mode("overwrite").parquet(f"{root}/history/batch_id={batch_id}")
-        newest = ledger.latest(spark.read.parquet(f"{root}/history/batch_id={batch_id}"))
-        prev = _latest_snapshot(spark, root, batch_id, newest.schema)
+        hist = hist.checkpoint(eager=True)
+        newest = ledger.latest(hist)
+        prev = ledger_io.read_current(spark, root, newest.schema, batch_id)
         current = ledger.clean(prev, newest).unionByName(newest)
-        current.write.mode("overwrite").parquet(f"{root}/current/batch_id={batch_id}")
-        spark.range(1).select(F.lit(batch_id).cast("long").alias("committed")).write.mode(
-            "overwrite").parquet(f"{root}/commits/batch_id={batch_id}")
+        ledger_io.commit_batch(root, batch_id, current, hist)
 
     run_available(stream.writeStream.foreachBatch(write), checkpoint)
 
 
-def read_current(spark: SparkSession, root: str) -> DataFrame:
-    schema = spark.read.parquet(f"{root}/history").drop("batch_id").schema
-    return _latest_snapshot(spark, root, 1 << 62, schema)
+def read_current(spark: SparkSession, root: str, schema) -> DataFrame:
+    return ledger_io.read_current(spark, root, schema)
 
 
 GUARD_OUT = ("application string, schemas_type string, revision_history_id long, "

@@ -54,3 +54,34 @@ def test_scan_and_bundle_sink(spark):
     back = spark.read.text(out).filter("value <> ''").select("host_key", "type_key", "value")
     assert sorted(tuple(r) for r in back.collect()) == [
         ("host-one", "x", "select 1;"), ("host-one", "y-z", "select 3;")]
+
+
+def test_ledger_commit_protocol(spark):
+    import datetime
+
+    from revledger.operators import ledger
+    from revledger.schemas import LEDGER_CURRENT, LEDGER_HISTORY
+    from revledger.sources import ledger_io
+
+    root = tempfile.mkdtemp(prefix="revledger-ledger-")
+    t = datetime.datetime(2024, 1, 1)
+    empty_c = spark.createDataFrame([], LEDGER_CURRENT)
+    empty_h = spark.createDataFrame([], LEDGER_HISTORY)
+    b1 = spark.createDataFrame([("a", "t", "var", t, "r1", None, None),
+                                ("b", "t", "var", t, "r1", "c", [])], LEDGER_CURRENT)
+    cur, app, bad = ledger.push(empty_c, empty_h, b1, key=["application", "schemas_type", "kind"])
+    ledger_io.commit_batch(root, 0, cur, app)
+    b2 = spark.createDataFrame([("a", "t", "var", t, "r2", None, ["s"])], LEDGER_CURRENT)
+    prev = ledger_io.read_current(spark, root, LEDGER_CURRENT)
+    hist = ledger_io.read_history(spark, root)
+    cur2, app2, _ = ledger.replace(prev, hist, b2, key=["application", "schemas_type", "kind"])
+    ledger_io.commit_batch(root, 1, cur2.select(*LEDGER_CURRENT.names), app2)
+    # a half-written batch 2 (history only, no commit row) is invisible
+    app2.write.mode("overwrite").parquet(f"{root}/history/batch_id=2")
+    assert ledger_io.committed(spark, root) == [0, 1]
+    got = {r["application"]: (r["revision"], r["schemas"])
+           for r in ledger_io.read_current(spark, root, LEDGER_CURRENT).collect()}
+    assert got == {"a": ("r2", ["s"]), "b": ("r1", [])}  # NULL and empty arrays kept apart
+    ids = sorted(r["revision_history_id"] for r in ledger_io.read_history(spark, root).collect())
+    assert ids == [1, 2, 3]
+    assert ledger_io.history_top(spark, root) == 3
