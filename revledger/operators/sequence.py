@@ -57,10 +57,11 @@ def split_hot(df: DataFrame, group_cols: list[str], group_row_limit: int):
     over the limit. Hot groups number at most rows / limit, so their key
     list is broadcast (no shuffle of ``df`` for the split)."""
     sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_sq_size"))
+    largest = sizes.agg(F.max("_sq_size").alias("m")).first()["m"]
+    if largest is None or largest <= group_row_limit:
+        return None, df
     hot = sizes.filter(F.col("_sq_size") > group_row_limit).select(*group_cols)
     hot = hot.checkpoint(eager=True)
-    if hot.isEmpty():
-        return None, df
     hk = F.broadcast(hot.select(*[F.col(g).alias(f"_hk_{g}") for g in group_cols]))
     on = reduce(lambda a, b: a & b, [df[g].eqNullSafe(hk[f"_hk_{g}"]) for g in group_cols])
     return df.join(hk, on, "left_semi"), df.join(hk, on, "left_anti")
