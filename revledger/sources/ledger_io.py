@@ -5,6 +5,11 @@ Layout under ``root``:
   current/batch_id=N/   the whole current table after batch N
   commits/batch_id=N/   one row, written last: batch N is complete
 
+Inside each folder rows are partitioned by ``app_bucket`` (a fixed hash
+bucket of the application) and sorted by key, so a lookup of a few keys
+reads only their buckets (static or dynamic partition pruning) and row
+groups whose key range cannot match are skipped.
+
 Parquet has no transactions, so a batch writes its history rows first,
 then the new current snapshot, then its commit row; readers only take
 committed batches. Every folder is written with overwrite, so a retried
@@ -16,11 +21,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from revledger.schemas import LEDGER_HISTORY
 
 
+# fixed layout parameter: number of application hash buckets per folder
+LEDGER_BUCKETS = 64
+BUCKET = "app_bucket"
+
+
+def app_bucket(app_col="application"):
+    c = F.col(app_col) if isinstance(app_col, str) else app_col
+    return F.pmod(F.xxhash64(c), F.lit(LEDGER_BUCKETS)).cast("int")
+
+
+def _with_bucket(schema: StructType) -> StructType:
+    return StructType(schema.fields + [StructField(BUCKET, IntegerType())])
+
+
+def _write(df: DataFrame, path: str, key: list[str]) -> None:
+    (df.withColumn(BUCKET, app_bucket()).sortWithinPartitions(BUCKET, *key)
+       .write.mode("overwrite").partitionBy(BUCKET).parquet(path))
+
+
 def committed(spark: SparkSession, root: str, before: int | None = None) -> list[int]:
     try:
         c = spark.read.parquet(f"{root}/commits")
@@ -37,9 +61,9 @@ def read_history(spark: SparkSession, root: str, schema=LEDGER_HISTORY,
     done = committed(spark, root, before)
     if not done:
         return spark.createDataFrame([], schema)
-    with_batch = StructType(schema.fields + [StructField("batch_id", LongType())])
+    with_batch = StructType(_with_bucket(schema).fields + [StructField("batch_id", LongType())])
     h = spark.read.schema(with_batch).parquet(f"{root}/history")
-    return h.filter(F.col("batch_id").isin(done)).drop("batch_id")
+    return h.filter(F.col("batch_id").isin(done)).drop("batch_id", BUCKET)
 
 
 def read_current(spark: SparkSession, root: str, schema, before: int | None = None) -> DataFrame:
@@ -47,7 +71,23 @@ def read_current(spark: SparkSession, root: str, schema, before: int | None = No
     done = committed(spark, root, before)
     if not done:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/current/batch_id={done[-1]}")
+    cur = spark.read.schema(_with_bucket(schema)).parquet(f"{root}/current/batch_id={done[-1]}")
+    return cur.drop(BUCKET)
+
+
+def fetch_stored(spark: SparkSession, root: str, keys: DataFrame, schema,
+                 key=("application", "schemas_type", "kind")) -> DataFrame:
+    """Stored (revision, comment) for many keys (S1, P1): the join includes
+    the bucket column, so only the keys' bucket folders are scanned
+    (dynamic partition pruning) and the key filter reaches Parquet."""
+    key = list(key)
+    done = committed(spark, root)
+    k = keys.select(*key).distinct().withColumn(BUCKET, app_bucket())
+    if not done:
+        return k.drop(BUCKET).withColumn("revision", F.lit(None).cast("string")).withColumn(
+            "comment", F.lit(None).cast("string"))
+    cur = spark.read.schema(_with_bucket(schema)).parquet(f"{root}/current/batch_id={done[-1]}")
+    return k.join(cur.select(BUCKET, *key, "revision", "comment"), [BUCKET] + key, "left").drop(BUCKET)
 
 
 def history_top(spark: SparkSession, root: str, before: int | None = None) -> int:
@@ -55,15 +95,18 @@ def history_top(spark: SparkSession, root: str, before: int | None = None) -> in
     done = committed(spark, root, before)
     if not done:
         return 0
-    h = spark.read.parquet(f"{root}/history").filter(F.col("batch_id").isin(done))
+    h = spark.read.parquet(f"{root}/history").select("batch_id", "revision_history_id").filter(
+        F.col("batch_id").isin(done))
     top = h.agg(F.max("revision_history_id").alias("m")).first()["m"]
     return 0 if top is None else int(top)
 
 
-def commit_batch(root: str, batch_id: int, current: DataFrame, appended: DataFrame) -> None:
+def commit_batch(root: str, batch_id: int, current: DataFrame, appended: DataFrame,
+                 key=("application", "schemas_type", "kind")) -> None:
     """Write one batch: history rows, then the current snapshot, then the commit row."""
-    appended.write.mode("overwrite").parquet(f"{root}/history/batch_id={batch_id}")
-    current.write.mode("overwrite").parquet(f"{root}/current/batch_id={batch_id}")
+    key = [k for k in key if k in current.columns]
+    _write(appended, f"{root}/history/batch_id={batch_id}", key)
+    _write(current, f"{root}/current/batch_id={batch_id}", key)
     spark = current.sparkSession
     spark.range(1).select(F.lit(True).alias("complete")).write.mode("overwrite").parquet(
         f"{root}/commits/batch_id={batch_id}")

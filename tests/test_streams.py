@@ -77,7 +77,7 @@ def test_ledger_commit_protocol(spark):
     cur2, app2, _ = ledger.replace(prev, hist, b2, key=["application", "schemas_type", "kind"])
     ledger_io.commit_batch(root, 1, cur2.select(*LEDGER_CURRENT.names), app2)
     # a half-written batch 2 (history only, no commit row) is invisible
-    app2.write.mode("overwrite").parquet(f"{root}/history/batch_id=2")
+    ledger_io._write(app2, f"{root}/history/batch_id=2", ["application"])
     assert ledger_io.committed(spark, root) == [0, 1]
     got = {r["application"]: (r["revision"], r["schemas"])
            for r in ledger_io.read_current(spark, root, LEDGER_CURRENT).collect()}
@@ -85,3 +85,27 @@ def test_ledger_commit_protocol(spark):
     ids = sorted(r["revision_history_id"] for r in ledger_io.read_history(spark, root).collect())
     assert ids == [1, 2, 3]
     assert ledger_io.history_top(spark, root) == 3
+
+
+def test_fetch_prunes_buckets(spark):
+    import datetime
+
+    from revledger.operators import ledger
+    from revledger.schemas import LEDGER_CURRENT, LEDGER_HISTORY
+    from revledger.sources import ledger_io
+
+    root = tempfile.mkdtemp(prefix="revledger-fetch-")
+    t = datetime.datetime(2024, 1, 1)
+    batch = spark.createDataFrame([(f"app{i}", "t", "var", t, f"r{i}", None, None) for i in range(200)],
+                                  LEDGER_CURRENT)
+    key = ["application", "schemas_type", "kind"]
+    cur, app, _ = ledger.push(spark.createDataFrame([], LEDGER_CURRENT),
+                              spark.createDataFrame([], LEDGER_HISTORY), batch, key=key)
+    ledger_io.commit_batch(root, 0, cur, app)
+    keys = spark.createDataFrame([("app7", "t", "var"), ("nope", "t", "var")],
+                                 "application string, schemas_type string, kind string")
+    got = ledger_io.fetch_stored(spark, root, keys, LEDGER_CURRENT)
+    assert sorted((r["application"], r["revision"]) for r in got.collect()) == [
+        ("app7", "r7"), ("nope", None)]
+    one = ledger_io.read_current(spark, root, LEDGER_CURRENT)
+    assert one.count() == 200
