@@ -77,16 +77,19 @@ def read_current(spark: SparkSession, root: str, schema, before: int | None = No
 
 def fetch_stored(spark: SparkSession, root: str, keys: DataFrame, schema,
                  key=("application", "schemas_type", "kind")) -> DataFrame:
-    """Stored (revision, comment) for many keys (S1, P1): the join includes
-    the bucket column, so only the keys' bucket folders are scanned
-    (dynamic partition pruning) and the key filter reaches Parquet."""
+    """Stored (revision, comment) for many keys (S1, P1). The keys touch at
+    most ``LEDGER_BUCKETS`` buckets; that bounded list becomes a partition
+    filter, so only those bucket folders are scanned, and the join on
+    (bucket, key) needs no other pruning."""
     key = list(key)
     done = committed(spark, root)
     k = keys.select(*key).distinct().withColumn(BUCKET, app_bucket())
     if not done:
         return k.drop(BUCKET).withColumn("revision", F.lit(None).cast("string")).withColumn(
             "comment", F.lit(None).cast("string"))
+    buckets = [r[BUCKET] for r in k.select(BUCKET).distinct().collect()]
     cur = spark.read.schema(_with_bucket(schema)).parquet(f"{root}/current/batch_id={done[-1]}")
+    cur = cur.filter(F.col(BUCKET).isin(buckets))
     return k.join(cur.select(BUCKET, *key, "revision", "comment"), [BUCKET] + key, "left").drop(BUCKET)
 
 
