@@ -64,6 +64,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``revledger`` importable in Python workers (pandas UDFs and the
+    streaming state handler unpickle functions from it). The package is
+    zipped once per driver and handed to ``addPyFile``, which distributes
+    it to every executor like ``--py-files``."""
+    sc = spark.sparkContext
+    if getattr(sc, "_revledger_shipped", False):
+        return
+    import zipfile
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="revledger-py-"), "revledger.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(out)
+    sc._revledger_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from revledger.operators import checks, ledger
 from revledger.operators.joins import is_small
 from revledger.operators.sequence import assign_ids
-from revledger.session import ensure_checkpoint_dir
+from revledger.session import ensure_checkpoint_dir, ship_package
 from revledger.sources import ledger_io
 
 KEY = ["application", "schemas_type"]
@@ -120,6 +120,7 @@ def _guard_key(key, pdfs, state: GroupState):
 
 def stream_guard(stream: DataFrame, out: str, checkpoint: str) -> None:
     """K2: guarded push per key with the stored revision kept as state."""
+    ship_package(stream.sparkSession)
     guarded = stream.groupBy(*KEY).applyInPandasWithState(
         _guard_key, GUARD_OUT, GUARD_STATE, "append", GroupStateTimeout.NoTimeout)
     run_available(guarded.writeStream.format("parquet").option("path", out), checkpoint)

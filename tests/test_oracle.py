@@ -43,3 +43,18 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert {"status", "way_text"} <= set(df.columns)
+
+
+def test_entry_in_fresh_process():
+    """entry() must not depend on queries() having been called first."""
+    import subprocess
+    import sys
+    code = ("import __spark_entry__ as E\n"
+            "from pyspark.sql import SparkSession\n"
+            "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')"
+            ".getOrCreate()\n"
+            "print('ROWS', E.entry(s).count())\n")
+    root = __import__("os").path.dirname(__import__("os").path.dirname(__file__))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True,
+                         timeout=600)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
