@@ -8,9 +8,7 @@ tie by design, so history order is always the id, never ``datetime``.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revledger.operators.sequence import assign_ids, previous_in_group
@@ -19,10 +17,6 @@ KEY = ("application", "schemas_type")
 ID = "revision_history_id"
 
 
-def _on(left: DataFrame, right: DataFrame, key) -> Column:
-    return reduce(lambda a, b: a & b, [left[k] == right[k] for k in key])
-
-
 def fetch(current: DataFrame, keys: DataFrame, key=KEY) -> DataFrame:
     """Stored (revision, comment) for many keys at once; NULLs for a key with
     no stored row. Keys and ledger are joined on the key columns, so the
@@ -121,7 +115,8 @@ def push(current: DataFrame, history: DataFrame, batch: DataFrame, key=KEY, now=
 
 def replace(current: DataFrame, history: DataFrame, batch: DataFrame, key=KEY, now=None):
     """Clean-then-push (T2): the batch replaces the stored rows of its keys
-    and extends the history. Returns (new_current, appended_history)."""
+    and extends the history. Returns (new_current, appended_history,
+    conflicts); only a key repeated inside the batch can conflict."""
     key = list(key)
     kept = clean(current, batch, key)
     new_current, appended, conflicts = push(kept, history, batch, key, now)

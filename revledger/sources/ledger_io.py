@@ -45,33 +45,38 @@ def _write(df: DataFrame, path: str, key: list[str]) -> None:
        .write.mode("overwrite").partitionBy(BUCKET).parquet(path))
 
 
-def committed(spark: SparkSession, root: str, before: int | None = None) -> list[int]:
+def _commits(spark: SparkSession, root: str, before: int | None) -> DataFrame | None:
     try:
-        c = spark.read.parquet(f"{root}/commits")
+        c = spark.read.parquet(f"{root}/commits").select("batch_id")
     except Exception:  # noqa: BLE001 - nothing committed yet
-        return []
-    if before is not None:
-        c = c.filter(F.col("batch_id") < before)
-    return sorted(r["batch_id"] for r in c.select("batch_id").distinct().collect())
+        return None
+    return c if before is None else c.filter(F.col("batch_id") < before)
+
+
+def last_committed(spark: SparkSession, root: str, before: int | None = None) -> int | None:
+    """Newest committed batch id (an aggregate; the batch list stays in Spark)."""
+    c = _commits(spark, root, before)
+    return None if c is None else c.agg(F.max("batch_id").alias("m")).first()["m"]
 
 
 def read_history(spark: SparkSession, root: str, schema=LEDGER_HISTORY,
                  before: int | None = None) -> DataFrame:
-    """Committed history rows (explicit schema, partition-pruned by batch)."""
-    done = committed(spark, root, before)
-    if not done:
+    """Committed history rows (explicit schema): a semi-join with the
+    commit table drops rows of half-written batches."""
+    c = _commits(spark, root, before)
+    if c is None or last_committed(spark, root, before) is None:
         return spark.createDataFrame([], schema)
     with_batch = StructType(_with_bucket(schema).fields + [StructField("batch_id", LongType())])
     h = spark.read.schema(with_batch).parquet(f"{root}/history")
-    return h.filter(F.col("batch_id").isin(done)).drop("batch_id", BUCKET)
+    return h.join(c, "batch_id", "left_semi").drop("batch_id", BUCKET)
 
 
 def read_current(spark: SparkSession, root: str, schema, before: int | None = None) -> DataFrame:
     """Current table of the newest committed batch (before ``before``)."""
-    done = committed(spark, root, before)
-    if not done:
+    top = last_committed(spark, root, before)
+    if top is None:
         return spark.createDataFrame([], schema)
-    cur = spark.read.schema(_with_bucket(schema)).parquet(f"{root}/current/batch_id={done[-1]}")
+    cur = spark.read.schema(_with_bucket(schema)).parquet(f"{root}/current/batch_id={top}")
     return cur.drop(BUCKET)
 
 
@@ -82,25 +87,24 @@ def fetch_stored(spark: SparkSession, root: str, keys: DataFrame, schema,
     filter, so only those bucket folders are scanned, and the join on
     (bucket, key) needs no other pruning."""
     key = list(key)
-    done = committed(spark, root)
+    top = last_committed(spark, root)
     k = keys.select(*key).distinct().withColumn(BUCKET, app_bucket())
-    if not done:
+    if top is None:
         return k.drop(BUCKET).withColumn("revision", F.lit(None).cast("string")).withColumn(
             "comment", F.lit(None).cast("string"))
     buckets = [r[BUCKET] for r in k.select(BUCKET).distinct().collect()]
-    cur = spark.read.schema(_with_bucket(schema)).parquet(f"{root}/current/batch_id={done[-1]}")
+    cur = spark.read.schema(_with_bucket(schema)).parquet(f"{root}/current/batch_id={top}")
     cur = cur.filter(F.col(BUCKET).isin(buckets))
     return k.join(cur.select(BUCKET, *key, "revision", "comment"), [BUCKET] + key, "left").drop(BUCKET)
 
 
 def history_top(spark: SparkSession, root: str, before: int | None = None) -> int:
     """Largest committed history id (0 for an empty ledger)."""
-    done = committed(spark, root, before)
-    if not done:
+    c = _commits(spark, root, before)
+    if c is None:
         return 0
-    h = spark.read.parquet(f"{root}/history").select("batch_id", "revision_history_id").filter(
-        F.col("batch_id").isin(done))
-    top = h.agg(F.max("revision_history_id").alias("m")).first()["m"]
+    h = spark.read.parquet(f"{root}/history").select("batch_id", "revision_history_id")
+    top = h.join(c, "batch_id", "left_semi").agg(F.max("revision_history_id").alias("m")).first()["m"]
     return 0 if top is None else int(top)
 
 
@@ -113,3 +117,8 @@ def commit_batch(root: str, batch_id: int, current: DataFrame, appended: DataFra
     spark = current.sparkSession
     spark.range(1).select(F.lit(True).alias("complete")).write.mode("overwrite").parquet(
         f"{root}/commits/batch_id={batch_id}")
+
+
+def committed(spark: SparkSession, root: str) -> DataFrame | None:
+    """The commit table (batch_id), or None for an empty ledger."""
+    return _commits(spark, root, None)
