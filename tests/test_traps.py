@@ -324,3 +324,10 @@ def test_shared_document_at_most_one(spark):  # N21, J9
     two = spark.createDataFrame([("{}",), ("{}",)], "doc string")
     with pytest.raises(ValueError):
         routing.enrich_params(hosts, two)
+
+
+def test_numbering_empty_input(spark):
+    empty = spark.createDataFrame([], "g string, o long")
+    assert assign_ids(empty, ["o"], "id", 1).count() == 0
+    assert number_rows(empty, ["g"], ["o"], "n").count() == 0
+    assert number_rows(empty, ["g"], ["o"], "n", group_row_limit=0).count() == 0
