@@ -148,6 +148,9 @@ def test_unique_way_is_oldest_hop_first(spark, limit):
     assert rows(hops, "kind", "hop_no", "revision", "comment", "is_final") == [
         ("func", 1, "4", "done", True), ("var", 1, "2", None, False),
         ("var", 2, "3", None, False), ("var", 3, "4", "done", True)]
+    with_s = graph.expand_hops(graph.find_ways(edges, starts, group_edge_limit=limit),
+                               F.lit("done"), kinds=("var",), final_schemas=F.array(F.lit("s1")))
+    assert [r["schemas"] for r in with_s.orderBy("hop_no").collect()] == [None, None, ["s1"]]
 
 
 def test_level_loop_equals_grouped_search(spark):
