@@ -21,6 +21,11 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` when its row count is proven under ``max_rows``."""
+    return F.broadcast(df) if is_small(df, max_rows) else df
+
+
 def fanout_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
                 salt_of: Column, how: str = "inner", max_rows: int = BROADCAST_ROWS,
                 salts: int = DEFAULT_SALTS, force_salt: bool = False) -> DataFrame:

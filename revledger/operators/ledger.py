@@ -11,26 +11,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revledger.operators.joins import maybe_broadcast
 from revledger.operators.sequence import assign_ids, previous_in_group
 
 KEY = ("application", "schemas_type")
 ID = "revision_history_id"
 
 
+def _stored_rows(current: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
+    """Current rows of ``keys`` only. The key set is broadcast when its size
+    is checked small, so the (large) current table is filtered where it is
+    read instead of being shuffled."""
+    return current.join(maybe_broadcast(keys), key, "left_semi")
+
+
 def fetch(current: DataFrame, keys: DataFrame, key=KEY) -> DataFrame:
     """Stored (revision, comment) for many keys at once; NULLs for a key with
-    no stored row. Keys and ledger are joined on the key columns, so the
-    join shuffles (or, when AQE measures ``keys`` small, broadcasts)."""
+    no stored row. Current is first cut down to the requested keys, then
+    the keys are left-joined to that small remainder."""
     key = list(key)
     k = keys.select(*key).distinct()
-    c = current.select(*key, "revision", "comment")
+    c = _stored_rows(current, k, key).select(*key, "revision", "comment")
     return k.join(c, key, "left")
 
 
 def clean(current: DataFrame, keys: DataFrame, key=KEY) -> DataFrame:
     """Current rows that remain after deleting ``keys`` (history untouched)."""
     key = list(key)
-    return current.join(keys.select(*key).distinct(), key, "left_anti")
+    return current.join(maybe_broadcast(keys.select(*key).distinct()), key, "left_anti")
 
 
 def latest(history: DataFrame, key=KEY, order: str = ID) -> DataFrame:
@@ -51,7 +59,8 @@ def guard(current: DataFrame, expected: DataFrame, key=KEY,
     missing stored row equals an expected NULL."""
     key = list(key)
     e = expected.select(*key, F.col(expected_col).alias("expected_revision"))
-    c = current.select(*key, F.col("revision").alias("stored_revision"))
+    c = _stored_rows(current, e.select(*key).distinct(), key).select(
+        *key, F.col("revision").alias("stored_revision"))
     j = e.join(c, key, "left")
     return j.filter(~F.col("stored_revision").eqNullSafe(F.col("expected_revision")))
 
@@ -104,8 +113,8 @@ def push(current: DataFrame, history: DataFrame, batch: DataFrame, key=KEY, now=
     if now is not None:
         b = b.withColumn("datetime", F.lit(now))
     dup = b.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*key)
-    stored = current.select(*key).distinct()
-    bad_keys = dup.unionByName(stored.join(b.select(*key), key, "left_semi")).distinct()
+    stored = _stored_rows(current.select(*key), b.select(*key).distinct(), key)
+    bad_keys = dup.unionByName(stored).distinct()
     conflicts = b.join(bad_keys, key, "left_semi")
     accepted = b.join(bad_keys, key, "left_anti")
     appended = assign_ids(accepted, key, ID, _next_id(history)).select(ID, *cols)
