@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revledger.operators.joins import maybe_broadcast
+
 
 class IntegrityError(ValueError):
     pass
@@ -49,7 +51,8 @@ def inherit_type(child: DataFrame, parent: DataFrame, child_key: str, parent_key
                  child_type: str = "type", parent_type: str = "type",
                  out: str = "effective_type") -> DataFrame:
     """Child type defaults to its parent's."""
-    p = parent.select(F.col(parent_key).alias("_pk"), F.col(parent_type).alias("_ptype"))
+    p = maybe_broadcast(parent.select(F.col(parent_key).alias("_pk"),
+                                      F.col(parent_type).alias("_ptype")))
     j = child.join(p, child[child_key] == p["_pk"], "left")
     return j.withColumn(out, F.coalesce(F.col(child_type), F.col("_ptype"))).drop("_pk", "_ptype")
 
@@ -58,7 +61,8 @@ def inherited(child: DataFrame, parent: DataFrame, child_key: str, parent_key: s
               child_type: str = "type", parent_type: str = "type") -> DataFrame:
     """Children whose own type differs from a parent that has one (A4). A
     child without a type inherits the parent's, so it never conflicts."""
-    p = parent.select(F.col(parent_key).alias("_pk"), F.col(parent_type).alias("parent_type"))
+    p = maybe_broadcast(parent.select(F.col(parent_key).alias("_pk"),
+                                      F.col(parent_type).alias("parent_type")))
     j = child.join(p, child[child_key] == p["_pk"], "inner")
     bad = (F.col("parent_type").isNotNull() & F.col(child_type).isNotNull()
            & (F.col(child_type) != F.col("parent_type")))

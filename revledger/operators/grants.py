@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revledger.operators.joins import maybe_broadcast
+
 
 def expected_grants(declared: DataFrame, schema: str = "schema_key", owner: str = "owner",
                     grants: str = "grants") -> DataFrame:
@@ -86,8 +88,9 @@ def role_names(observed: DataFrame, roles: DataFrame, oid_cols=("grantor_oid", "
                oid: str = "oid", name: str = "rolname") -> DataFrame:
     """Role oid -> name: 0 is 'public', an unknown oid gives NULL."""
     out = observed
+    small_roles = maybe_broadcast(roles.select(oid, name))
     for c in oid_cols:
-        r = roles.select(F.col(oid).alias(f"_r_{c}"), F.col(name).alias(f"_n_{c}"))
+        r = small_roles.select(F.col(oid).alias(f"_r_{c}"), F.col(name).alias(f"_n_{c}"))
         out = out.join(r, out[c] == r[f"_r_{c}"], "left")
         label = c[:-4] if c.endswith("_oid") else c + "_name"
         out = out.withColumn(label, F.when(F.col(c) == 0, F.lit("public"))

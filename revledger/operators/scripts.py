@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revledger.operators.joins import maybe_broadcast
+
 from revledger.functions.refs import ref_name, ref_rest
 from revledger.operators.sequence import number_rows
 
@@ -39,7 +41,7 @@ def pinned_order(files: DataFrame, pins: DataFrame, inline: DataFrame | None = N
     ``files``: grp, dir, dir_pos, name. ``pins``: grp, name, which
     ('first' / 'last'), pin_pos. ``inline`` (optional): grp, name, dir_pos
     rows placed after the regular files."""
-    w = _winning_pins(pins, grp)
+    w = maybe_broadcast(_winning_pins(pins, grp))
     f = files.join(w, [grp, "name"], "left")
     bucket = (F.when(F.col("_pin_rank") == 0, F.lit(BUCKET["first"]))
               .when(F.col("_pin_rank") == 1, F.lit(BUCKET["last"]))
@@ -69,7 +71,7 @@ def unused_pins(files: DataFrame, pins: DataFrame, grp: str = "grp") -> DataFram
 def resolve_refs(includes: DataFrame, refs: DataFrame, col: str = "include") -> DataFrame:
     """Expand a leading ``${name}`` / ``$name`` (F3). Adds ref_name,
     resolved (NULL when undefined) and status plain / resolved / undefined."""
-    r = refs.select(F.col("ref_name").alias("_rn"), F.col("ref_value").alias("_rv"))
+    r = maybe_broadcast(refs.select(F.col("ref_name").alias("_rn"), F.col("ref_value").alias("_rv")))
     x = includes.withColumn("ref_name", ref_name(col)).withColumn("_rest", ref_rest(col))
     j = x.join(r, x["ref_name"] == r["_rn"], "left")
     status = (F.when(F.col("ref_name").isNull(), F.lit("plain"))
@@ -92,7 +94,7 @@ def outside_roots(files: DataFrame, roots: DataFrame, path: str = "path",
     'a/b' allows 'a/b' and 'a/b/…' but not 'a/bc'. Each file is exploded
     to its ancestor paths and equi-joined with the roots, so no file is
     paired with every root."""
-    r = roots.select(F.regexp_replace(F.col(root), "/+$", "").alias("_anc")).distinct()
+    r = maybe_broadcast(roots.select(F.regexp_replace(F.col(root), "/+$", "").alias("_anc")).distinct())
     a = files.select(F.col(path).alias("_p"), F.explode(ancestors(path)).alias("_anc"))
     allowed = a.join(r, "_anc", "left_semi").select("_p").distinct()
     return files.join(allowed, files[path] == allowed["_p"], "left_anti")
