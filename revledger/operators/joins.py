@@ -16,14 +16,26 @@ BROADCAST_ROWS = 1_000_000
 DEFAULT_SALTS = 32
 
 
+def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
+    """``df`` materialised when it has at most ``max_rows`` rows, else None.
+
+    At most ``max_rows + 1`` rows are computed and written to the reliable
+    checkpoint folder; when they fit, that copy is the whole of ``df`` and
+    is used from then on, so checking the size does not compute ``df`` a
+    second time."""
+    head = df.limit(max_rows + 1).checkpoint(eager=True)
+    return head if head.count() <= max_rows else None
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows."""
+    return bounded(df, max_rows) is not None
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its row count is proven under ``max_rows``."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+    """``broadcast`` of ``df`` when its row count is proven under ``max_rows``."""
+    small = bounded(df, max_rows)
+    return df if small is None else F.broadcast(small)
 
 
 def fanout_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
@@ -36,8 +48,9 @@ def fanout_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
     Otherwise ``big`` rows get a salt in [0, salts) from ``salt_of`` (a
     hash of a unique column) and every ``small`` row is repeated once per
     salt, so each (key, salt) pair is its own task."""
-    if not force_salt and is_small(small, max_rows):
-        return big.join(F.broadcast(small), big[big_key] == small[small_key], how)
+    fixed = None if force_salt else bounded(small, max_rows)
+    if fixed is not None:
+        return big.join(F.broadcast(fixed), big[big_key] == fixed[small_key], how)
     b = big.withColumn("_salt", F.pmod(salt_of, F.lit(salts)).cast("int"))
     s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     joined = b.join(s, (b[big_key] == s[small_key]) & (b["_salt"] == s["_salt"]), how)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from revledger.operators import checks, ledger
-from revledger.operators.joins import is_small
+from revledger.operators.joins import maybe_broadcast
 from revledger.operators.sequence import assign_ids
 from revledger.session import ensure_checkpoint_dir, ship_package
 from revledger.sources import ledger_io
@@ -59,7 +59,7 @@ def stream_route(stream: DataFrame, descriptors: DataFrame, stream_key: str, des
                  out: str, checkpoint: str) -> None:
     """K4: stream-static join. The static side is broadcast only when its
     size is checked small; otherwise a regular join."""
-    d = F.broadcast(descriptors) if is_small(descriptors) else descriptors
+    d = maybe_broadcast(descriptors)
     joined = stream.join(d, stream[stream_key] == d[descr_key])
     run_available(joined.writeStream.format("parquet").option("path", out), checkpoint)
 
