@@ -35,11 +35,12 @@ def bundle_keys(df: DataFrame, host: str, kind: str) -> DataFrame:
 
 
 def write_bundles(df: DataFrame, path: str, text: str = "text", seq: str = "seq") -> None:
-    """One output folder per (host_key, type_key), fragments in ``seq``
-    order inside each file (S4). Rows of one bundle are co-located by
-    hash and sorted within the partition, so no bundle passes through the
-    driver; a rerun overwrites the same folders."""
-    (df.repartition("host_key", "type_key")
+    """One output folder per (host_key, type_key) holding the fragments in
+    ``seq`` order (S4). Rows are range-partitioned on (host_key, type_key,
+    seq), so a large bundle is split over several tasks; each writes its
+    own part file, and part files in name order continue the sequence.
+    Nothing passes through the driver; a rerun overwrites the folders."""
+    (df.repartitionByRange("host_key", "type_key", seq)
        .sortWithinPartitions("host_key", "type_key", seq)
        .select("host_key", "type_key", text)
        .write.mode("overwrite").partitionBy("host_key", "type_key").text(path))
