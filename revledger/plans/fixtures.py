@@ -298,6 +298,16 @@ where k = 1
 """)
 
 
+# the revision each host stores: how many of its orders are finished (0 =
+# a revision no migration leaves); the target is its latest revision
+_view("fx_host_revs", ("orders",), """
+select o_custkey as application,
+       cast(sum(case when o_orderstatus = 'F' then 1 else 0 end) as bigint) as from_rev,
+       cast(count(*) as bigint) as target_rev
+from {orders} group by o_custkey
+""")
+
+
 def _dialect(sql: str, dialect: str) -> str:
     for token, value in DIALECT[dialect].items():
         sql = sql.replace(token, value)
