@@ -334,3 +334,13 @@ def test_numbering_empty_input(spark):
     assert assign_ids(empty, ["o"], "id", 1).count() == 0
     assert number_rows(empty, ["g"], ["o"], "n").count() == 0
     assert number_rows(empty, ["g"], ["o"], "n", group_row_limit=0).count() == 0
+
+
+def test_size_check_bounds(spark):
+    from revledger.operators.joins import bounded, maybe_broadcast
+    df = spark.range(10)
+    assert bounded(df, 9) is None and bounded(df, 10).count() == 10
+    big = maybe_broadcast(df, 3)
+    assert big is df  # over the bound: left for a regular join
+    j = spark.range(100).join(maybe_broadcast(df, 50), "id")
+    assert j.count() == 10
