@@ -55,7 +55,10 @@ GROUP_ROW_LIMIT = 1_000_000
 def split_hot(df: DataFrame, group_cols: list[str], group_row_limit: int):
     """(hot_rows, cold_rows) by group size, or (None, df) when no group is
     over the limit. Hot groups number at most rows / limit, so their key
-    list is broadcast (no shuffle of ``df`` for the split)."""
+    list is broadcast (no shuffle of ``df`` for the split). Measuring the
+    groups reads only the group columns (column pruning), so the input is
+    not copied; a caller whose input is costly to recompute should
+    checkpoint it first."""
     sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_sq_size"))
     largest = sizes.agg(F.max("_sq_size").alias("m")).first()["m"]
     if largest is None or largest <= group_row_limit:
