@@ -38,4 +38,5 @@ def drop_routines(targets: DataFrame, routines: DataFrame, versions: DataFrame,
 
 def missing_required(required: DataFrame, catalog: DataFrame, key: str = "object_id") -> DataFrame:
     """Required objects the catalog no longer has."""
-    return required.join(catalog.select(key).distinct(), key, "left_anti")
+    gone = required.join(catalog.select(key).distinct(), key, "left_anti")
+    return gone.select(*required.columns)

@@ -22,7 +22,7 @@ def _stored_rows(current: DataFrame, keys: DataFrame, key: list[str]) -> DataFra
     """Current rows of ``keys`` only. The key set is broadcast when its size
     is checked small, so the (large) current table is filtered where it is
     read instead of being shuffled."""
-    return current.join(maybe_broadcast(keys), key, "left_semi")
+    return current.join(maybe_broadcast(keys), key, "left_semi").select(*current.columns)
 
 
 def fetch(current: DataFrame, keys: DataFrame, key=KEY) -> DataFrame:
@@ -38,7 +38,8 @@ def fetch(current: DataFrame, keys: DataFrame, key=KEY) -> DataFrame:
 def clean(current: DataFrame, keys: DataFrame, key=KEY) -> DataFrame:
     """Current rows that remain after deleting ``keys`` (history untouched)."""
     key = list(key)
-    return current.join(maybe_broadcast(keys.select(*key).distinct()), key, "left_anti")
+    kept = current.join(maybe_broadcast(keys.select(*key).distinct()), key, "left_anti")
+    return kept.select(*current.columns)
 
 
 def latest(history: DataFrame, key=KEY, order: str = ID) -> DataFrame:
@@ -115,8 +116,8 @@ def push(current: DataFrame, history: DataFrame, batch: DataFrame, key=KEY, now=
     dup = b.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*key)
     stored = _stored_rows(current.select(*key), b.select(*key).distinct(), key)
     bad_keys = dup.unionByName(stored).distinct()
-    conflicts = b.join(bad_keys, key, "left_semi")
-    accepted = b.join(bad_keys, key, "left_anti")
+    conflicts = b.join(bad_keys, key, "left_semi").select(*b.columns)
+    accepted = b.join(bad_keys, key, "left_anti").select(*b.columns)
     appended = assign_ids(accepted, key, ID, _next_id(history)).select(ID, *cols)
     new_current = current.unionByName(appended.select(*current.columns), allowMissingColumns=False)
     return new_current, appended, conflicts

@@ -58,12 +58,14 @@ def unused_pins(files: DataFrame, pins: DataFrame, grp: str = "grp") -> DataFram
     """Pins that take no file: ``not_found`` when no include dir of the
     group has the name, ``shadowed`` when an earlier pin took it."""
     present = files.select(grp, "name").distinct()
-    missing = pins.join(present, [grp, "name"], "left_anti").withColumn("reason", F.lit("not_found"))
+    missing = (pins.join(present, [grp, "name"], "left_anti").select(*pins.columns)
+               .withColumn("reason", F.lit("not_found")))
     w = _winning_pins(pins, grp)
-    found = pins.join(present, [grp, "name"], "left_semi").join(w, [grp, "name"])
+    found = (pins.join(present, [grp, "name"], "left_semi").select(*pins.columns)
+             .join(w, [grp, "name"]))
     shadowed = (found.filter((_pin_rank() != F.col("_pin_rank"))
                              | (F.col("pin_pos") != F.col("_pin_pos")))
-                .drop("_pin_rank", "_pin_pos").withColumn("reason", F.lit("shadowed")))
+                .select(*pins.columns).withColumn("reason", F.lit("shadowed")))
     return missing.unionByName(shadowed)
 
 

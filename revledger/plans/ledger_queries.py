@@ -161,3 +161,22 @@ def ledger_drift(fx):
     var = ledger.latest(h.filter(F.col("revision_history_id") % 2 == 0))
     func = ledger.latest(h.filter(F.col("revision_history_id") % 2 == 1))
     return ledger.drift(var, func)
+
+
+@query("ledger_store_fetch", ("fx_current", "fx_batch"), """
+select b.application, b.schemas_type, c.revision, c.comment
+from (select distinct application, schemas_type from {fx_batch}) b
+left join {fx_current} c on c.application = b.application and c.schemas_type = b.schemas_type
+""")
+def ledger_store_fetch(fx):
+    """Ledger on storage (S1, P1): the current table is committed as batch 0
+    (bucketed folders, commit row last), then the batch's keys are fetched
+    with bucket pruning."""
+    from revledger.sources import ledger_io
+    from revledger.streaming.ledger_stream import scratch
+
+    key = ["application", "schemas_type"]
+    root = scratch(fx.spark, "ledger")
+    current = fx["fx_current"]
+    ledger_io.commit_batch(root, 0, current, current, key=key)
+    return ledger_io.fetch_stored(fx.spark, root, fx["fx_batch"], current.schema, key=key)

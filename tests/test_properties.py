@@ -88,3 +88,28 @@ def test_audit_partitions_observed(spark):
            for r in audit.filter(F.col("status") == "accepted").collect()}
     want = {(k, "CREATE", w) for k, w, _ in declared} | {(k, "USAGE", g) for k in usage for g in usage[k]}
     assert missing == want - acc
+
+
+def test_push_then_clean_restores_current(spark):
+    import datetime
+
+    from revledger.operators import ledger
+    rnd = random.Random(11)
+    t = datetime.datetime(2024, 1, 1)
+    schema = ("revision_history_id long, application string, schemas_type string, "
+              "datetime timestamp_ntz, revision string, comment string")
+    cur = [(i, f"a{rnd.randrange(20)}", f"t{i}", t, f"r{i}", None) for i in range(30)]
+    cur = list({(r[1], r[2]): r for r in cur}.values())
+    batch = [(0, f"a{rnd.randrange(25)}", f"t{rnd.randrange(40)}", t, "rb", "c") for _ in range(40)]
+    c = spark.createDataFrame(cur, schema)
+    b = spark.createDataFrame(batch, schema)
+    new_current, appended, conflicts = ledger.push(c, c, b)
+    # accepted + conflicting rows are the batch
+    assert appended.count() + conflicts.count() == len(batch)
+    # cleaning the pushed keys gives back the stored table
+    back = ledger.clean(new_current, appended)
+    assert back.exceptAll(c).count() == 0 and c.exceptAll(back).count() == 0
+    # ids continue after the largest stored id, densely
+    ids = sorted(r[0] for r in appended.select("revision_history_id").collect())
+    top = max(r[0] for r in cur)
+    assert ids == list(range(top + 1, top + 1 + len(ids)))

@@ -344,3 +344,13 @@ def test_size_check_bounds(spark):
     assert big is df  # over the bound: left for a regular join
     j = spark.range(100).join(maybe_broadcast(df, 50), "id")
     assert j.count() == 10
+
+
+def test_operators_keep_column_order(spark):
+    cur = spark.createDataFrame([(1, "a", "t", T0, "r1", None), (2, "b", "t", T0, "r1", None)], LEDGER)
+    batch = spark.createDataFrame([(0, "a", "t", T0, "r2", "c")], LEDGER)
+    assert ledger.clean(cur, batch).columns == cur.columns
+    new_current, appended, conflicts = ledger.push(cur, cur, batch)
+    assert new_current.columns == cur.columns and conflicts.columns == cur.columns[1:]
+    new_current, _, _ = ledger.replace(cur, cur, batch)
+    assert new_current.columns == cur.columns
