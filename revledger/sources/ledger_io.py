@@ -47,7 +47,7 @@ def _write(df: DataFrame, path: str, key: list[str]) -> None:
 
 def _commits(spark: SparkSession, root: str, before: int | None) -> DataFrame | None:
     try:
-        c = spark.read.parquet(f"{root}/commits").select("batch_id")
+        c = spark.read.parquet(f"{root}/commits").select("batch_id").distinct()
     except Exception:  # noqa: BLE001 - nothing committed yet
         return None
     return c if before is None else c.filter(F.col("batch_id") < before)
@@ -99,24 +99,29 @@ def fetch_stored(spark: SparkSession, root: str, keys: DataFrame, schema,
 
 
 def history_top(spark: SparkSession, root: str, before: int | None = None) -> int:
-    """Largest committed history id (0 for an empty ledger)."""
+    """Largest committed history id (0 for an empty ledger). Each commit
+    row records the largest id of its batch, so this reads only the commit
+    table, never the history."""
     c = _commits(spark, root, before)
     if c is None:
         return 0
-    h = spark.read.parquet(f"{root}/history").select("batch_id", "revision_history_id")
-    top = h.join(c, "batch_id", "left_semi").agg(F.max("revision_history_id").alias("m")).first()["m"]
+    top = (spark.read.parquet(f"{root}/commits").join(c, "batch_id", "left_semi")
+           .agg(F.max("top_id").alias("m")).first()["m"])
     return 0 if top is None else int(top)
 
 
 def commit_batch(root: str, batch_id: int, current: DataFrame, appended: DataFrame,
                  key=("application", "schemas_type", "kind")) -> None:
-    """Write one batch: history rows, then the current snapshot, then the commit row."""
+    """Write one batch: history rows, then the current snapshot, then the
+    commit row (which records the batch's largest history id)."""
     key = [k for k in key if k in current.columns]
     _write(appended, f"{root}/history/batch_id={batch_id}", key)
     _write(current, f"{root}/current/batch_id={batch_id}", key)
     spark = current.sparkSession
-    spark.range(1).select(F.lit(True).alias("complete")).write.mode("overwrite").parquet(
-        f"{root}/commits/batch_id={batch_id}")
+    top = spark.read.parquet(f"{root}/history/batch_id={batch_id}").agg(
+        F.max("revision_history_id").alias("top_id"))
+    top.select(F.lit(True).alias("complete"), F.col("top_id").cast("long")).coalesce(1).write.mode(
+        "overwrite").parquet(f"{root}/commits/batch_id={batch_id}")
 
 
 def committed(spark: SparkSession, root: str) -> DataFrame | None:
