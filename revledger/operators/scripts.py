@@ -101,6 +101,14 @@ def outside_roots(files: DataFrame, roots: DataFrame, path: str = "path",
     return files.join(allowed, files[path] == allowed["_p"], "left_anti")
 
 
+def marker_flags(files: DataFrame, dir_col: str = "dir", name_col: str = "name") -> DataFrame:
+    """One row per directory with ``has_<kind>`` for every marker file it
+    holds (a partial aggregate per directory)."""
+    from revledger.functions.classify import MARKERS
+    return files.groupBy(dir_col).agg(
+        *[F.bool_or(F.col(name_col) == F.lit(fname)).alias(f"has_{kind}") for fname, kind in MARKERS])
+
+
 def entry_kinds(flags: DataFrame) -> DataFrame:
     """Kind of a directory from its marker flags, first match wins (F6):
     init > schema > late > safeguard; NULL when it has none."""

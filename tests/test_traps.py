@@ -354,3 +354,11 @@ def test_operators_keep_column_order(spark):
     assert new_current.columns == cur.columns and conflicts.columns == cur.columns[1:]
     new_current, _, _ = ledger.replace(cur, cur, batch)
     assert new_current.columns == cur.columns
+
+
+def test_entry_kind_from_marker_files(spark):  # N18
+    files = spark.createDataFrame([("d1", "late.yaml"), ("d1", "schema.yaml"), ("d2", "x.sql"),
+                                   ("d3", "safeguard.yaml"), ("d3", "init.yaml")],
+                                  "dir string, name string")
+    out = rows(scripts.entry_kinds(scripts.marker_flags(files)), "dir", "kind")
+    assert out == [("d1", "schema"), ("d2", None), ("d3", "init")]
