@@ -6,9 +6,9 @@ Layout under ``root``:
   commits/batch_id=N/   one row, written last: batch N is complete
 
 Inside each folder rows are partitioned by ``app_bucket`` (a fixed hash
-bucket of the application) and sorted by key, so a lookup of a few keys
-reads only their buckets (static or dynamic partition pruning) and row
-groups whose key range cannot match are skipped.
+bucket of the application) and sorted by key: a lookup of a few keys reads
+only their bucket folders, and a literal key filter can skip row groups by
+their min / max statistics.
 
 Parquet has no transactions, so a batch writes its history rows first,
 then the new current snapshot, then its commit row; readers only take
