@@ -19,6 +19,7 @@ from (select *, row_number() over (partition by application, schemas_type
 where k = 1
 """)
 def ledger_latest(fx):
+    """Newest history row per key."""
     return ledger.latest(fx["fx_history"])
 
 
@@ -28,6 +29,7 @@ from (select distinct application, schemas_type from {fx_history}) k
 left join {fx_current} c on c.application = k.application and c.schemas_type = k.schemas_type
 """)
 def ledger_fetch(fx):
+    """Stored revision and comment for every key ever pushed; NULL where none is stored."""
     return ledger.fetch(fx["fx_current"], fx["fx_history"])
 
 
@@ -38,6 +40,7 @@ select application, schemas_type, revision_history_id,
 from {fx_history}
 """)
 def ledger_transitions(fx):
+    """History as (previous revision -> revision) hops per key, in id order."""
     return ledger.transitions(fx["fx_history"])
 
 
@@ -47,6 +50,7 @@ select revision_history_id, revision,
 from {fx_history}
 """)
 def pattern_reject(fx):
+    """Banned revision pattern: rows matching PRE-% (ILIKE) rejected, the rest accepted."""
     ok, rejected = checks.split_by_pattern(fx["fx_history"], "revision", "PRE-%")
     cols = ["revision_history_id", "revision"]
     return ok.select(*cols, F.lit("accepted").alias("status")).unionByName(
@@ -60,6 +64,7 @@ select distinct application, schemas_type,
 from {fx_history}
 """)
 def ident_key_q(fx):
+    """Identifier and file-safe keys of ledger names (F1, F2)."""
     h = fx["fx_history"]
     return h.select(
         "application", "schemas_type",
@@ -75,6 +80,7 @@ where not exists (select 1 from {fx_batch} b
                   where b.application = c.application and b.schemas_type = c.schemas_type)
 """)
 def ledger_clean(fx):
+    """Current rows left after cleaning the batch keys."""
     return ledger.clean(fx["fx_current"], fx["fx_batch"])
 
 
@@ -99,6 +105,7 @@ with bad as (select application, schemas_type from {fx_batch} group by applicati
              select application, schemas_type from {fx_current})
 """ + _PUSH_SQL)
 def ledger_push(fx):
+    """Push a batch without cleaning: new history rows with dense ids, conflicts reported."""
     _, appended, conflicts = ledger.push(fx["fx_current"], fx["fx_history_before"], fx["fx_batch"])
     cols = ["revision_history_id", "application", "schemas_type", "revision", "comment"]
     return appended.select(*cols, F.lit("pushed").alias("status")).unionByName(
@@ -122,6 +129,7 @@ from (select b.* from {fx_batch} b
      (select max(revision_history_id) as top from {fx_history_before}) m
 """)
 def ledger_replace(fx):
+    """Clean-then-push of a batch: the current table afterwards."""
     new_current, _, _ = ledger.replace(fx["fx_current"], fx["fx_history_before"], fx["fx_batch"])
     return new_current.select(*LEDGER_COLS)
 
@@ -133,6 +141,7 @@ from {fx_batch} b left join {fx_current} c
 where c.revision is distinct from b.revision
 """)
 def revision_guard(fx):
+    """Keys whose stored revision is distinct from the expected one."""
     return ledger.guard(fx["fx_current"], fx["fx_batch"])
 
 
@@ -157,6 +166,7 @@ select application, schemas_type, 'func', f_rev, f_com from j
 where not (v_rev is not distinct from f_rev and v_com is not distinct from f_com)
 """)
 def ledger_drift(fx):
+    """Var / func comparison per key: one row when equal, else one per side."""
     h = fx["fx_history"]
     var = ledger.latest(h.filter(F.col("revision_history_id") % 2 == 0))
     func = ledger.latest(h.filter(F.col("revision_history_id") % 2 == 1))
