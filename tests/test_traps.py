@@ -362,3 +362,15 @@ def test_entry_kind_from_marker_files(spark):  # N18
                                   "dir string, name string")
     out = rows(scripts.entry_kinds(scripts.marker_flags(files)), "dir", "kind")
     assert out == [("d1", "schema"), ("d2", None), ("d3", "init")]
+
+
+def test_hosts_list_with_shared_entry(spark):  # N21, J9
+    entries = spark.createDataFrame(
+        [("h1", None, '{"p": 1}', None), ("h2", "t", None, None), (None, None, None, '{"s": 2}')],
+        "name string, type string, params string, shared string")
+    hosts, shared = routing.split_hosts(entries)
+    out = routing.enrich_params(routing.host_types(hosts), shared)
+    assert rows(out, "name", "host_type", "shared") == [("h1", "h1", '{"s": 2}'), ("h2", "t", '{"s": 2}')]
+    two = entries.unionByName(entries.filter("shared is not null"))
+    with pytest.raises(ValueError):
+        routing.split_hosts(two)
