@@ -8,7 +8,7 @@ small is broadcast; otherwise a many-to-many join on a low-cardinality key
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 # a side with at most this many rows is broadcast
@@ -23,8 +23,9 @@ def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
     checkpoint folder; when they fit, that copy is the whole of ``df`` and
     is used from then on, so checking the size does not compute ``df`` a
     second time."""
-    head = df.limit(max_rows + 1).checkpoint(eager=True)
-    return head if head.count() <= max_rows else None
+    obs = Observation()
+    head = df.limit(max_rows + 1).observe(obs, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
+    return head if obs.get["rows"] <= max_rows else None
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
