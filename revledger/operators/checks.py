@@ -7,8 +7,6 @@ single-pass aggregates or joins; counts use map-side partial aggregation.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +80,3 @@ def require_empty(violations: DataFrame, what: str) -> None:
     row = violations.first()
     if row is not None:
         raise IntegrityError(f"{what}: {row.asDict()}")
-
-
-def all_of(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, cols)
