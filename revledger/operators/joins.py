@@ -11,36 +11,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from revledger.session import limit_conf
+
 # a side with at most this many rows is broadcast
 BROADCAST_ROWS = 1_000_000
 DEFAULT_SALTS = 32
 
 
-def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
+def bounded(df: DataFrame, max_rows: int | None = None) -> DataFrame | None:
     """``df`` materialised when it has at most ``max_rows`` rows, else None.
 
     At most ``max_rows + 1`` rows are computed and written to the reliable
     checkpoint folder; when they fit, that copy is the whole of ``df`` and
     is used from then on, so checking the size does not compute ``df`` a
     second time."""
+    if max_rows is None:
+        max_rows = limit_conf(df.sparkSession, "broadcastRows", BROADCAST_ROWS)
     obs = Observation()
     head = df.limit(max_rows + 1).observe(obs, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
     return head if obs.get["rows"] <= max_rows else None
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
     """True when ``df`` has at most ``max_rows`` rows."""
     return bounded(df, max_rows) is not None
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def maybe_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """``broadcast`` of ``df`` when its row count is proven under ``max_rows``."""
     small = bounded(df, max_rows)
     return df if small is None else F.broadcast(small)
 
 
 def fanout_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
-                salt_of: Column, how: str = "inner", max_rows: int = BROADCAST_ROWS,
+                salt_of: Column, how: str = "inner", max_rows: int | None = None,
                 salts: int = DEFAULT_SALTS, force_salt: bool = False) -> DataFrame:
     """Equi-join ``big[big_key] = small[small_key]`` where both sides may hold
     many rows per key.

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revledger.session import ensure_checkpoint_dir
+from revledger.session import ensure_checkpoint_dir, limit_conf
 
 _PID, _POS, _N, _FIRST, _OFF = "_sq_pid", "_sq_pos", "_sq_n", "_sq_first", "_sq_off"
 
@@ -71,7 +71,7 @@ def split_hot(df: DataFrame, group_cols: list[str], group_row_limit: int):
 
 
 def number_rows(df: DataFrame, group_cols: list[str], order_cols: list, out_col: str,
-                start: int = 1, group_row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+                start: int = 1, group_row_limit: int | None = None) -> DataFrame:
     """Add ``out_col`` = start, start+1, … within each group in ``order_cols``
     order (the order must be total inside a group for a repeatable result).
 
@@ -82,6 +82,8 @@ def number_rows(df: DataFrame, group_cols: list[str], order_cols: list, out_col:
     group_cols = list(group_cols)
     if not group_cols:
         return _number_by_range(df, [], order_cols, out_col, start)
+    if group_row_limit is None:
+        group_row_limit = limit_conf(df.sparkSession, "groupRowLimit", GROUP_ROW_LIMIT)
     hot_rows, cold_rows = split_hot(df, group_cols, group_row_limit)
     w = Window.partitionBy(*group_cols).orderBy(*_cols(order_cols))
     cold = cold_rows.withColumn(out_col, (F.row_number().over(w) + F.lit(start - 1)).cast("long"))
@@ -121,13 +123,15 @@ def assign_ids(df: DataFrame, order_cols: list, id_col: str, start: int) -> Data
 
 def previous_in_group(df: DataFrame, group_cols: list[str], order_cols: list,
                       value_cols: list[str], prefix: str = "prev_",
-                      group_row_limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+                      group_row_limit: int | None = None) -> DataFrame:
     """``lag`` of ``value_cols`` inside each group. Groups under the limit
     use ``lag`` over a window partitioned by the group. Hot groups are
     numbered by range and joined to themselves on (group, n) = (group,
     n + 1): both sides hash-partition on the row number, so a hot group
     does not land in one task."""
     group_cols = list(group_cols)
+    if group_row_limit is None:
+        group_row_limit = limit_conf(df.sparkSession, "groupRowLimit", GROUP_ROW_LIMIT)
     hot_rows, cold_rows = split_hot(df, group_cols, group_row_limit)
     w = Window.partitionBy(*group_cols).orderBy(*_cols(order_cols))
     cold = cold_rows.select("*", *[F.lag(v).over(w).alias(prefix + v) for v in value_cols])

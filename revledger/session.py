@@ -88,6 +88,12 @@ def ship_package(spark: SparkSession) -> None:
     sc._revledger_shipped = True
 
 
+def limit_conf(spark: SparkSession, name: str, default: int) -> int:
+    """A size limit, overridable per session with ``spark.revledger.<name>``."""
+    value = spark.conf.get(f"spark.revledger.{name}", None)
+    return default if value is None else int(value)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
