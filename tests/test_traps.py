@@ -374,3 +374,13 @@ def test_hosts_list_with_shared_entry(spark):  # N21, J9
     two = entries.unionByName(entries.filter("shared is not null"))
     with pytest.raises(ValueError):
         routing.split_hosts(two)
+
+
+def test_limits_from_session_conf(spark):
+    from revledger.operators.joins import bounded
+    spark.conf.set("spark.revledger.broadcastRows", "5")
+    try:
+        assert bounded(spark.range(10)) is None and bounded(spark.range(5)) is not None
+    finally:
+        spark.conf.unset("spark.revledger.broadcastRows")
+    assert bounded(spark.range(10)) is not None
