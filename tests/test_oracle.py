@@ -58,3 +58,26 @@ def test_entry_in_fresh_process():
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True,
                          timeout=600)
     assert "ROWS" in out.stdout, out.stderr[-2000:]
+
+
+FORCED_QUERIES = ["ledger_transitions", "fragment_numbers", "pinned_order", "route_hosts",
+                  "migration_ways", "ledger_push", "revision_guard"]
+
+
+@pytest.mark.parametrize("name", FORCED_QUERIES)
+def test_scale_paths_match_oracle(spark, con, name):
+    """Tiny limits force the hot-group, level-loop and salted paths."""
+    from tools.check_forced import FORCED
+    for k, v in FORCED.items():
+        spark.conf.set(k, v)
+    try:
+        sdf = QUERIES[name](spark, SMALL)
+        srows = [tuple(r) for r in sdf.collect()]
+    finally:
+        for k in FORCED:
+            spark.conf.unset(k)
+    res = con.execute(ORACLE[name])
+    dcols = [d[0] for d in res.description]
+    drows = res.fetchall()
+    assert len(srows) == len(drows)
+    assert digest(sdf.columns, srows)[0] == digest(dcols, drows)[0]
