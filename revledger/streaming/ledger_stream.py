@@ -74,8 +74,8 @@ def stream_push(stream: DataFrame, root: str, checkpoint: str) -> None:
         cols = [c for c in batch.columns if c != ledger.ID]
         rows = assign_ids(batch, [ledger.ID], "_new_id",
                           ledger_io.history_top(spark, root, batch_id) + 1)
+        # ids were fixed by assign_ids' checkpoint; both uses below read it
         hist = rows.select(F.col("_new_id").alias(ledger.ID), *cols)
-        hist = hist.checkpoint(eager=True)
         newest = ledger.latest(hist)
         prev = ledger_io.read_current(spark, root, newest.schema, batch_id)
         current = ledger.clean(prev, newest).unionByName(newest)
