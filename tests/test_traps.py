@@ -384,3 +384,58 @@ def test_limits_from_session_conf(spark):
     finally:
         spark.conf.unset("spark.revledger.broadcastRows")
     assert bounded(spark.range(10)) is not None
+
+
+def test_salted_left_join_keeps_unmatched_once(spark):
+    from revledger.operators.joins import fanout_join
+    big = spark.range(50).select(F.col("id").alias("h"), (F.col("id") % 4).cast("string").alias("t"))
+    small = spark.createDataFrame([("0", 1), ("0", 2), ("1", 3)], "k string, v int")
+    a = fanout_join(big, small, "t", "k", F.xxhash64("h"), how="left").select("h", "v")
+    b = fanout_join(big, small, "t", "k", F.xxhash64("h"), how="left", force_salt=True).select("h", "v")
+    assert a.count() == b.count() == 13 * 2 + 13 + 24
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_cluster_session_needs_shared_checkpoint_dir():
+    from revledger.session import ensure_checkpoint_dir
+
+    class Ctx:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext = Ctx()
+        conf = Conf()
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
+
+
+def test_checkpoint_dir_from_conf_is_used():
+    from revledger.session import ensure_checkpoint_dir
+    seen = {}
+
+    class Ctx:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return seen.get("dir")
+
+        def setCheckpointDir(self, d):
+            seen["dir"] = d
+
+    class Conf:
+        def get(self, key, default=None):
+            return "hdfs://shared/ckpt" if key == "spark.checkpoint.dir" else default
+
+    class Session:
+        sparkContext = Ctx()
+        conf = Conf()
+
+    assert ensure_checkpoint_dir(Session()) == "hdfs://shared/ckpt"
