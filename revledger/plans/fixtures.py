@@ -39,6 +39,12 @@ select event_id as revision_history_id, event_type as application,
 from {events}
 """)
 
+# the same pushes with a ledger kind: even ids were var pushes, odd ids func
+_view("fx_history_kinds", ("fx_history",), """
+select *, case when revision_history_id % 2 = 0 then 'var' else 'func' end as kind
+from {fx_history}
+""")
+
 _view("fx_current", ("fx_history",), """
 select revision_history_id, application, schemas_type, datetime, revision, comment
 from (select *, row_number() over (partition by application, schemas_type

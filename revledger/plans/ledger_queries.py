@@ -145,13 +145,13 @@ def revision_guard(fx):
     return ledger.guard(fx["fx_current"], fx["fx_batch"])
 
 
-@query("ledger_drift", ("fx_history",), """
+@query("ledger_drift", ("fx_history_kinds",), """
 with v as (select * from (select *, row_number() over (partition by application, schemas_type
                                                        order by revision_history_id desc) k
-                          from {fx_history} where revision_history_id % 2 = 0) x where k = 1),
+                          from {fx_history_kinds} where kind = 'var') x where k = 1),
      f as (select * from (select *, row_number() over (partition by application, schemas_type
                                                        order by revision_history_id desc) k
-                          from {fx_history} where revision_history_id % 2 = 1) x where k = 1),
+                          from {fx_history_kinds} where kind = 'func') x where k = 1),
      j as (select coalesce(v.application, f.application) as application,
                   coalesce(v.schemas_type, f.schemas_type) as schemas_type,
                   v.revision as v_rev, v.comment as v_com, f.revision as f_rev, f.comment as f_com
@@ -167,9 +167,9 @@ where not (v_rev is not distinct from f_rev and v_com is not distinct from f_com
 """)
 def ledger_drift(fx):
     """Var / func comparison per key: one row when equal, else one per side."""
-    h = fx["fx_history"]
-    var = ledger.latest(h.filter(F.col("revision_history_id") % 2 == 0))
-    func = ledger.latest(h.filter(F.col("revision_history_id") % 2 == 1))
+    h = fx["fx_history_kinds"]
+    var = ledger.latest(h.filter(F.col("kind") == "var").drop("kind"))
+    func = ledger.latest(h.filter(F.col("kind") == "func").drop("kind"))
     return ledger.drift(var, func)
 
 
