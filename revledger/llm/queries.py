@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revledger.llm import pii, quality_rules, warc
+from revledger.llm import packing, pii, quality_rules, warc
 from revledger.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "refers_to", "digest_ok")
 
 
+@query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids packed into sequences of 2048."""
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, with the spans of disguised ones."""
