@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revledger.llm import packing, pii, quality_rules, warc
+from revledger.llm import packing, pii, quality_model, quality_rules, warc
 from revledger.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,17 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compression score of every document, learned from labels that are not
+    held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality_model.fit(docs, read_table(spark, sf_dir, "labels"))
+    scored = quality_model.score(docs, model)
+    return scored.select("doc_id", quality_model.held_out().alias("held_out"), "score",
+                         (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, with the spans of disguised ones."""
