@@ -26,6 +26,8 @@ MAX_REPEATED = 0.5
 MAX_SYMBOLS = 0.1
 #: share of lines equal to an earlier one
 MAX_DUP_LINES = 0.3
+#: fewer repeated lines than this are no sign of anything
+LEAST_DUP_LINES = 5
 #: share of cased letters that are capitals
 MAX_CAPITALS = 0.5
 #: a host is rejected when its shrunk failure rate is above this
@@ -100,7 +102,8 @@ def rules() -> dict[str, Column]:
         "short": words < MIN_WORDS,
         "repeated": 100 * F.col("n_repeat_words") > int(100 * MAX_REPEATED) * words,
         "symbols": F.col("n_symbols") > MAX_SYMBOLS * words,
-        "dup_lines": F.col("n_dup_lines") > MAX_DUP_LINES * F.col("n_lines"),
+        "dup_lines": (F.col("n_dup_lines") >= LEAST_DUP_LINES)
+        & (F.col("n_dup_lines") > MAX_DUP_LINES * F.col("n_lines")),
         "capitals": F.col("n_upper") > MAX_CAPITALS * F.col("n_cased"),
     }
 
