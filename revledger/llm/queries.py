@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revledger.llm import packing, pii, quality_model, quality_rules, warc
+from revledger.llm import near_dedup, packing, pii, quality_model, quality_rules, warc
 from revledger.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,12 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, with the spans of disguised ones."""
