@@ -7,7 +7,7 @@ import re
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revledger.session import ensure_checkpoint_dir, ship_package
@@ -53,6 +53,15 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[c].alias(k) for k, c in columns.items()])
 
 
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row. Catalyst would copy
+    the expression of an ordinary column into every place that uses it, also
+    into the lambda of a ``transform``, where it would be computed again for
+    every element; it does not do so across the generator of an ``explode``
+    of one element."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 # ---------------------------------------------------------------------------
 # word hashes, computed for many texts at once on their UTF-8 bytes
 

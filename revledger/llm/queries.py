@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revledger.llm import near_dedup, packing, pii, quality_model, quality_rules, warc
+from revledger.llm import decontam, near_dedup, packing, pii, quality_model, quality_rules, warc
 from revledger.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                       "n_repeat_words", "base_failed", "kept",
                       F.array_join("broken", ",").alias("broken"), "host_rejected")
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and benchmark items with common template windows."""
+    return decontam.leaks(read_table(spark, sf_dir, "documents"),
+                          read_table(spark, sf_dir, "benchmark"))
