@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revledger.llm import decontam, near_dedup, packing, pii, quality_model, quality_rules, warc
+from revledger.llm import decontam, html_extract, near_dedup, packing, pii, quality_model, quality_rules, warc
 from revledger.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 @query
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compression score of every document, learned from labels that are not
