@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revledger.llm import decontam, html_extract, near_dedup, packing, pii, quality_model, quality_rules, warc
+from revledger.llm import (decontam, html_extract, near_dedup, packing, pii, quality_model,
+                           quality_rules, substring, warc)
 from revledger.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +58,13 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 20-word windows that occur earlier."""
+    out = substring.dedup_substrings(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, with the spans of disguised ones."""
