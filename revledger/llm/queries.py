@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revledger.llm import (decontam, html_extract, near_dedup, packing, pii, quality_model,
-                           quality_rules, substring, warc)
+from revledger.llm import (decontam, html_extract, licenses, near_dedup, packing, pii,
+                           quality_model, quality_rules, substring, warc)
 from revledger.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,26 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read_table(spark, sf_dir, "pages"))
 
 
+def corpus_files(docs: DataFrame) -> DataFrame:
+    """Stand-in file tree (file_id, path, text): a document's folder is its
+    source, its language below that, and numbered folders below that by its
+    id; the shortest documents are named like licence files."""
+    i = F.col("doc_id")
+    deep = F.concat_ws("/", "source", "lang", F.concat(F.lit("p"), F.floor(i / 500).cast("string")),
+                       F.concat(F.lit("q"), F.floor(i / 20).cast("string")))
+    folder = F.when(F.length("text") < 1000, F.concat_ws("/", "source", "lang")).otherwise(deep)
+    name = F.when(F.length("text") < 500, F.concat(F.lit("LICENSE."), i.cast("string"))).otherwise(
+        F.concat(F.lit("f"), i.cast("string"), F.lit(".txt")))
+    return docs.select(i.alias("file_id"), F.concat_ws("/", folder, name).alias("path"), "text")
+
+
+@query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, its own or inherited by directory."""
+    found = licenses.scan(corpus_files(read_table(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("file_id", "doc_id")
+
+
 @query
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compression score of every document, learned from labels that are not
