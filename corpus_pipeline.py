@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revledger.llm import pii, quality_rules
+from revledger.llm import decontam, near_dedup, packing, pii, quality_rules
 from revledger.llm.common import saved
 from revledger.session import read_table
 
@@ -22,18 +22,37 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality_rules.keep_documents(docs)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: of each group of documents linked by a similarity
+    of 0.8 on five-word shingles, that with the smallest id stays."""
+    return near_dedup.drop_near_duplicates(docs, scheme=near_dedup.FIVE_WORDS)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that leak an item go."""
+    return decontam.drop_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data, plain or disguised, is masked; n_chars follows."""
     return pii.mask_pii(docs, "text", "n_chars")
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the documents packed into sequences of 2048."""
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", drop_low_quality),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
     ("pii", mask_personal_data),
+    ("packing", pack_sequences),
 ]
 
-
-#: packing cuts token sequences, which SQL cannot express
+#: masking disguised identifiers and packing tokens are beyond SQL; the
+#: stages are tested against brute-force versions
 ORACLE_SQL = None
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from revledger.llm.common import WORD, only, prepare, saved, small_or_plain
 
@@ -179,9 +180,7 @@ def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 [*b.columns, *[pa.array(c, pa.int64()) for c in cols]],
                 names=[*b.schema.names, *MEASURES])
 
-    schema = flat.schema
-    for m in MEASURES:
-        schema = schema.add(m, "long")
+    schema = StructType(flat.schema.fields + [StructField(m, LongType()) for m in MEASURES])
     out = flat.mapInArrow(run, schema)
     for c in rules().values():
         out = out.filter(~c)

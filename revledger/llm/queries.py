@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from revledger.llm import (decontam, html_extract, licenses, near_dedup, packing, pii,
                            quality_model, quality_rules, substring, warc)
+from revledger.llm.oracles import ORACLES  # noqa: F401
 from revledger.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn):
