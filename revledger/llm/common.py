@@ -92,15 +92,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hash_words(texts: list[bytes], lower: bool = False):
-    """For UTF-8 ``texts``: (hash of each word in order, first word index of
-    each text plus the total). ``lower`` folds A-Z first."""
+def word_spans(texts: list[bytes], lower: bool = False):
+    """For UTF-8 ``texts`` laid end to end: (hash, first byte, end) of each
+    word in order, and the first word index of each text plus the total.
+    ``lower`` folds A-Z before hashing."""
     lens = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
     ends = np.cumsum(lens)
     first = np.zeros(len(texts) + 1, dtype=np.int64)
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     if not len(data):
-        return np.empty(0, dtype=np.uint64), first
+        none = np.empty(0, dtype=np.int64)
+        return none.astype(np.uint64), none, none, first
     word = _IS_WORD[data]
     start, stop = word.copy(), word.copy()
     start[1:] &= ~word[:-1]
@@ -115,7 +117,13 @@ def hash_words(texts: list[bytes], lower: bool = False):
     np.cumsum((_LOWER if lower else _PLAIN)[data] * up[: len(data)], out=total[1:])
     h = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     first[1:] = np.searchsorted(s, ends, side="left")
-    return mix(h), first
+    return mix(h), s, e, first
+
+
+def hash_words(texts: list[bytes], lower: bool = False):
+    """(hash of each word, first word index of each text plus the total)."""
+    h, _, _, first = word_spans(texts, lower)
+    return h, first
 
 
 def text_groups(texts: list, budget: int = 1 << 20):

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revledger.llm.common import only, prepare, saved
+from revledger.llm.common import only, prepare, saved, word_spans
 
 WINDOW = 2048
 OPEN_WINDOWS = 16
@@ -38,7 +38,7 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 class WordTokenizer:
-    """Token ids of a text by the ``tokenizers`` library.
+    """Token ids of texts by the ``tokenizers`` library, as arrays.
 
     This vocabulary's pipeline works inside words: it drops white space, and
     neither its normaliser nor its pre-tokenizer looks across it. So ids are
@@ -46,70 +46,101 @@ class WordTokenizer:
     one call. A text with anything that could break this (characters beyond
     Latin-1, white space that Python and the library might see differently,
     the mark of a special token) is encoded whole. Lower-casing first, as the
-    library does itself, makes more words meet."""
+    library does itself, makes more words meet; so does taking off a final
+    stop or comma, which is a token of its own after a letter."""
 
     #: whole texts with these are encoded as they are
-    WHOLE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0]|[^\x00-\xff]|<\|")
-    #: words in the cache; two generations, so the frequent ones stay
-    CACHE_WORDS = 150_000
+    WHOLE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0Ā-\U0010ffff]")
+    MARK = "<|"
+    #: words in a generation of the cache, about 130 MB; there are two, so
+    #: that the frequent words stay
+    CACHE_WORDS = 600_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
-        #: a word that always is one token of its own separates the others
-        zero = self.encode("0")
-        self.mark = zero[0] if len(zero) == 1 else None
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        #: tokens that end a run of letters
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.final = {c: self.packed(self.encode(c)) for c in ".,"
+                      if self.encode("a" + c) == self.encode("a") + self.encode(c)}
 
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def learn(self, words: set[str]) -> None:
-        plain = [w for w in words if "0" not in w] if self.mark is not None else []
+    @staticmethod
+    def packed(ids: list[int]) -> bytes:
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words and put them into the young generation. Words of
+        letters are encoded in one call: each is one run of letters, which
+        ends at the next token that ends one."""
+        young = self.young
+        plain = [w for w in words if w.isalpha()]
         if plain:
-            ids = np.array(self.encode(" 0 ".join(plain) + " 0"), dtype=np.int64)
-            ends = np.flatnonzero(ids == self.mark).tolist()
+            ids = np.array(self.encode(" ".join(plain)), dtype="<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(ends) == len(plain):
-                flat, at = ids.tolist(), 0
+                raw, at = ids.tobytes(), 0
                 for w, e in zip(plain, ends):
-                    self.young[w] = flat[at:e]
-                    at = e + 1
+                    young[w] = raw[at:4 * e]
+                    at = 4 * e
+        rest = [w for w in words if w not in young]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            young[w] = self.packed(e.ids)
+
+    def lookup(self, missing: list[str]) -> None:
+        """Bring words into the young generation, from the old one or by
+        encoding them or what is left without a final sign."""
+        young, old, final = self.young, self.old, self.final
+        new, cut = set(), []
+        for w in missing:
+            ids = old.get(w)
+            if ids is not None:
+                young[w] = ids
+            elif w[-1] in final and w[:-1].isalpha():
+                cut.append(w)
+                if w[:-1] not in young:
+                    new.add(w[:-1])
             else:
-                plain = []
-        if len(plain) < len(words):
-            known = set(plain)
-            rest = [w for w in words if w not in known]
-            for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-                self.young[w] = e.ids
-
-    def __call__(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if self.WHOLE.search(text):
-            return self.encode(text)
-        words = text.lower().split()
+                new.add(w)
+        if new:
+            self.learn([w for w in new if w not in young])
+        for w in cut:
+            young[w] = young[w[:-1]] + final[w[-1]]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.young) > self.CACHE_WORDS:
             self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        missing = set(words).difference(young)
-        if missing:
-            for w in missing.intersection(old):
-                young[w] = old[w]
-            missing.difference_update(young)
-            if missing:
-                self.learn(missing)
-        out: list[int] = []
-        for ids in map(young.__getitem__, words):
-            out += ids
-        return out
+        whole = [self.MARK in t or self.WHOLE.search(t) is not None for t in texts]
+        raw = [b"" if w else t.lower().encode() for t, w in zip(texts, whole)]
+        data = b"".join(raw)
+        hashes, begin, end, first = word_spans(raw)
+        _, pick, which = np.unique(hashes, return_index=True, return_inverse=True)
+        words = [data[s:e].decode() for s, e in zip(begin[pick].tolist(), end[pick].tolist())]
+        self.lookup([w for w in words if w not in self.young])
+        ids = [self.young[w] for w in words]
+        # the ids of each distinct word, laid out in the order of the words
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        start = np.cumsum(size) - size
+        length = size[which]
+        place = np.concatenate([[0], np.cumsum(length)])
+        out = flat[np.repeat(start[which] - place[:-1], length) + np.arange(place[-1])]
+        cuts = place[first].tolist()
+        return [np.array(self.encode(t), dtype="<u4") if w else out[a:b]
+                for t, w, a, b in zip(texts, whole, cuts, cuts[1:])]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
-def vocabulary_tokens(name: str = VOCABULARY) -> Callable[[str], list[int]]:
+def vocabulary_tokens(name: str = VOCABULARY) -> Callable[[list[str]], list[np.ndarray]]:
     """The tokenizer of a public vocabulary file, one for each worker."""
     import public_tokenizers
 
@@ -122,6 +153,20 @@ def vocabulary_tokens(name: str = VOCABULARY) -> Callable[[str], list[int]]:
 # packing
 
 
+def text_runs(texts: list[str | None], budget: int = 4 << 20):
+    """(first index, texts) of runs of about ``budget`` characters."""
+    run, size, begin = [], 0, 0
+    for i, t in enumerate(texts):
+        t = t or ""
+        if run and size + len(t) > budget:
+            yield begin, run
+            run, size, begin = [], 0, i
+        run.append(t)
+        size += len(t)
+    if run:
+        yield begin, run
+
+
 class Piece:
     """Ids [start, start + len(ids)) of one document."""
 
@@ -228,12 +273,12 @@ class Output:
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         tokens: Callable[[], Callable[[str], list[int]]] = vocabulary_tokens,
+         tokens: Callable[[], Callable[[list[str]], list[np.ndarray]]] = vocabulary_tokens,
          window: int = WINDOW, open_windows: int = OPEN_WINDOWS, keep_ids: bool = False) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset and, with ``keep_ids``, the ids as little-endian
     32-bit integers. ``tokens`` is called once in a task and gives the
-    function from text to ids; id 1 ends every document.
+    function from texts to arrays of ids; id 1 ends every document.
 
     A null or empty text is the end id alone. Repeated rows are documents of
     their own. An empty table gives no pieces. Extra columns are ignored."""
@@ -242,17 +287,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = f"doc_id {dict(base.dtypes)['doc_id']}, {ROWS}"
 
     def first(batches):
-        encode = tokens()
+        encode, end = tokens(), np.array([END_ID], dtype="<u4")
         packer = Packer(window, open_windows)
         out = None
         for b in batches:
             out = out or Output(0, TaskContext.get().partitionId(), b.column("doc_id").type, keep_ids)
-            texts = b.column("text")
-            for i, d in enumerate(b.column("doc_id").to_pylist()):
-                ids = encode(texts[i].as_py() or "")
-                ids = np.array([*ids, END_ID], dtype="<u4")
-                for full in packer.add(Piece(d, 0, ids, len(ids))):
-                    out.put(full)
+            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            for i, group in text_runs(texts):
+                for d, own in zip(ids[i:i + len(group)], encode(group)):
+                    own = np.concatenate([own, end])
+                    for full in packer.add(Piece(d, 0, own, len(own))):
+                        out.put(full)
                 yield from out.take(4096)
         if out is not None:
             for k, (_, pieces) in enumerate(packer.open):
