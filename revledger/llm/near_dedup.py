@@ -13,11 +13,14 @@ leaves out where they differ. Every pair within the distance meets under
 some key.
 
 A key may be shared by very many classes, so pairs of a bucket are not
-enumerated. In each round a bucket picks a few pivots and its other members
-are compared with them; candidates within the signature distance are then
-confirmed on the full sets, and components are updated. Only members whose
-pairs are neither tested nor joined already go to the next round, until
-none is left. In a group of near copies the first pivots join nearly all.
+enumerated. First every bucket compares its members with one pivot, its
+smallest class: candidates within the signature distance are confirmed on
+the full sets, and the links give components. In a group of near copies
+that joins nearly all. Buckets whose other members still are in several
+components are joined to clusters, which hold every pair that is not
+settled. A cluster is cut into blocks of a bounded number of shingles; each
+pair of blocks is compared in one task on the full sets by a sparse matrix
+product, and only the links that join components leave the task.
 """
 
 from __future__ import annotations
@@ -28,15 +31,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revledger.llm.common import (hash_words, mix, only, prepare, saved, small_or_plain,
                                   text_groups, window_hash)
 
 BITS = 16
-#: pivots of a bucket in the second round; four times as many in each later
-PIVOTS = 16
+#: shingles in a block of an unsettled cluster, about
+BLOCK_SHINGLES = 400_000
+#: classes compared at once inside a task
+TILE = 128
 #: positions are grouped in chunks of five
 CHUNK = 5
 
@@ -231,37 +236,124 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.select("id", "comp")
 
 
-def link_classes(docs: DataFrame, reps: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame | None]:
-    """(links between class representatives, components or None)."""
+def unsettled(open_members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(cluster, rep, comp) of the classes that have pairs left: members of
+    buckets with several components, joined over common members."""
+    labelled = open_members.join(comps, open_members["rep"] == comps["id"], "left").select(
+        "key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    labelled = saved(labelled, "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"),
+                                        F.min("rep").alias("_first"))
+    mixed = mixed.filter(F.col("_low") != F.col("_high")).select("key", "_first")
+    left = saved(labelled.join(mixed, "key").select("rep", "comp", "_first").distinct(), "open")
+    clusters = components(left.filter("rep <> _first").select(
+        F.col("_first").alias("a"), F.col("rep").alias("b")).distinct())
+    return left.select("rep", "comp").distinct().join(
+        clusters.withColumnRenamed("comp", "cluster"), F.col("rep") == F.col("id")).select(
+        "cluster", "rep", "comp")
+
+
+def tile_links(sets: list[np.ndarray], left: range, right: range, similarity: int) -> np.ndarray:
+    """(i, j) rows, i of ``left`` and j of ``right``, of the similar sets. The
+    intersections are the product of two 0-1 matrices over the shingles that
+    both tiles have."""
+    a, b = (np.concatenate([sets[i] for i in t]) for t in (left, right))
+    na, nb = (np.array([len(sets[i]) for i in t]) for t in (left, right))
+    vocabulary = np.intersect1d(a, b)
+    inter = np.zeros((len(left), len(right)), dtype=np.float32)
+    for begin in range(0, len(vocabulary), 8192):
+        part = vocabulary[begin:begin + 8192]
+        both = []
+        for values, sizes in ((a, na), (b, nb)):
+            at = np.searchsorted(part, values)
+            at[at == len(part)] = 0
+            hit = part[at] == values
+            m = np.zeros((len(sizes), len(part)), dtype=np.float32)
+            m[np.repeat(np.arange(len(sizes)), sizes)[hit], at[hit]] = 1
+            both.append(m)
+        inter += both[0] @ both[1].T
+    inter = inter.astype(np.int64)
+    near = 100 * inter >= similarity * (na[:, None] + nb[None, :] - inter)
+    return np.argwhere(near) + np.array([left.start, right.start])
+
+
+def block_links(reps: list[int], comps: list[int], sets: list[np.ndarray], first: np.ndarray,
+                similarity: int) -> list[tuple[int, int]]:
+    """Links that join different components, as few as join them all, among
+    the classes of one block (``first`` all true) or between the classes
+    with and without ``first``."""
+    parent = {c: c for c in comps}
+
+    def top(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    n = len(reps)
+    cut = int(first.sum())
+    tiles = [range(i, min(i + TILE, stop)) for begin, stop in ((0, cut), (cut, n))
+             for i in range(begin, stop, TILE)]
+    out = []
+    for x, left in enumerate(tiles):
+        for right in tiles[x:]:
+            within = cut == n
+            if not within and (left.start >= cut or right.start < cut):
+                continue
+            if len({top(comps[i]) for i in (*left, *right)}) < 2:
+                continue
+            for i, j in tile_links(sets, left, right, similarity).tolist():
+                a, b = top(comps[i]), top(comps[j])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((reps[i], reps[j]))
+    return out
+
+
+def cluster_links(clusters: DataFrame, docs: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, b): links between the components of each cluster."""
+    wanted = saved(clusters.select("rep").join(reps.select("rep", "set_hash"), "rep"), "wanted")
+    sets = saved(shingle_sets(docs, wanted, scheme.words), "sets")
+    sizes = sets.select("rep", F.size("shingles").alias("n")).join(clusters.select("rep", "cluster"), "rep")
+    blocks = saved(sizes.groupBy("cluster").agg(
+        (F.floor(F.sum("n") / BLOCK_SHINGLES) + 1).cast("int").alias("blocks")), "blocks")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    rows = clusters.join(blocks, "cluster").withColumn("block", block).join(sets, "rep")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("rep", "comp", "shingles", "cluster", "block", F.least("block", "other").alias("lo"),
+                       F.greatest("block", "other").alias("hi"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("block").to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        shingles_of = table.column("shingles").combine_chunks()
+        values, offsets = shingles_of.flatten().to_numpy(), shingles_of.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        parts = [values[i:j] for i, j in zip(offsets, offsets[1:])]
+        first = table.column("block").to_numpy() == key[1].as_py()
+        links = block_links(table.column("rep").to_pylist(), table.column("comp").to_pylist(), parts,
+                            first, scheme.similarity)
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("cluster", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
+def link_classes(docs: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
+    """(id, comp) of the classes that are linked with another."""
     keys = index_keys(reps, scheme)
     shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top"))
     shared = shared.filter(F.col("pivot") != F.col("top")).select("key", "pivot")
-    members = saved(keys.join(shared, "key"), "members")
-    pairs = members.filter(F.col("rep") != F.col("pivot")).select(
-        F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    open_members = members.filter(F.col("rep") != F.col("pivot")).select("key", "rep")
-    links, comps, pivots = None, None, PIVOTS
-    while True:
-        cands = saved(candidates(pairs, reps, scheme), "candidates")
-        new = saved(confirmed(cands, docs, reps, scheme), "links")
-        links = new if links is None else saved(links.unionByName(new), "links")
-        comps = components(links)
-        # what is left: buckets whose unused members are in several components
-        labelled = open_members.join(comps, open_members["rep"] == comps["id"], "left").select(
-            "key", "rep", F.coalesce("comp", "rep").alias("comp"))
-        mixed = labelled.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"))
-        mixed = mixed.filter(F.col("_low") != F.col("_high")).select("key")
-        left = saved(labelled.join(mixed, "key", "left_semi"), "open")
-        if left.isEmpty():
-            return links, comps
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep"))
-        chosen = saved(left.withColumn("_rank", rank).filter(F.col("_rank") <= pivots).select(
-            "key", F.col("rep").alias("pivot"), F.col("comp").alias("pivot_comp"), "_rank"), "pivots")
-        met = left.join(chosen, "key").filter(F.col("comp") != F.col("pivot_comp"))
-        pairs = met.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
-        open_members = left.select("key", "rep").join(
-            chosen.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti")
-        pivots *= 4
+    members = saved(keys.join(shared, "key").filter("rep <> pivot"), "members")
+    pairs = members.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    cands = saved(candidates(pairs, reps, scheme), "candidates")
+    links = saved(confirmed(cands, docs, reps, scheme), "links")
+    comps = components(links)
+    clusters = saved(unsettled(members.select("key", "rep"), comps), "clusters")
+    if clusters.isEmpty():
+        return comps
+    more = cluster_links(clusters, docs, reps, scheme)
+    return components(saved(links.unionByName(more), "links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -280,7 +372,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = saved(classes.groupBy("set_hash").agg(
         F.min("doc_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("rows"),
         F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
-    _, comps = link_classes(docs, classes.select("rep", "set_hash", "n_shingles", "signature"), scheme)
+    comps = link_classes(docs, classes.select("rep", "set_hash", "n_shingles", "signature"), scheme)
     named = classes.join(comps, F.col("rep") == F.col("id"), "left").select(
         F.col("set_hash").alias("_set"), F.coalesce("comp", "rep").alias("_comp"), "rows", "rep")
     named = saved(named.filter((F.col("rows") > 1) | (F.col("_comp") != F.col("rep")))
