@@ -32,6 +32,9 @@ OPEN_WINDOWS = 16
 FAN_IN = 16
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
+#: characters whose words are looked up together, and texts hashed at once
+RUN_CHARS = 8 << 20
+SPAN_TEXTS = 256
 
 # ---------------------------------------------------------------------------
 # tokens
@@ -60,13 +63,13 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         #: tokens that end a run of letters
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.final = {c: self.packed(self.encode(c)) for c in ".,"
+        self.final = {c.encode(): self.packed(self.encode(c)) for c in ".,"
                       if self.encode("a" + c) == self.encode("a") + self.encode(c)}
 
     def encode(self, text: str) -> list[int]:
@@ -76,25 +79,29 @@ class WordTokenizer:
     def packed(ids: list[int]) -> bytes:
         return np.array(ids, dtype="<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Encode words and put them into the young generation. Words of
         letters are encoded in one call: each is one run of letters, which
         ends at the next token that ends one."""
         young = self.young
-        plain = [w for w in words if w.isalpha()]
+        plain, rest = [], []
+        for w in words:
+            (plain if w.isalpha() or w.decode().isalpha() else rest).append(w)
         if plain:
-            ids = np.array(self.encode(" ".join(plain)), dtype="<u4")
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            ids = np.array(self.encode(b" ".join(plain).decode()), dtype="<u4")
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(ends) == len(plain):
                 raw, at = ids.tobytes(), 0
                 for w, e in zip(plain, ends):
-                    young[w] = raw[at:4 * e]
-                    at = 4 * e
-        rest = [w for w in words if w not in young]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+                    young[w] = raw[at:e]
+                    at = e
+            else:
+                rest = words
+        rest_ids = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+        for w, e in zip(rest, rest_ids):
             young[w] = self.packed(e.ids)
 
-    def lookup(self, missing: list[str]) -> None:
+    def lookup(self, missing: list[bytes]) -> None:
         """Bring words into the young generation, from the old one or by
         encoding them or what is left without a final sign."""
         young, old, final = self.young, self.old, self.final
@@ -103,16 +110,15 @@ class WordTokenizer:
             ids = old.get(w)
             if ids is not None:
                 young[w] = ids
-            elif w[-1] in final and w[:-1].isalpha():
+            elif w[-1:] in final and w[:-1].decode().isalpha():
                 cut.append(w)
                 if w[:-1] not in young:
                     new.add(w[:-1])
             else:
                 new.add(w)
-        if new:
-            self.learn([w for w in new if w not in young])
+        self.learn([w for w in new if w not in young])
         for w in cut:
-            young[w] = young[w[:-1]] + final[w[-1]]
+            young[w] = young[w[:-1]] + final[w[-1:]]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.young) > self.CACHE_WORDS:
@@ -120,11 +126,24 @@ class WordTokenizer:
         whole = [self.MARK in t or self.WHOLE.search(t) is not None for t in texts]
         raw = [b"" if w else t.lower().encode() for t, w in zip(texts, whole)]
         data = b"".join(raw)
-        hashes, begin, end, first = word_spans(raw)
-        _, pick, which = np.unique(hashes, return_index=True, return_inverse=True)
-        words = [data[s:e].decode() for s, e in zip(begin[pick].tolist(), end[pick].tolist())]
-        self.lookup([w for w in words if w not in self.young])
-        ids = [self.young[w] for w in words]
+        hashes, begin, end, first, base = [], [], [], [0], 0
+        for i in range(0, len(raw), SPAN_TEXTS):
+            part = raw[i:i + SPAN_TEXTS]
+            h, s, e, f = word_spans(part)
+            hashes.append(h)
+            begin.append(s + base)
+            end.append(e + base)
+            first += (f[1:] + first[-1]).tolist()
+            base += sum(map(len, part))
+        begin, end = np.concatenate(begin), np.concatenate(end)
+        _, pick, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        words = [data[s:e] for s, e in zip(begin[pick].tolist(), end[pick].tolist())]
+        ids = list(map(self.young.get, words))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            self.lookup([words[i] for i in missing])
+            for i in missing:
+                ids[i] = self.young[words[i]]
         # the ids of each distinct word, laid out in the order of the words
         flat = np.frombuffer(b"".join(ids), dtype="<u4")
         size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
@@ -153,7 +172,7 @@ def vocabulary_tokens(name: str = VOCABULARY) -> Callable[[list[str]], list[np.n
 # packing
 
 
-def text_runs(texts: list[str | None], budget: int = 4 << 20):
+def text_runs(texts: list[str | None], budget: int = RUN_CHARS):
     """(first index, texts) of runs of about ``budget`` characters."""
     run, size, begin = [], 0, 0
     for i, t in enumerate(texts):
