@@ -1,0 +1,42 @@
+import random
+
+import pytest
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omikron pi rho".split()
+
+
+def prose(seed: int, n: int) -> str:
+    """``n`` invented words with sentences and lines."""
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        w = r.choice(WORDS) + r.choice(WORDS)[:2] + str(r.randrange(3)) * r.randrange(2)
+        out.append(w + ("." if r.random() < 0.1 else "") + ("\n" if r.random() < 0.05 else " "))
+    return "".join(out).strip()
+
+
+#: columns whose names the operators use themselves
+CLASH = {"host": "string", "words": "string", "key": "long", "rep": "long", "anchor": "long", "_id": "long",
+         "kept": "string", "n_words": "string", "canon": "string", "c0": "string", "path": "string",
+         "hash": "string", "unit": "string", "score": "string", "item_id": "string"}
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(spark, rows, clash=True):
+    """``rows`` of (doc_id, text, source) as a documents table, with columns
+    of clashing names beside."""
+    schema = SCHEMA + "".join(f", `{c}` {t}" for c, t in CLASH.items()) if clash else SCHEMA
+    full = [(i, t, "en", s, None if t is None else len(t)) + tuple(
+        (7 if k == "long" else "x") for k in CLASH.values()) * clash for i, t, s in rows]
+    return spark.createDataFrame(full, schema)
+
+
+@pytest.fixture(scope="session")
+def odd_rows():
+    """Nulls everywhere, empty and blank texts, a very long text, ties,
+    repeated rows, and texts of odd characters."""
+    long = prose(1, 30_000)
+    return [(1, None, "a"), (2, "", "a"), (3, " \n\t ", None), (4, long, "a"), (5, long, "a"),
+            (6, "one", "b"), (7, "one two", "b"), (8, prose(2, 80), "b"), (8, prose(2, 80), "b"),
+            (9, "x\x1cy\x85z   é ß Σς İ 😀 İ <|endoftext|>", None), (None, prose(2, 80), "a"),
+            (None, None, None), (10, prose(3, 80), "c"), (11, prose(3, 80) + " extra", "c")]

@@ -1,0 +1,80 @@
+"""WARC archives: round trips and splits at every kind of place."""
+
+import base64
+import hashlib
+import io
+import random
+import zlib
+
+import pytest
+
+from revledger.llm import warc
+from revledger.llm.common import new_folder
+
+SCHEMA = "page_id long, url string, html string, path string, bytes long, payload string, start long"
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1, "y", 2) for r in rows], SCHEMA)
+
+
+def member(n, payload):
+    raw = warc.build_record(n, "http://h/", payload, len(payload), warc.digest(payload), None)
+    z = zlib.compressobj(0 if n % 2 else 6, zlib.DEFLATED, 31)
+    return z.compress(raw) + z.flush()
+
+
+@pytest.mark.parametrize("split", [1, 7, 100, 1000, 1 << 20])
+def test_each_record_is_owned_once(split):
+    # stored members hold gzip magic inside their data
+    payloads = [b"", warc.MAGIC * 50, b"WARC/1.1\r\n\r\n" + warc.MAGIC, random.Random(1).randbytes(3000), b"z" * 5000]
+    data = b"".join(member(i, p) for i, p in enumerate(payloads))
+    f, got = io.BytesIO(data), []
+    step = max(split, len(data) // 400)
+    for start in range(0, len(data), step):
+        for _, h, block in warc.read_range(f, len(data), start, min(len(data), start + step)):
+            got.append((h["warc-record-id"], warc.http_payload(block)[0]))
+    assert got == [(warc.record_id(i), p) for i, p in enumerate(payloads)]
+
+
+def test_broken_member_is_passed_over():
+    a, b = member(0, b"first"), member(2, b"second")
+    data = a + member(4, b"q" * 400)[:60] + b
+    got = [warc.http_payload(x)[0] for _, _, x in warc.read_range(io.BytesIO(data), len(data), 0, len(data))]
+    assert got == [b"first", b"second"]
+
+
+def expect(rows, least):
+    first = {}
+    for i, _, h in rows:
+        if i is not None:
+            first[h or ""] = min(i, first.get(h or "", i))
+    out = []
+    for i, _, h in rows:
+        p = (h or "").encode()
+        to = first.get(h or "") if len(p) >= least else None
+        to = None if to == i else to
+        out.append((i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(),
+                    "response" if to is None else "revisit", to))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("least", [0, 4])
+def test_round_trip(spark, least):
+    rows = [(i, f"http://h{i % 3}/{i}", "<p>é %d</p>" % (i % 7) * (i % 5)) for i in range(60)]
+    rows += [(100, None, None), (101, "u\r\nv", "abc"), (102, "", "abc"), (None, "n", "abc"), (101, "u", "abc")]
+    rows += [(200, "long", "Ω" * 300_000)]
+    folder = new_folder(spark, "warc-test")
+    files = warc.write_warc(warc.with_revisits(pages(spark, rows), least), folder, file_bytes=2000)
+    got = warc.read_warc(files, split_bytes=512).collect()
+    assert all(r["digest_ok"] for r in got)
+    assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"])
+                   for r in got), key=str) == expect(rows, least)
+    listed = {r["path"].rsplit("/", 1)[1] for r in warc.list_warc(spark, folder).collect()}
+    assert listed == {r["path"].rsplit("/", 1)[1] for r in files.collect()}
+    kept = {r["page_id"]: bytes(r["payload"]) for r in got if r["record_type"] == "response"}
+    assert kept[200] == ("Ω" * 300_000).encode()
+
+
+def test_empty_table(spark):
+    assert warc.warc_round_trip(pages(spark, [])).collect() == []
