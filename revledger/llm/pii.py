@@ -5,7 +5,7 @@ transducers rewrites disguises (look-alike letters and digits, spelled
 digits, "at" and "dot" in their usual brackets) while carrying, for each
 output character, the span of source characters that it came from.
 Identifiers found in the rewritten text are mapped back to source spans and
-added where they do not overlap one found before.
+added where they overlap none found before, or hold more of the same one.
 
 Each text is handled alone inside a task: no shuffle, any size.
 """
@@ -204,7 +204,8 @@ def all_spans(text: str) -> tuple[list, list]:
     spans = list(base)
     for s, e, kind in find(tape.text):
         a, b = tape.source(s, e)
-        if not any(a < y and x < b for x, y, _ in spans):
+        met = [x for x in spans if a < x[1] and x[0] < b]
+        if all(k == kind and a <= x and y <= b and (x, y) != (a, b) for x, y, k in met):
             spans.append((a, b, kind))
     return base, sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 

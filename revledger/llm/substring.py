@@ -194,6 +194,11 @@ def searched_classes(texts: DataFrame, shards: int, window: int) -> DataFrame:
     """(anchor, seg, doc_id, at, found, earlier) of every class."""
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("at", "ascending")])
+        # repeated rows of a document bring its classes more than once
+        place = np.column_stack([table.column(c).to_numpy() for c in ("doc_id", "at")])
+        new = np.ones(len(place), dtype=bool)
+        new[1:] = (place[1:] != place[:-1]).any(axis=1)
+        table = table.filter(pa.array(new))
         found, earlier = search_shard({"words": table.column("words").to_pylist()}, window)
         return table.select(["anchor", "seg", "doc_id", "at"]).append_column(
             "found", pa.array(found, pa.int64())).append_column("earlier", pa.array(earlier, pa.int64()))
