@@ -400,8 +400,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         again = small_or_plain(again)
         once = rest.join(again, F.col(key) == F.col("_again"), "left_anti")
         others = [c for c in rest.columns if c != key]
+        text = F.col(f"c{names.index(text_col)}").alias("_text")
         several = rest.join(again, F.col(key) == F.col("_again"), "left_semi").groupBy(key).agg(
-            F.min(F.struct(f"c{names.index(text_col)}", *others)).alias("_row"))
+            F.min(F.struct(text, *others)).alias("_row"))
         several = several.select(*[key if c == key else F.col("_row")[c].alias(c) for c in rest.columns])
         rest = once.unionByName(several)
     return rest.toDF(*names)
