@@ -304,13 +304,18 @@ where k = 1
 """)
 
 
-# the revision each host stores: how many of its orders are finished (0 =
-# a revision no migration leaves); the target is its latest revision
-_view("fx_host_revs", ("orders",), """
-select o_custkey as application,
+# a fleet: an application has a host for each priority of its orders, with
+# the number of that priority's finished orders as stored revision. Hosts of
+# the low priorities follow one revision behind; every other host is a main
+_view("fx_fleet", ("orders", "customer"), """
+select concat(cast(o_custkey as string), '-', substr(o_orderpriority, 1, 1)) as host_id,
+       o_custkey as application, cast(min(c_nationkey) as string) as group_type,
+       case when substr(o_orderpriority, 1, 1) in ('1', '3', '5') then 'main' else 'replica' end as upgrade_type,
        cast(sum(case when o_orderstatus = 'F' then 1 else 0 end) as bigint) as from_rev,
-       cast(count(*) as bigint) as target_rev
-from {orders} group by o_custkey
+       min(n) - case when o_orderpriority = '5-LOW' then 1 else 0 end as target_rev
+from (select *, cast(count(*) over (partition by o_custkey) as bigint) as n from {orders}) o
+join {customer} on c_custkey = o_custkey
+group by o_custkey, o_orderpriority
 """)
 
 

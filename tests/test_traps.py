@@ -439,3 +439,79 @@ def test_checkpoint_dir_from_conf_is_used():
         conf = Conf()
 
     assert ensure_checkpoint_dir(Session()) == "hdfs://shared/ckpt"
+
+
+FLEET = "host_id string, application string, kind string, from_rev string, target_rev string"
+
+
+def _fleet(spark, limit, hops_limit=10**6):
+    edges = spark.createDataFrame([("a", "1", "2"), ("a", "2", "3")], EDGES)
+    starts = spark.createDataFrame([
+        ("h1", "a", "main", "1", "3"), ("h2", "a", "main", "1", "3"), ("h3", "a", "replica", "1", "2"),
+        ("h4", "a", "main", "3", "3"), ("h5", "a", "main", "9", "3")], FLEET)
+    return graph.find_ways(edges, starts, group_edge_limit=limit, way_hop_limit=hops_limit)
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+@pytest.mark.parametrize("hops_limit", [1, 10**6])
+def test_fleet_with_two_hosts_and_two_targets(spark, limit, hops_limit):  # J4, G3
+    ways = _fleet(spark, limit, hops_limit)
+    entries = spark.createDataFrame(
+        [("a", "m2", "2", ["1"]), ("a", "m3", "3", ["2"])],
+        "application string, migration_id string, to_rev string, compatible array<string>")
+    scripts_df = spark.createDataFrame(
+        [("a", "m2", "main", 1, "2m"), ("a", "m2", "replica", 1, "2r"), ("a", "m3", "main", 1, "3m")],
+        "application string, migration_id string, upgrade_type string, pos int, script string")
+    out = graph.hop_scripts(ways, entries, scripts_df, F.col("kind"))
+    assert rows(out, "host_id", "target_rev", "hop_no", "status", "script") == [
+        ("h1", "3", 1, "ok", "2m"), ("h1", "3", 2, "ok", "3m"),
+        ("h2", "3", 1, "ok", "2m"), ("h2", "3", 2, "ok", "3m"), ("h3", "2", 1, "ok", "2r")]
+    assert rows(graph.refusals(ways, out), "host_id", "reason") == [("h5", "no_way")]
+    pushed = graph.expand_hops(ways, F.lit("done"), kinds=("var",))
+    assert rows(pushed, "host_id", "target_rev", "hop_no", "revision", "is_final") == [
+        ("h1", "3", 1, "2", False), ("h1", "3", 2, "3", True), ("h2", "3", 1, "2", False),
+        ("h2", "3", 2, "3", True), ("h3", "2", 1, "2", True), ("h4", "3", 1, "3", True)]
+
+
+def test_refused_hosts_name_the_first_bad_hop(spark):
+    ways = _fleet(spark, 1000)
+    entries = spark.createDataFrame(
+        [("a", "m2", "2", ["1"]), ("a", "n2", "2", ["1"])],
+        "application string, migration_id string, to_rev string, compatible array<string>")
+    none = spark.createDataFrame([], "application string, migration_id string, upgrade_type string, "
+                                     "pos int, script string")
+    out = graph.refusals(ways, graph.hop_scripts(ways, entries, none, F.col("kind")))
+    assert rows(out, "host_id", "reason") == [("h1", "non_unique"), ("h2", "non_unique"),
+                                              ("h3", "non_unique"), ("h5", "no_way")]
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_null_edges_and_large_ids(spark, limit):  # G1
+    big = (1 << 53) + 1
+    edges = spark.createDataFrame([(1, big, big + 1), (1, big + 1, big + 2), (1, None, big), (1, big, None),
+                                   (None, big, big + 2)], "application long, from_rev long, to_rev long")
+    starts = spark.createDataFrame([(1, big, big + 2), (1, None, big), (None, big, big + 2)],
+                                   "application long, from_rev long, target_rev long")
+    out = graph.find_ways(edges, starts, group_edge_limit=limit)
+    got = {(r["application"], r["from_rev"]): (r["status"], [(h["to_rev"], h["from_rev"]) for h in r["way"] or []])
+           for r in out.collect()}
+    assert got == {(1, big): ("unique", [(big + 1, big), (big + 2, big + 1)]),
+                   (1, None): ("no_way", []), (None, big): ("no_way", [])}
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_long_chain_is_walked_to_its_end(spark, limit):
+    edges = spark.createDataFrame([("a", str(i), str(i + 1)) for i in range(12)], EDGES)
+    starts = spark.createDataFrame([("a", "0", "12")], STARTS)
+    r = graph.find_ways(edges, starts, group_edge_limit=limit).first()
+    assert (r["status"], r["length"]) == ("unique", 12)
+
+
+def test_hop_with_over_a_thousand_scripts_stays_in_order(spark):
+    from revledger.operators import routing
+    plan = spark.createDataFrame(
+        [("h", 1, 1, p, f"a{p}") for p in range(1, 1102)] + [("h", 1, 2, 1, "b1")],
+        "host_id string, phase_no int, hop_no long, pos long, item string")
+    out = routing.number_fragments(plan, order=["phase_no", "hop_no", "pos"])
+    got = {r["item"]: r["fragment_no"] for r in out.collect()}
+    assert got["a1101"] == 1101 and got["b1"] == 1102
