@@ -216,24 +216,36 @@ def confirmed(cands: DataFrame, docs: DataFrame, reps: DataFrame, scheme: Scheme
 
 def components(links: DataFrame) -> DataFrame:
     """(id, comp) with the smallest id reachable, for ids in ``links`` (a, b).
-    Each step takes the neighbours' smallest label and then the label's own
-    label, so the steps grow with the logarithm of the longest path."""
-    edges = saved(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
-        links.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = saved(edges.groupBy(F.col("u").alias("id")).agg(
-        F.least(F.col("id"), F.min("v")).alias("comp")), "labels")
+
+    In each round every vertex points to its smallest neighbour, pointers are
+    followed to their ends (in steps that double), and the links are
+    contracted to the ends, so their number falls with every round."""
+    edges = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                  .filter("a <> b").distinct(), "edges")
+    labels = None
     while True:
-        near = edges.join(labels.select(F.col("id").alias("v"), F.col("comp").alias("c")), "v")
-        near = near.groupBy(F.col("u").alias("id")).agg(F.min("c").alias("m"))
-        step = labels.join(near, "id").select("id", F.col("comp").alias("was"),
-                                              F.least("comp", "m").alias("comp"))
-        step = saved(step, "step")
-        up = step.select(F.col("id").alias("comp"), F.col("comp").alias("upper"))
-        labels = saved(step.join(up, "comp", "left").select(
-            "id", F.least("comp", F.coalesce("upper", "comp")).alias("comp"), "was"), "labels")
-        if labels.filter(F.col("comp") != F.col("was")).isEmpty():
-            return labels.select("id", "comp")
-        labels = labels.select("id", "comp")
+        both = edges.union(edges.select("b", "a")).toDF("u", "v")
+        parent = saved(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p")), "parent")
+        while True:
+            end = parent.select(F.col("u").alias("p"), F.col("p").alias("q"))
+            step = saved(parent.join(end, "p").select("u", F.col("q").alias("p"), (F.col("q") != F.col("p"))
+                                                      .alias("moved")), "jump")
+            moved = not step.filter("moved").isEmpty()
+            parent = step.select("u", "p")
+            if not moved:
+                break
+        if labels is None:
+            labels = parent.select(F.col("u").alias("id"), F.col("p").alias("comp"))
+        else:
+            up = parent.select(F.col("u").alias("comp"), "p")
+            labels = saved(labels.join(up, "comp", "left").select(
+                "id", F.coalesce("p", "comp").alias("comp")), "labels")
+        to_a = parent.select(F.col("u").alias("a"), F.col("p").alias("x"))
+        to_b = parent.select(F.col("u").alias("b"), F.col("p").alias("y"))
+        edges = saved(edges.join(to_a, "a").join(to_b, "b").filter("x <> y").select(
+            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
+            return labels
 
 
 def unsettled(open_members: DataFrame, comps: DataFrame) -> DataFrame:
