@@ -38,26 +38,59 @@ WINDOW = 20
 ANCHOR_WORDS = 5
 #: occurrences above which an anchor's windows are spread; grows with the
 #: input so that at most HEAVY_ANCHORS anchors are heavy
-HEAVY = 4000
+HEAVY = 20_000
 HEAVY_ANCHORS = 1_000_000
 #: words in one FM-index, about
 SHARD_WORDS = 400_000
 
+_PLACE_BITS = 21
 _MULT = np.uint64(0xD1342543DE82EF95)
 _MULT_INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
 
 
-def segments(words: np.ndarray, heavy: np.ndarray, window: int = WINDOW):
-    """(anchor, segment hash, first window, windows, is heavy) arrays for the
-    word hashes of one text; ``heavy`` are sorted anchors to cut up."""
+def anchors(runs: np.ndarray, count: int, span: int) -> np.ndarray:
+    """For each of ``count`` windows, the place of the smallest of its
+    ``span`` run hashes (the first of equal ones). ``span`` is any number;
+    minima over powers of two are combined. The high bits of a hash decide,
+    the low bits carry the place, counted inside a chunk."""
+    out = np.empty(count, dtype=np.int64)
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    step = (1 << _PLACE_BITS) - span
+    for base in range(0, count, step):
+        part = runs[base:base + step + span - 1]
+        key = (part & ~low) | np.arange(len(part), dtype=np.uint64)
+        size = 1
+        while 2 * size <= span:
+            key = np.minimum(key[:-size], key[size:])
+            size *= 2
+        if size < span:
+            key = np.minimum(key[:len(key) - (span - size)], key[span - size:])
+        n = min(step, count - base)
+        out[base:base + n] = (key[:n] & low).astype(np.int64) + base
+    return out
+
+
+def segments(words: np.ndarray, first: np.ndarray, heavy: np.ndarray, window: int = WINDOW):
+    """(text, anchor, segment hash, first window, windows, is heavy) arrays
+    for the word hashes of several texts (``first``: first word of each, and
+    the total); ``heavy`` are sorted anchors whose segments are cut up.
+    None if no text has a window."""
     count = len(words) - window + 1
     if count <= 0:
         return None
     runs = window_hash(words, ANCHOR_WORDS)
-    span = window - ANCHOR_WORDS + 1
-    where = np.lib.stride_tricks.sliding_window_view(runs, span).argmin(axis=1) + np.arange(count)
-    begin = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-    end = np.append(begin[1:], count)
+    where = anchors(runs, count, window - ANCHOR_WORDS + 1)
+    # windows that lie inside one text
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))[:count]
+    inside = np.arange(count) + window <= first[1:][text]
+    same = np.zeros(count, dtype=bool)
+    same[1:] = (where[1:] == where[:-1]) & (text[1:] == text[:-1]) & inside[:-1]
+    begin = np.flatnonzero(inside & ~same)
+    if not len(begin):
+        return None
+    last = inside.copy()
+    last[:-1] &= ~(same[1:] & inside[1:])
+    end = np.flatnonzero(last) + 1
     anchor = runs[where[begin]]
     is_heavy = np.isin(anchor, heavy) if len(heavy) else np.zeros(len(begin), dtype=bool)
     if is_heavy.any():
@@ -69,20 +102,19 @@ def segments(words: np.ndarray, heavy: np.ndarray, window: int = WINDOW):
     up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(words), _MULT)]))
     down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(words), _MULT_INV)]))
     total = np.concatenate([[np.uint64(0)], np.cumsum(words * up[:-1])])
-    size = (end - begin).astype(np.uint64)
-    seg = mix((total[end + window - 1] - total[begin]) * down[begin] + size)
+    seg = mix((total[end + window - 1] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
     if is_heavy.any():
         anchor = np.where(is_heavy, mix(seg + np.uint64(7)), anchor)
-    return anchor, seg, begin, end - begin, is_heavy
+    return text[begin], anchor, seg, begin - first[text[begin]], end - begin, is_heavy
 
 
-def _first_two(anchor: np.ndarray, seg: np.ndarray) -> np.ndarray:
-    """Indexes of the first two occurrences of each (anchor, seg)."""
-    order = np.lexsort((np.arange(len(seg)), seg, anchor))
-    a, s = anchor[order], seg[order]
-    same = np.zeros(len(order), dtype=bool)
-    same[2:] = (a[2:] == a[:-2]) & (s[2:] == s[:-2])
-    return np.sort(order[~same])
+def _first_two(text: np.ndarray, anchor: np.ndarray, seg: np.ndarray) -> np.ndarray:
+    """Indexes of the first two occurrences of each (text, anchor, seg)."""
+    order = np.lexsort((seg, anchor, text))  # stable: in order of occurrence
+    t, a, s = text[order], anchor[order], seg[order]
+    more = np.zeros(len(order), dtype=bool)
+    more[2:] = (t[2:] == t[:-2]) & (a[2:] == a[:-2]) & (s[2:] == s[:-2])
+    return np.sort(order[~more])
 
 
 def occurrences(docs: DataFrame, heavy: list[int], window: int) -> DataFrame:
@@ -94,22 +126,21 @@ def occurrences(docs: DataFrame, heavy: list[int], window: int) -> DataFrame:
     def run(batches):
         for b in batches:
             ids = b.column("doc_id").to_pylist()
+            known = np.array([i is not None for i in ids], dtype=bool)
+            ids = np.array([i or 0 for i in ids], dtype=np.int64)
             for start, group in text_groups(b.column("text").to_pylist()):
                 words, first = hash_words(group)
-                cols = [[], [], [], []]
-                for i in range(len(group)):
-                    found = segments(words[first[i]:first[i + 1]], sorted_heavy, window)
-                    if found is None or ids[start + i] is None:
-                        continue
-                    anchor, seg, begin, size, is_heavy = found
-                    keep = _first_two(anchor, seg)
-                    cols[0].append(anchor[keep].view(np.int64))
-                    cols[1].append(seg[keep].view(np.int64))
-                    cols[2].append(np.full(len(keep), ids[start + i], dtype=np.int64))
-                    # start, number of windows and the heavy mark in one long
-                    cols[3].append((begin[keep] << 8) | (size[keep] << 1) | is_heavy[keep])
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=names)
+                found = segments(words, first, sorted_heavy, window)
+                if found is None:
+                    continue
+                text, anchor, seg, begin, size, is_heavy = found
+                keep = _first_two(text, anchor, seg)
+                keep = keep[known[start + text[keep]]]
+                # start, number of windows and the heavy mark in one long
+                at = (begin << 8) | (size << 1) | is_heavy
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in (anchor[keep].view(np.int64), seg[keep].view(np.int64),
+                                           ids[start + text[keep]], at[keep])], names=names)
 
     return docs.mapInArrow(run, "anchor long, seg long, doc_id long, at long")
 
@@ -218,13 +249,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     heavy = [r["anchor"] for r in counts.filter(F.col("n") > limit).select("anchor").collect()]
     seen = occurrences(docs, heavy, window)
     shared = counts.filter(F.col("n") <= limit).select(F.col("anchor").alias("_anchor"))
-    hits = seen.join(shared, seen["anchor"] == shared["_anchor"], "left_semi")
-    if heavy:
-        # cut windows have an anchor of their own; they are all looked up
-        is_heavy = F.col("at").bitwiseAND(F.lit(1)) == 1
-        hits = seen.filter(~is_heavy).join(shared, seen["anchor"] == shared["_anchor"], "left_semi")
-        hits = hits.unionByName(seen.filter(is_heavy))
-    hits = saved(hits, "hits")
+    # cut windows have an anchor of their own; they are all looked up
+    hits = seen.join(shared, seen["anchor"] == shared["_anchor"], "left").filter(
+        F.col("_anchor").isNotNull() | (F.col("at").bitwiseAND(F.lit(1)) == 1))
+    hits = saved(hits.select("anchor", "seg", "doc_id", "at"), "hits")
     classes = saved(hits.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "at")).alias("f"))
                     .select("anchor", "seg", "f.doc_id", "f.at"), "classes")
     size = F.shiftright("at", 1).bitwiseAND(F.lit(127)) + (window - 1)
