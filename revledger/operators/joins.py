@@ -1,9 +1,13 @@
 """Join strategies with a checked size bound.
 
-``broadcast()`` is only used behind a row count: a side that is proven
-small is broadcast; otherwise a many-to-many join on a low-cardinality key
-(host type, say) is salted so that one key's rows are spread over
-``salts`` tasks instead of one.
+``broadcast()`` is only used behind a measured size: a side that is proven
+small in rows and bytes is broadcast; otherwise a many-to-many join on a
+low-cardinality key (host type, say) is salted so that one key's rows are
+spread over ``salts`` tasks instead of one.
+
+The size is measured while the side is written once to the checkpoint
+folder, each task counting what it writes. No row passes through a single
+task, and the side is not computed again, whichever way the join then goes.
 """
 
 from __future__ import annotations
@@ -11,36 +15,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from revledger.session import limit_conf
+from revledger.session import ensure_checkpoint_dir, limit_conf
 
-# a side with at most this many rows is broadcast
+# a side with at most this many rows and bytes is broadcast
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 DEFAULT_SALTS = 32
 
 
-def bounded(df: DataFrame, max_rows: int | None = None) -> DataFrame | None:
-    """``df`` materialised when it has at most ``max_rows`` rows, else None.
+def measured(df: DataFrame) -> tuple[DataFrame, int, int]:
+    """(``df`` as written to the checkpoint folder, rows, bytes). Bytes are
+    those of the values as text, plus eight for each value."""
+    ensure_checkpoint_dir(df.sparkSession)
+    width = F.lit(0)
+    for c in df.columns:
+        width = width + F.coalesce(F.length(F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(0)) + 8
+    obs = Observation()
+    fixed = df.observe(obs, F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes")).checkpoint(eager=True)
+    return fixed, obs.get["rows"], obs.get["bytes"] or 0
 
-    At most ``max_rows + 1`` rows are computed and written to the reliable
-    checkpoint folder; when they fit, that copy is the whole of ``df`` and
-    is used from then on, so checking the size does not compute ``df`` a
-    second time."""
+
+def sized(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
+    """(``df`` written once, whether it is under the broadcast limits)."""
+    spark = df.sparkSession
     if max_rows is None:
-        max_rows = limit_conf(df.sparkSession, "broadcastRows", BROADCAST_ROWS)
-    obs = Observation()
-    head = df.limit(max_rows + 1).observe(obs, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
-    return head if obs.get["rows"] <= max_rows else None
+        max_rows = limit_conf(spark, "broadcastRows", BROADCAST_ROWS)
+    fixed, rows, size = measured(df)
+    return fixed, rows <= max_rows and size <= limit_conf(spark, "broadcastBytes", BROADCAST_BYTES)
 
 
-def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows."""
-    return bounded(df, max_rows) is not None
+def bounded(df: DataFrame, max_rows: int | None = None) -> DataFrame | None:
+    """``df`` written once when it is under the broadcast limits, else None."""
+    fixed, small = sized(df, max_rows)
+    return fixed if small else None
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """``broadcast`` of ``df`` when its row count is proven under ``max_rows``."""
-    small = bounded(df, max_rows)
-    return df if small is None else F.broadcast(small)
+    """``df`` written once; marked for broadcast when proven small."""
+    fixed, small = sized(df, max_rows)
+    return F.broadcast(fixed) if small else fixed
 
 
 def fanout_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
@@ -53,8 +66,9 @@ def fanout_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
     Otherwise ``big`` rows get a salt in [0, salts) from ``salt_of`` (a
     hash of a unique column) and every ``small`` row is repeated once per
     salt, so each (key, salt) pair is its own task."""
-    fixed = None if force_salt else bounded(small, max_rows)
-    if fixed is not None:
+    small, fits = (small, False) if force_salt else sized(small, max_rows)
+    if fits:
+        fixed = small
         return big.join(F.broadcast(fixed), big[big_key] == fixed[small_key], how)
     b = big.withColumn("_salt", F.pmod(salt_of, F.lit(salts)).cast("int"))
     s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

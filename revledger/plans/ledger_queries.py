@@ -174,19 +174,27 @@ def ledger_drift(fx):
 
 
 @query("ledger_store_fetch", ("fx_current", "fx_batch"), """
-select b.application, b.schemas_type, c.revision, c.comment
-from (select distinct application, schemas_type from {fx_batch}) b
-left join {fx_current} c on c.application = b.application and c.schemas_type = b.schemas_type
+select b.application, b.schemas_type, b.revision, b.comment from {fx_batch} b
+union all
+select c.application, c.schemas_type, c.revision, c.comment from {fx_current} c
+where not exists (select 1 from {fx_batch} b where b.application = c.application
+                                               and b.schemas_type = c.schemas_type)
 """)
 def ledger_store_fetch(fx):
-    """Ledger on storage (S1, P1): the current table is committed as batch 0
-    (bucketed folders, commit row last), then the batch's keys are fetched
-    with bucket pruning."""
+    """Ledger on storage (S1, P1): the current table is committed as batch 0,
+    an empty batch as batch 1, and the newer pushes replace their keys as
+    batch 2 (touched buckets only); then every key is fetched."""
     from revledger.sources import ledger_io
     from revledger.streaming.ledger_stream import scratch
 
     key = ["application", "schemas_type"]
     root = scratch(fx.spark, "ledger")
-    current = fx["fx_current"]
+    current, batch = fx["fx_current"], fx["fx_batch"]
     ledger_io.commit_batch(root, 0, current, current, key=key)
-    return ledger_io.fetch_stored(fx.spark, root, fx["fx_batch"], current.schema, key=key)
+    ledger_io.commit_batch(root, 1, current.limit(0), current.limit(0), key=key, buckets=[])
+    buckets = ledger_io.touched_buckets(batch)
+    stored = ledger_io.read_current(fx.spark, root, current.schema, 2, buckets)
+    ledger_io.commit_batch(root, 2, ledger.clean(stored, batch, key).unionByName(batch), batch,
+                           key=key, buckets=buckets)
+    keys = current.select(*key).union(batch.select(*key))
+    return ledger_io.fetch_stored(fx.spark, root, keys, current.schema, key=key)

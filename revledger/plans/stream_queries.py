@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from revledger.plans.fixtures import view_over
 from revledger.plans.registry import query
+from revledger.sources import ledger_io
 from revledger.streaming import ledger_stream as ls
 
 
@@ -15,6 +16,25 @@ def _pushes(fx):
     return view_over(fx.spark, "fx_history", events=events)
 
 
+def _pushes_in_batches(fx, name: str, parts: int = 3):
+    """The same pushes as a stream of several files, one to a micro-batch:
+    ``parts`` ranges of event ids in order, and an empty file after the
+    first."""
+    folder = ls.scratch(fx.spark, name)
+    events = fx["events"]
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    low, high = (0, 0) if low is None else (low, high)
+    step = (high - low) // parts + 1
+    part = F.floor((F.col("event_id") - low) / step)
+    for i in range(parts):
+        events.filter(part == i).coalesce(1).write.parquet(f"{folder}/{2 * i}")
+        if i == 0:
+            events.limit(0).coalesce(1).write.parquet(f"{folder}/1")
+    stream = (fx.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+              .parquet(folder + "/*"))
+    return view_over(fx.spark, "fx_history", events=stream)
+
+
 @query("stream_reject", ("fx_history",), """
 select revision_history_id, revision,
        case when coalesce(revision ilike 'PRE-%', false) then 'rejected' else 'accepted' end as status
@@ -54,9 +74,10 @@ from (select *, row_number() over (partition by application, schemas_type
 where k = 1
 """)
 def stream_push(fx):
-    """Continuous clean-then-push of a push stream into a ledger (K1)."""
+    """Continuous clean-then-push of a push stream into a ledger, over several
+    micro-batches of which one is empty (K1)."""
     root = ls.scratch(fx.spark, "push")
-    pushes = _pushes(fx)
+    pushes = _pushes_in_batches(fx, "push-input")
     ls.stream_push(pushes, root, root + "/_checkpoint")
     return ls.read_current(fx.spark, root, pushes.schema).select(
         "application", "schemas_type", "datetime", "revision", "comment")
@@ -70,9 +91,52 @@ def guard_pushes(pushes):
                          expected.alias("expected_revision"), "revision")
 
 
-@query("stream_guard", ("fx_history",))
+# the replay as a recursive CTE: one step per push of a key, carrying the
+# stored revision; {SEED} is the ledger before the first push
+_GUARD_SQL = """
+with recursive p as (
+  select application, schemas_type, revision_history_id, revision,
+         case when revision_history_id % 3 = 0 then null
+              else 'r' || cast((revision_history_id - 1) % 7 as varchar) end as expected_revision,
+         row_number() over (partition by application, schemas_type order by revision_history_id) as n
+  from {fx_history}),
+seed as ({SEED}),
+step(application, schemas_type, n, revision_history_id, expected_revision, revision, accepted, stored) as (
+  select p.application, p.schemas_type, p.n, p.revision_history_id, p.expected_revision, p.revision,
+         s.revision is not distinct from p.expected_revision,
+         case when s.revision is not distinct from p.expected_revision then p.revision else s.revision end
+  from p left join seed s on s.application = p.application and s.schemas_type = p.schemas_type
+  where p.n = 1
+  union all
+  select p.application, p.schemas_type, p.n, p.revision_history_id, p.expected_revision, p.revision,
+         t.stored is not distinct from p.expected_revision,
+         case when t.stored is not distinct from p.expected_revision then p.revision else t.stored end
+  from step t join p on p.application = t.application and p.schemas_type = t.schemas_type and p.n = t.n + 1
+)
+select application, schemas_type, revision_history_id, expected_revision, revision, accepted,
+       stored as stored_after from step
+"""
+_NO_SEED = "select null as application, null as schemas_type, cast(null as varchar) as revision where false"
+
+
+def _guard(fx, seed):
+    root, out = ls.scratch(fx.spark, "guard-ledger"), ls.scratch(fx.spark, "guard")
+    if seed is not None:
+        rows = seed.select("revision_history_id", "application", "schemas_type", "revision")
+        ledger_io.commit_batch(root, 0, rows.drop("revision_history_id"), rows)
+    pushes = guard_pushes(_pushes_in_batches(fx, "guard-input"))
+    ls.stream_guard(pushes, root, out, out + "-checkpoint")
+    return fx.spark.read.schema(ls.GUARD_OUT).parquet(out).drop("batch_id")
+
+
+@query("stream_guard", ("fx_history",), _GUARD_SQL.replace("{SEED}", _NO_SEED))
 def stream_guard(fx):
-    """Guarded push per key with the stored revision as streaming state (K2)."""
-    out = ls.scratch(fx.spark, "guard")
-    ls.stream_guard(guard_pushes(_pushes(fx)), out, out + "_checkpoint")
-    return fx.spark.read.parquet(out)
+    """Guarded push per key into an empty ledger, over several micro-batches (K2)."""
+    return _guard(fx, None)
+
+
+@query("stream_guard_seeded", ("fx_history", "fx_current"),
+       _GUARD_SQL.replace("{SEED}", "select application, schemas_type, revision from {fx_current}"))
+def stream_guard_seeded(fx):
+    """Guarded push per key onto the revisions that a ledger already stores (K2)."""
+    return _guard(fx, fx["fx_current"])

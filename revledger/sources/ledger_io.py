@@ -1,19 +1,23 @@
 """Ledger tables on storage (S1) and the two-table write protocol.
 
 Layout under ``root``:
-  history/batch_id=N/   history rows appended by batch N
-  current/batch_id=N/   the whole current table after batch N
-  commits/batch_id=N/   one row, written last: batch N is complete
-
-Inside each folder rows are partitioned by ``app_bucket`` (a fixed hash
-bucket of the application) and sorted by key: a lookup of a few keys reads
-only their bucket folders, and a literal key filter can skip row groups by
-their min / max statistics.
+  history/batch_id=N/                history rows appended by batch N
+  current/batch_id=N/app_bucket=B/   the current rows of bucket B after batch N,
+                                     for every bucket that batch N touched
+  commits/batch_id=N/                one row, written last: batch N is complete; it
+                                     names the touched buckets (NULL: all of them)
+
+``app_bucket`` is a fixed hash bucket of the application. The current table
+is, for each bucket, what the newest committed batch that touched it wrote;
+a batch rewrites only the buckets of its own keys, and a lookup of a few
+keys reads only their bucket folders. Rows are sorted by key, so a literal
+key filter can skip row groups by their min / max statistics.
 
 Parquet has no transactions, so a batch writes its history rows first,
-then the new current snapshot, then its commit row; readers only take
-committed batches. Every folder is written with overwrite, so a retried
-batch replaces its own output. One writer per ledger.
+then its current buckets, then its commit row; readers only take committed
+batches. Every folder is written with overwrite, so a retried batch
+replaces its own output. One writer per ledger. Only a folder that does not
+exist counts as an empty ledger; any other failed read is an error.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from revledger.schemas import LEDGER_HISTORY
 
@@ -36,20 +40,29 @@ def app_bucket(app_col="application"):
     return F.pmod(F.xxhash64(c), F.lit(LEDGER_BUCKETS)).cast("int")
 
 
+COMMIT = StructType([StructField("complete", BooleanType()), StructField("top_id", LongType()),
+                     StructField("buckets", ArrayType(IntegerType())), StructField("batch_id", LongType())])
+
+
 def _with_bucket(schema: StructType) -> StructType:
     return StructType(schema.fields + [StructField(BUCKET, IntegerType())])
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def _write(df: DataFrame, path: str, key: list[str]) -> None:
-    (df.withColumn(BUCKET, app_bucket()).sortWithinPartitions(BUCKET, *key)
+    (df.withColumn(BUCKET, app_bucket()).repartition(BUCKET).sortWithinPartitions(BUCKET, *key)
        .write.mode("overwrite").partitionBy(BUCKET).parquet(path))
 
 
 def _commits(spark: SparkSession, root: str, before: int | None) -> DataFrame | None:
-    try:
-        c = spark.read.parquet(f"{root}/commits").select("batch_id").distinct()
-    except Exception:  # noqa: BLE001 - nothing committed yet
+    """The commit table, or None for a ledger that was never written."""
+    if not _exists(spark, f"{root}/commits"):
         return None
+    c = spark.read.schema(COMMIT).parquet(f"{root}/commits")
     return c if before is None else c.filter(F.col("batch_id") < before)
 
 
@@ -63,39 +76,46 @@ def read_history(spark: SparkSession, root: str, schema=LEDGER_HISTORY,
                  before: int | None = None) -> DataFrame:
     """Committed history rows (explicit schema): a semi-join with the
     commit table drops rows of half-written batches."""
-    c = _commits(spark, root, before)
-    if c is None or last_committed(spark, root, before) is None:
+    if last_committed(spark, root, before) is None:
         return spark.createDataFrame([], schema)
     with_batch = StructType(_with_bucket(schema).fields + [StructField("batch_id", LongType())])
     h = spark.read.schema(with_batch).parquet(f"{root}/history")
-    return h.join(c, "batch_id", "left_semi").drop("batch_id", BUCKET)
+    return h.join(_commits(spark, root, before), "batch_id", "left_semi").drop("batch_id", BUCKET)
 
 
-def read_current(spark: SparkSession, root: str, schema, before: int | None = None) -> DataFrame:
-    """Current table of the newest committed batch (before ``before``)."""
-    top = last_committed(spark, root, before)
-    if top is None:
+def read_current(spark: SparkSession, root: str, schema, before: int | None = None,
+                 buckets: list[int] | None = None) -> DataFrame:
+    """The current table after the newest committed batch (before ``before``),
+    or only the given buckets of it. At most ``LEDGER_BUCKETS`` rows (the
+    newest batch of each bucket) reach the driver."""
+    c = _commits(spark, root, before)
+    if c is None:
+        return spark.createDataFrame([], schema)
+    every = F.sequence(F.lit(0), F.lit(LEDGER_BUCKETS - 1))
+    newest = c.select("batch_id", F.explode(F.coalesce("buckets", every)).alias("b")).groupBy("b").agg(
+        F.max("batch_id").alias("n"))
+    if buckets is not None:
+        newest = newest.filter(F.col("b").isin(buckets))
+    paths = [f"{root}/current/batch_id={r['n']}/{BUCKET}={r['b']}" for r in newest.collect()]
+    paths = [p for p in paths if _exists(spark, p)]  # a bucket without rows has no folder
+    if not paths:
         return spark.createDataFrame([], schema)
-    cur = spark.read.schema(_with_bucket(schema)).parquet(f"{root}/current/batch_id={top}")
-    return cur.drop(BUCKET)
+    return spark.read.schema(schema).parquet(*paths)
+
+
+def touched_buckets(rows: DataFrame) -> list[int]:
+    """The buckets of the applications in ``rows``: at most LEDGER_BUCKETS."""
+    return sorted(r[BUCKET] for r in rows.select(app_bucket().alias(BUCKET)).distinct().collect())
 
 
 def fetch_stored(spark: SparkSession, root: str, keys: DataFrame, schema,
                  key=("application", "schemas_type", "kind")) -> DataFrame:
-    """Stored (revision, comment) for many keys (S1, P1). The keys touch at
-    most ``LEDGER_BUCKETS`` buckets; that bounded list becomes a partition
-    filter, so only those bucket folders are scanned, and the join on
-    (bucket, key) needs no other pruning."""
+    """Stored (revision, comment) for many keys (S1, P1); only the bucket
+    folders of the keys are read."""
     key = list(key)
-    top = last_committed(spark, root)
-    k = keys.select(*key).distinct().withColumn(BUCKET, app_bucket())
-    if top is None:
-        return k.drop(BUCKET).withColumn("revision", F.lit(None).cast("string")).withColumn(
-            "comment", F.lit(None).cast("string"))
-    buckets = [r[BUCKET] for r in k.select(BUCKET).distinct().collect()]
-    cur = spark.read.schema(_with_bucket(schema)).parquet(f"{root}/current/batch_id={top}")
-    cur = cur.filter(F.col(BUCKET).isin(buckets))
-    return k.join(cur.select(BUCKET, *key, "revision", "comment"), [BUCKET] + key, "left").drop(BUCKET)
+    k = keys.select(*key).distinct()
+    cur = read_current(spark, root, schema, buckets=touched_buckets(k))
+    return k.join(cur.select(*key, "revision", "comment"), key, "left")
 
 
 def history_top(spark: SparkSession, root: str, before: int | None = None) -> int:
@@ -103,25 +123,24 @@ def history_top(spark: SparkSession, root: str, before: int | None = None) -> in
     row records the largest id of its batch, so this reads only the commit
     table, never the history."""
     c = _commits(spark, root, before)
-    if c is None:
-        return 0
-    top = (spark.read.parquet(f"{root}/commits").join(c, "batch_id", "left_semi")
-           .agg(F.max("top_id").alias("m")).first()["m"])
+    top = None if c is None else c.agg(F.max("top_id").alias("m")).first()["m"]
     return 0 if top is None else int(top)
 
 
 def commit_batch(root: str, batch_id: int, current: DataFrame, appended: DataFrame,
-                 key=("application", "schemas_type", "kind")) -> None:
-    """Write one batch: history rows, then the current snapshot, then the
-    commit row (which records the batch's largest history id)."""
+                 key=("application", "schemas_type", "kind"), buckets: list[int] | None = None) -> None:
+    """Write one batch: history rows, then the current rows, then the commit
+    row (which records the batch's largest history id, NULL for an empty
+    batch). ``current`` holds the rows of ``buckets``, or the whole table."""
     key = [k for k in key if k in current.columns]
     _write(appended, f"{root}/history/batch_id={batch_id}", key)
     _write(current, f"{root}/current/batch_id={batch_id}", key)
     spark = current.sparkSession
-    top = spark.read.parquet(f"{root}/history/batch_id={batch_id}").agg(
-        F.max("revision_history_id").alias("top_id"))
-    top.select(F.lit(True).alias("complete"), F.col("top_id").cast("long")).coalesce(1).write.mode(
-        "overwrite").parquet(f"{root}/commits/batch_id={batch_id}")
+    written = spark.read.schema(appended.schema).parquet(f"{root}/history/batch_id={batch_id}")
+    top = written.agg(F.max("revision_history_id").cast("long").alias("top_id"))
+    named = F.lit(None) if buckets is None else F.array(*[F.lit(b) for b in buckets])
+    top.select(F.lit(True).alias("complete"), "top_id", named.cast("array<int>").alias("buckets")).coalesce(
+        1).write.mode("overwrite").parquet(f"{root}/commits/batch_id={batch_id}")
 
 
 def committed(spark: SparkSession, root: str) -> DataFrame | None:

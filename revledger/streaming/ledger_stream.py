@@ -14,7 +14,6 @@ import uuid
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from revledger.operators import checks, ledger
 from revledger.operators.joins import maybe_broadcast
@@ -68,18 +67,20 @@ def stream_push(stream: DataFrame, root: str, checkpoint: str) -> None:
     """K1: clean-then-push every micro-batch into the ledger at ``root``
     (layout and commit protocol: ``sources.ledger_io``). History ids follow
     the largest committed id, in event-id order; the batch's newest row per
-    key replaces the stored one."""
+    key replaces the stored one. Only the buckets of the batch's keys are
+    read and written; an empty batch commits without rows."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         cols = [c for c in batch.columns if c != ledger.ID]
         rows = assign_ids(batch, [ledger.ID], "_new_id",
                           ledger_io.history_top(spark, root, batch_id) + 1)
-        # ids were fixed by assign_ids' checkpoint; both uses below read it
+        # ids were fixed by assign_ids' checkpoint; all uses below read it
         hist = rows.select(F.col("_new_id").alias(ledger.ID), *cols)
         newest = ledger.latest(hist)
-        prev = ledger_io.read_current(spark, root, newest.schema, batch_id)
+        buckets = ledger_io.touched_buckets(hist)
+        prev = ledger_io.read_current(spark, root, newest.schema, batch_id, buckets)
         current = ledger.clean(prev, newest).unionByName(newest)
-        ledger_io.commit_batch(root, batch_id, current, hist)
+        ledger_io.commit_batch(root, batch_id, current, hist, buckets=buckets)
 
     run_available(stream.writeStream.foreachBatch(write), checkpoint)
 
@@ -89,38 +90,65 @@ def read_current(spark: SparkSession, root: str, schema) -> DataFrame:
 
 
 GUARD_OUT = ("application string, schemas_type string, revision_history_id long, "
-             "expected_revision string, revision string, accepted boolean")
-GUARD_STATE = "stored string, known boolean"
-
-
-def _guard_key(key, pdfs, state: GroupState):
-    """K2 handler for one key: rows are applied in id order; a push is
-    accepted when the stored revision is not distinct from the expected
-    one, and then becomes the stored revision. Acceptance depends on the
-    previous decision, so one key's rows of one micro-batch are handled
-    together (bounded by the trigger size, not by the table)."""
-    if state.exists:
-        stored, known = state.get
-    else:
-        stored, known = None, False
-    frames = [p for p in pdfs]
-    batch = pd.concat(frames).sort_values(ledger.ID)
-    accepted = []
-    for exp, rev in zip(batch["expected_revision"].tolist(), batch["revision"].tolist()):
-        exp = None if pd.isna(exp) else exp
-        ok = (stored if known else None) == exp
-        accepted.append(ok)
-        if ok:
-            stored, known = rev, True
-    state.update((stored, known))
-    out = batch[["application", "schemas_type", ledger.ID, "expected_revision", "revision"]].copy()
-    out["accepted"] = accepted
-    yield out
-
-
-def stream_guard(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """K2: guarded push per key with the stored revision kept as state."""
+             "expected_revision string, revision string, accepted boolean, stored_after string")
+
+
+def _replay(frames):
+    """Rows sorted by key and id, chunk by chunk: a push is accepted when the
+    stored revision is not distinct from the expected one, and then becomes
+    the stored revision. Only one key's stored revision is held."""
+    key, stored = None, None
+    for pdf in frames:
+        accepted, after = [], []
+        for k, before, exp, rev in zip(
+                zip(pdf["application"], pdf["schemas_type"]), pdf["_stored"].tolist(),
+                pdf["expected_revision"].tolist(), pdf["revision"].tolist()):
+            if k != key:
+                key, stored = k, (None if pd.isna(before) else before)
+            ok = stored == (None if pd.isna(exp) else exp)
+            if ok:
+                stored = None if pd.isna(rev) else rev
+            accepted.append(ok)
+            after.append(stored)
+        out = pdf[[*KEY, ledger.ID, "expected_revision", "revision"]].copy()
+        out["accepted"] = accepted
+        out["stored_after"] = pd.Series(after, index=out.index, dtype=object)
+        yield out
+
+
+def stream_guard(stream: DataFrame, root: str, out: str, checkpoint: str) -> None:
+    """K2: guarded push per key against the ledger at ``root``, whose stored
+    revisions are the state (a key without a row expects NULL).
+
+    Acceptance depends on the previous decision, so a micro-batch is dealt
+    by key, sorted by (key, id) in Spark and replayed in one pass per
+    partition in bounded memory, however many rows a key has. Accepted rows
+    enter the ledger in the same batch. Batch n of the stream is batch n + 1
+    of the ledger: batch 0 is what it held before, if anything."""
     ship_package(stream.sparkSession)
-    guarded = stream.groupBy(*KEY).applyInPandasWithState(
-        _guard_key, GUARD_OUT, GUARD_STATE, "append", GroupStateTimeout.NoTimeout)
-    run_available(guarded.writeStream.format("parquet").option("path", out), checkpoint)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        number = batch_id + 1
+        buckets = ledger_io.touched_buckets(batch)
+        state = spark.createDataFrame([], GUARD_STATE).schema
+        prev = ledger_io.read_current(spark, root, state, number, buckets)
+        b, c = batch.alias("b"), prev.alias("c")
+        on = [F.col(f"b.{k}").eqNullSafe(F.col(f"c.{k}")) for k in KEY]
+        rows = b.join(c, on[0] & on[1], "left").select("b.*", F.col("c.revision").alias("_stored"))
+        rows = rows.repartition(*KEY).sortWithinPartitions(*KEY, ledger.ID)
+        done = rows.mapInPandas(_replay, GUARD_OUT)
+        folder = f"{out}/batch_id={batch_id}"
+        done.write.mode("overwrite").parquet(folder)
+        done = spark.read.schema(done.schema).parquet(folder)
+        newest = done.groupBy(*KEY).agg(F.max_by("stored_after", ledger.ID).alias("revision"))
+        newest = newest.filter(F.col("revision").isNotNull())
+        current = ledger.clean(prev, done.select(*KEY)).unionByName(newest)
+        accepted = done.filter("accepted").select(ledger.ID, *KEY, "revision")
+        ledger_io.commit_batch(root, number, current, accepted, buckets=buckets)
+
+    run_available(stream.writeStream.foreachBatch(write), checkpoint)
+
+
+#: what the guard keeps of the ledger's current table
+GUARD_STATE = "application string, schemas_type string, revision string"

@@ -109,3 +109,68 @@ def test_fetch_prunes_buckets(spark):
         ("app7", "r7"), ("nope", None)]
     one = ledger_io.read_current(spark, root, LEDGER_CURRENT)
     assert one.count() == 200
+
+
+def _ledger_rows(spark, rows):
+    from revledger.schemas import LEDGER_CURRENT, LEDGER_HISTORY
+    import datetime
+    t = datetime.datetime(2024, 1, 1)
+    cur = spark.createDataFrame([(a, "t", "var", t, r, None, None) for _, a, r in rows], LEDGER_CURRENT)
+    hist = spark.createDataFrame([(i, a, "t", "var", t, r, None, None) for i, a, r in rows], LEDGER_HISTORY)
+    return cur, hist
+
+
+def test_empty_batches_and_touched_buckets(spark):
+    from revledger.schemas import LEDGER_CURRENT
+    from revledger.sources import ledger_io
+
+    root = tempfile.mkdtemp(prefix="revledger-ledger-")
+    none = _ledger_rows(spark, [])
+    ledger_io.commit_batch(root, 0, *none)
+    assert ledger_io.read_current(spark, root, LEDGER_CURRENT).count() == 0
+    assert ledger_io.history_top(spark, root) == 0
+    cur, hist = _ledger_rows(spark, [(i + 1, f"a{i}", "r1") for i in range(40)])
+    ledger_io.commit_batch(root, 1, cur, hist)
+    ledger_io.commit_batch(root, 2, *none, buckets=[])
+    cur, hist = _ledger_rows(spark, [(41, "a7", "r2")])
+    buckets = ledger_io.touched_buckets(cur)
+    assert len(buckets) == 1
+    rest = ledger_io.read_current(spark, root, LEDGER_CURRENT, 3, buckets).filter("application <> 'a7'")
+    ledger_io.commit_batch(root, 3, rest.unionByName(cur), hist, buckets=buckets)
+    got = {r["application"]: r["revision"] for r in ledger_io.read_current(spark, root, LEDGER_CURRENT).collect()}
+    assert got == {f"a{i}": "r2" if i == 7 else "r1" for i in range(40)}
+    assert len(os.listdir(f"{root}/current/batch_id=3")) <= 3  # one bucket folder beside the marks
+    assert ledger_io.history_top(spark, root) == 41 and ledger_io.read_history(spark, root).count() == 41
+
+
+def test_damaged_commit_is_an_error(spark):
+    import glob
+
+    import pytest
+
+    from revledger.schemas import LEDGER_CURRENT
+    from revledger.sources import ledger_io
+
+    root = tempfile.mkdtemp(prefix="revledger-ledger-")
+    ledger_io.commit_batch(root, 0, *_ledger_rows(spark, [(1, "a", "r1")]))
+    for f in glob.glob(f"{root}/commits/batch_id=0/*.parquet"):
+        with open(f, "wb") as fh:
+            fh.write(b"not a parquet file")
+    with pytest.raises(Exception):
+        ledger_io.read_current(spark, root, LEDGER_CURRENT).count()
+    with pytest.raises(Exception):
+        ledger_io.history_top(spark, root)
+
+
+def test_hot_key_replay_crosses_chunks():
+    import pandas as pd
+
+    from revledger.streaming.ledger_stream import _replay
+
+    rows = pd.DataFrame({"application": "a", "schemas_type": "t", "revision_history_id": range(10),
+                         "expected_revision": [None, "r0", "x", "r1", None, "r3", "r5", "r6", "r7", "r8"],
+                         "revision": [f"r{i}" for i in range(10)], "_stored": [None] * 10})
+    whole = pd.concat(_replay([rows]))
+    parts = pd.concat(_replay([rows[:3], rows[3:4], rows[4:]]))
+    assert whole["accepted"].tolist() == parts["accepted"].tolist()
+    assert whole["accepted"].tolist() == [True, True, False, True, False, True, True, True, True, True]
