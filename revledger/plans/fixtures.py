@@ -151,11 +151,10 @@ group by s.s_suppkey, s.s_nationkey, n1.n_regionkey
 _view("fx_grants_observed", ("lineitem", "fx_schemas"), """
 select distinct schema_key,
        case when l_quantity < 45 then owner else 'role_x' end as grantor,
-       concat('role_', cast(l_partkey % 25 as string)) as grantee,
+       concat(case when l_returnflag = 'R' then 'role_' else 'former_' end, cast(l_partkey % 25 as string)) as grantee,
        case when l_linestatus = 'O' then 'USAGE' else 'CREATE' end as privilege,
        l_discount > 0.09 as is_grantable
 from {lineitem} join {fx_schemas} on schema_key = l_suppkey
-where l_returnflag = 'R'
 """)
 
 # observed ACL items by role oid (0 = public), for the role-name lookup
@@ -164,7 +163,6 @@ select distinct l_suppkey as schema_key, cast(s_nationkey as bigint) as grantor_
        cast(l_linenumber + 20 as bigint) as grantee_oid,
        case when l_linestatus = 'O' then 'USAGE' else 'CREATE' end as privilege
 from {lineitem} join {supplier} on s_suppkey = l_suppkey
-where l_returnflag = 'A'
 """)
 
 _view("fx_roles", ("nation",), """
@@ -186,25 +184,30 @@ from {fx_scripts}
 """)
 
 _view("fx_include_refs", ("fx_scripts",), """
-select distinct dir as ref_name, concat('/srv/', dir) as ref_value from {fx_scripts}
-where dir not in ('src4', 'src7')
+select distinct case when dir in ('src4', 'src7') then concat(dir, '-old') else dir end as ref_name,
+       concat('/srv/', dir) as ref_value from {fx_scripts}
 """)
 
+# required objects: small parts are required under a key no line ever has
 _view("fx_required", ("part",), """
-select p_partkey as object_id from {part}
+select case when p_size < 10 then p_partkey + 1000000000 else p_partkey end as object_id from {part}
 """)
 
 _view("fx_catalog", ("lineitem",), """
-select distinct l_partkey as object_id from {lineitem} where l_returnflag = 'R' and l_linestatus = 'F'
+select distinct l_partkey as object_id from {lineitem}
 """)
 
 _view("fx_settings_compat", ("orders",), """
-select distinct o_custkey as application, o_orderpriority as revision from {orders} where o_orderstatus = 'F'
+select distinct o_custkey as application,
+       case when o_orderstatus = 'F' then o_orderpriority else concat(o_orderpriority, '+') end as revision
+from {orders}
 """)
 
 _view("fx_sources", ("orders",), """
-select o_orderkey as source_id, o_custkey as application, o_orderpriority as revision
-from {orders} where o_orderstatus = 'O'
+select o_orderkey as source_id,
+       case when o_orderstatus = 'P' then -o_custkey else o_custkey end as application,
+       o_orderpriority as revision
+from {orders}
 """)
 
 
@@ -269,11 +272,13 @@ select lang as grp, source as dir, cast(substr(source, 4) as int) as dir_pos,
 from {documents}
 """)
 
-# pins of the 'en' group: good documents first, toxic ones last
-_view("fx_pins", ("labels",), """
-select 'en' as grp, concat(cast(doc_id as string), '.sql') as name,
-       case when toxic = 1 then 'last' else 'first' end as which, doc_id as pin_pos
-from {labels} where toxic = 1 or quality = 1
+# pins of labelled documents in their group: toxic ones last, the others first;
+# every tenth pin names a group without such a file
+_view("fx_pins", ("labels", "documents"), """
+select case when l.doc_id % 10 = 0 then 'xx' else d.lang end as grp,
+       concat(cast(l.doc_id as string), '.sql') as name,
+       case when l.toxic = 1 then 'last' else 'first' end as which, l.doc_id as pin_pos
+from {labels} l join {documents} d on d.doc_id = l.doc_id
 """)
 
 _view("fx_roots", ("pages",), """
