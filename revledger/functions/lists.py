@@ -1,7 +1,8 @@
 """Scalar-or-list normalisation.
 
 Descriptor fields may hold one string or a list of strings. Stored as JSON
-text, a list starts with ``[``; anything else is a single value. NULL stays
+text, a list starts with ``[``; anything else is a single value, also a text
+that starts with ``[`` and is no JSON list (a file name, say). NULL stays
 NULL (an absent field is not an empty list).
 """
 
@@ -16,6 +17,7 @@ def as_list(x) -> Column:
     trimmed = F.ltrim(c)
     return (
         F.when(c.isNull(), F.lit(None).cast("array<string>"))
-        .when(trimmed.startswith("["), F.from_json(c, "array<string>"))
+        .when(trimmed.startswith("["), 
+              F.coalesce(F.from_json(c, "array<string>"), F.array(c)))
         .otherwise(F.array(c))
     )

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from revledger.operators.sequence import assign_ids
 
 ID = "revision_history_id"
-COLS = ["application", "datetime", "revision", "comment"]
 
 
 def migrate_layout(old_current: DataFrame, old_history: DataFrame, new_history: DataFrame,
@@ -25,16 +24,18 @@ def migrate_layout(old_current: DataFrame, old_history: DataFrame, new_history:
     ``new_history_rows`` get ids after the largest id of ``new_history``,
     old history first (by old id), then the old current row."""
     mine = F.col("application") == F.lit(application)
+    # every column moves; one that only one of the tables has is NULL in the other's rows
     hist = old_history.filter(mine).select(
-        F.lit(0).alias("_rank"), F.col(old_id).cast("long").alias("_old_id"), *COLS,
-        F.lit("history").alias("source"))
+        F.lit(0).alias("_rank"), F.col(old_id).cast("long").alias("_old_id"),
+        *[c for c in old_history.columns if c != old_id], F.lit("history").alias("source"))
     cur = old_current.filter(mine).select(
-        F.lit(1).alias("_rank"), F.lit(None).cast("long").alias("_old_id"), *COLS,
+        F.lit(1).alias("_rank"), F.lit(None).cast("long").alias("_old_id"), *old_current.columns,
         F.lit("current").alias("source"))
-    moving = hist.unionByName(cur).withColumn("schemas_type", F.lit(schemas_type))
+    moving = hist.unionByName(cur, allowMissingColumns=True).withColumn("schemas_type", F.lit(schemas_type))
     top = new_history.agg(F.max(ID).alias("m")).first()["m"]
     start = 1 if top is None else int(top) + 1
     rows = assign_ids(moving, ["_rank", "_old_id"], ID, start).drop("_rank", "_old_id")
     new_current = old_current.filter(mine).select(
-        "application", F.lit(schemas_type).alias("schemas_type"), *COLS[1:])
+        "application", F.lit(schemas_type).alias("schemas_type"),
+        *[c for c in old_current.columns if c != "application"])
     return (new_current, rows, old_current.filter(~mine), old_history.filter(~mine))

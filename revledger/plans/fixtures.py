@@ -176,6 +176,13 @@ select d.source as dir, d.doc_id as file_id, concat(d.source, '/', d.lang, '/',
 from {documents} d left join {labels} l on l.doc_id = d.doc_id
 """)
 
+# the corpus as files: folders and names with a space, a plus and a dot
+_view("fx_script_files", ("fx_scripts",), """
+select concat(dir, '.v1+x/sub ', cast(file_id % 3 as string), '/', cast(file_id as string), ' f',
+              case when file_id % 4 = 0 then '.txt' else '.sql' end) as path, text
+from {fx_scripts}
+""")
+
 _view("fx_includes", ("fx_scripts",), """
 select file_id, case when file_id % 3 = 0 then concat('$', '{{', dir, '}}/', path)
                      when file_id % 3 = 1 then concat('$', dir, '/', path)
@@ -290,6 +297,7 @@ from {pages}
 _view("fx_list_fields", ("pages",), """
 select page_id,
        case when page_id % 5 = 0 then null
+            when page_id % 11 = 3 then concat('[draft] ', cast(page_id as string), '.sql')
             when page_id % 2 = 0 then concat('["', url, '", "p', cast(page_id as string), '"]')
             else url end as field
 from {pages}

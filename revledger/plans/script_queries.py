@@ -8,40 +8,58 @@ from revledger.functions.lists import as_list
 from revledger.operators import scripts
 from revledger.operators.sequence import number_rows
 from revledger.plans.registry import query
-from revledger.sources.scripts import bundle_keys, keep_suffix
+from revledger.sources.scripts import (bundle_keys, keep_suffix, scan_scripts, write_bundles,
+                                       write_scripts)
+from revledger.streaming.ledger_stream import scratch
 
 # the include-reference pattern, braces doubled for the SQL template
 _REF = r"^(\$\{([A-Za-z0-9_]+)\}|\$([A-Za-z0-9_]+))(.*)$".replace("{", "{{").replace("}", "}}")
 
 
-@query("script_scan", ("fx_scripts",), """
-select dir, file_id, path, file_path_type, cast(length(text) as bigint) as n_chars
-from {fx_scripts} where path like '%.sql'
+def _scanned(fx):
+    """The corpus written as files under a new folder and scanned."""
+    root = scratch(fx.spark, "scripts v1+x")
+    write_scripts(fx["fx_script_files"], root).write.format("noop").mode("overwrite").save()
+    return scan_scripts(fx.spark, [root])
+
+
+@query("script_scan", ("fx_script_files",), """
+select path, cast(length(text) as bigint) as n_chars, md5(text) as digest
+from {fx_script_files} where path like '%.sql'
 """)
 def script_scan(fx):
-    """Scripts of the corpus with the .sql suffix, with their size."""
-    s = keep_suffix(fx["fx_scripts"])
-    return s.select("dir", "file_id", "path", "file_path_type",
-                    F.length("text").cast("bigint").alias("n_chars"))
-
-
-@query("script_bundle", ("fx_scripts",), """
-select replace(replace(dir, '/', '-'), '.', '-') as host_key,
-       replace(replace(split_part(path, '/', 2), '/', '-'), '.', '-') as type_key, path,
-       cast(row_number() over (partition by dir, split_part(path, '/', 2)
-            order by case file_path_type when 'first' then 0 when 'regular' then 1 else 3 end, file_id)
-            as bigint) as seq
-from {fx_scripts} where path like '%.sql'
+    """Scripts scanned from files by their suffix, whole and under their
+    relative path (S3, P4)."""
+    s = keep_suffix(_scanned(fx))
+    return s.select("path", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query("script_bundle", ("fx_script_files",), """
+select replace(replace(split_part(path, '/', 1), '/', '-'), '.', '-') as host_key,
+       replace(replace(split_part(path, '/', 2), '/', '-'), '.', '-') as type_key,
+       cast(row_number() over (partition by split_part(path, '/', 1), split_part(path, '/', 2)
+                               order by path) as bigint) as seq,
+       cast(length(text) as varchar) || ' ' || md5(text) as line
+from {fx_script_files} where path like '%.sql'
 """)
 def script_bundle(fx):
-    """Bundle rows: file-safe (host, type) keys and fragment order."""
-    s = keep_suffix(fx["fx_scripts"]).withColumn("lang", F.split_part("path", F.lit("/"), F.lit(2)))
-    s = bundle_keys(s, "dir", "lang")
-    rank = F.when(F.col("file_path_type") == "first", 0).when(
-        F.col("file_path_type") == "regular", 1).otherwise(3)
-    s = s.withColumn("_rank", rank)
-    out = number_rows(s, ["host_key", "type_key"], ["_rank", "file_id"], "seq")
-    return out.select("host_key", "type_key", "path", "seq")
+    """Scanned scripts written as bundles per (host, type) in path order; the
+    lines of the bundles read back in the order of the files (S4, F2). A line
+    stands for one script: its length and digest."""
+    s = _scanned(fx).withColumn("host", F.split_part("path", F.lit("/"), F.lit(1))).withColumn(
+        "type", F.split_part("path", F.lit("/"), F.lit(2)))
+    s = bundle_keys(s, "host", "type")
+    line = F.concat_ws(" ", F.length("text"), F.md5("text"))
+    out = scratch(fx.spark, "bundles")
+    write_bundles(s.select("host_key", "type_key", F.col("path").alias("seq"), line.alias("text")), out)
+    back = fx.spark.read.schema("value string, host_key string, type_key string").text(out)
+    back = back.select("host_key", "type_key", F.col("value").alias("line"),
+                       F.col("_metadata.file_name").alias("_name"),
+                       F.col("_metadata.file_block_start").alias("_at"),
+                       F.monotonically_increasing_id().alias("_line"))
+    back = back.checkpoint(eager=True)  # line numbers are fixed before they are sorted by
+    out = number_rows(back, ["host_key", "type_key"], ["_name", "_at", "_line"], "seq")
+    return out.select("host_key", "type_key", "seq", "line")
 
 
 _PINS = """
@@ -140,7 +158,7 @@ def entry_kind(fx):
 select page_id, cast(len(l) as bigint) as n_items, array_to_string(l, '|') as items
 from (select page_id,
              case when field is null then null
-                  when ltrim(field) like '[%' then from_json(field, '["VARCHAR"]')
+                  when ltrim(field) like '[%' and json_valid(field) then from_json(field, '["VARCHAR"]')
                   else [field] end as l
       from {fx_list_fields}) x
 """)

@@ -8,22 +8,60 @@ from pyspark.sql import functions as F
 from revledger.functions.keys import file_safe_key
 
 
+def _uri(spark: SparkSession, path: str):
+    """The full URI of a path on its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri()
+
+
 def scan_scripts(spark: SparkSession, roots: list[str], suffix: str = ".sql") -> DataFrame:
     """Whole ``.sql`` files under ``roots`` (recursively), one row per file:
     root, path (relative to the root), text. Files are read in parallel by
-    the file source; nothing is listed on the driver by hand."""
+    the file source; nothing is listed on the driver by hand.
+
+    The source names a file by its URI, in which a space is ``%20``; it is
+    decoded (a ``+`` is itself), freed of scheme and authority, and the root
+    is cut off by its length, whatever signs it holds."""
     out = None
     for root in roots:
         df = (spark.read.option("recursiveFileLookup", True)
               .option("pathGlobFilter", f"*{suffix}").text(root, wholetext=True)
               .select(F.col("_metadata.file_path").alias("_full"), F.col("value").alias("text")))
-        base = root.rstrip("/")
-        rel = F.regexp_replace(F.col("_full"), r"^(file:)?/*" + base.lstrip("/") + "/", "")
-        df = df.select(F.lit(root).alias("root"), rel.alias("path"), "text")
+        decoded = F.url_decode(F.replace(F.col("_full"), F.lit("+"), F.lit("%2B")))
+        plain = F.regexp_replace(decoded, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+        base = _uri(spark, root).getPath().rstrip("/")
+        df = df.select(F.lit(root).alias("root"), F.substring(plain, len(base) + 2, 1 << 30).alias("path"), "text")
         out = df if out is None else out.unionByName(df)
     return out
 
 
+def write_scripts(files: DataFrame, root: str) -> DataFrame:
+    """Write each row's ``text`` as the file ``path`` under ``root`` and
+    return the paths written. Tasks write through the file system of the
+    root's URI; a repeated task writes the same files again."""
+    import pyarrow as pa
+
+    uri = _uri(files.sparkSession, root).toString()
+
+    def run(batches):
+        import pyarrow.fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(uri)
+        made = set()
+        for b in batches:
+            for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist()):
+                target = f"{base}/{path}"
+                folder = target.rpartition("/")[0]
+                if folder not in made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with fs.open_output_stream(target, compression=None) as f:
+                    f.write((text or "").encode())
+            yield pa.RecordBatch.from_arrays([b.column("path")], names=["path"])
+
+    return files.select("path", "text").mapInArrow(run, "path string")
+
+
 def keep_suffix(df: DataFrame, path: str = "path", suffix: str = ".sql") -> DataFrame:
     """Only files whose name ends with ``suffix``."""
     return df.filter(F.col(path).endswith(suffix))

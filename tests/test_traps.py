@@ -517,3 +517,38 @@ def test_hop_with_over_a_thousand_scripts_stays_in_order(spark):
     out = routing.number_fragments(plan, order=["phase_no", "hop_no", "pos"])
     got = {r["item"]: r["fragment_no"] for r in out.collect()}
     assert got["a1101"] == 1101 and got["b1"] == 1102
+
+
+def test_as_list_keeps_texts_that_are_no_list(spark):  # P7
+    df = spark.createDataFrame([("[draft].sql",), ("[1, 2]",), ('["a"]',), ("[",), (None,), ("x",)], "f string")
+    assert [r["l"] for r in df.select(as_list("f").alias("l")).collect()] == [
+        ["[draft].sql"], ["1", "2"], ["a"], ["["], None, ["x"]]
+
+
+def test_layout_migration_moves_every_column(spark):  # T3
+    from revledger.operators.layout import migrate_layout
+    cur = spark.createDataFrame([("a", "r2", ["s"], "var"), ("b", "r9", None, "func")],
+                                "application string, revision string, schemas array<string>, kind string")
+    hist = spark.createDataFrame([(1, "a", "r1", None, "var")],
+                                 "id long, application string, revision string, schemas array<string>, kind string")
+    new = spark.createDataFrame([(7,)], "revision_history_id long")
+    moved, rows_, rest, _ = migrate_layout(cur, hist, new, "a", "main")
+    assert [(r["revision"], r["schemas"], r["kind"]) for r in moved.collect()] == [("r2", ["s"], "var")]
+    assert rows(rows_, "revision_history_id", "revision", "schemas", "kind", "source") == [
+        (8, "r1", None, "var", "history"), (9, "r2", ["s"], "var", "current")]
+    assert rest.count() == 1
+
+
+def test_scan_paths_are_relative_and_decoded(spark):  # S3
+    import os
+    import tempfile
+
+    from revledger.sources.scripts import scan_scripts, write_scripts
+    root = tempfile.mkdtemp(prefix="revledger.v1+x ")
+    names = ["sub dir/a b.sql", "p+q/r.s/%41.sql", "é/ü.sql"]
+    files = spark.createDataFrame([(n, f"select '{n}';") for n in names], "path string, text string")
+    assert write_scripts(files, "file://" + root).count() == 3
+    assert os.path.exists(f"{root}/sub dir/a b.sql")
+    for r in (root, "file://" + root + "/", "file:" + root):
+        got = {x["path"]: x["text"] for x in scan_scripts(spark, [r]).collect()}
+        assert got == {n: f"select '{n}';" for n in names}
