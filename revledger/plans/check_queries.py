@@ -72,6 +72,17 @@ def drop_targets(fx):
     return drops.drop_targets(fx["fx_recorded"], fx["fx_declared"], ["application"])
 
 
+@query("drop_refusals", ("fx_schemas",), """
+select schema_key, name, kind from {fx_schemas} where kind = 'var' and not schema_key % 5 = 0
+""")
+def drop_refusals(fx):
+    """Var schemas whose drop is refused because cascade was not asked for."""
+    k = F.col("schema_key")
+    asked = F.when(k % 5 == 0, F.lit(True)).when(k % 5 == 1, F.lit(False))  # else not said
+    targets = fx["fx_schemas"].withColumn("cascade", asked)
+    return drops.cascade_refusals(targets).select("schema_key", "name", "kind")
+
+
 @query("drop_routines", ("fx_recorded", "fx_declared", "fx_routines", "fx_versions"), """
 with t as (select application, unnest(schemas) as schema_name from {fx_recorded}
            union
