@@ -81,9 +81,11 @@ class FMIndex:
         """For each suffix rank, the range of ranks with the same first
         ``length`` symbols: the step up the suffix tree that drops the last
         symbol of a match of full depth."""
-        half = max(s for s in ranks if s <= max(length, 1))
+        if length == 0:
+            return np.zeros(self.n, dtype=np.int64), np.full(self.n, self.n, dtype=np.int64)
+        half = max(s for s in ranks if s <= length)
         first = ranks[half][self.suffixes]
-        at = np.minimum(self.suffixes.astype(np.int64) + max(length - half, 0), self.n - 1)
+        at = np.minimum(self.suffixes.astype(np.int64) + length - half, self.n - 1)
         second = ranks[half][at]
         new = np.ones(self.n, dtype=bool)
         new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
