@@ -164,6 +164,7 @@ cover as (
 select doc_id, item_id, item_words::bigint as item_words, n_covered::bigint as n_covered, n_slots, n_changed, consistent,
   consistent and n_covered >= {_D.LEAK_SHARE} * item_words as leak,
   consistent and n_covered >= {_D.LEAK_SHARE} * item_words and n_changed > 0 as reparameterised from o
+where consistent and n_covered >= {_D.LEAK_SHARE} * item_words
 """
 
 _L = licenses

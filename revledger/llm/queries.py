@@ -103,6 +103,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and benchmark items with common template windows."""
+    """Documents that leak a benchmark item, verbatim or re-parameterised."""
     return decontam.leaks(read_table(spark, sf_dir, "documents"),
-                          read_table(spark, sf_dir, "benchmark"))
+                          read_table(spark, sf_dir, "benchmark")).filter("leak")
