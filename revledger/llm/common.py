@@ -20,10 +20,19 @@ SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 BROADCAST_IDS = 500_000
 
 
+#: rows of an Arrow batch of whole texts. Spark's own default, ten thousand,
+#: makes batches of tens of megabytes, of which a task holds several.
+ARROW_ROWS = 500
+_ARROW_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Checkpoint folder set and package importable in Python workers."""
+    """Checkpoint folder set, package importable in Python workers, and Arrow
+    batches small enough for long texts unless the session has its own size."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    if spark.conf.get(_ARROW_CONF, "-1") == "-1":  # not set
+        spark.conf.set(_ARROW_CONF, str(ARROW_ROWS))
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
