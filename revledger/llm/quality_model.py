@@ -7,7 +7,8 @@ knows it better. A logistic curve, fitted on labelled texts that neither
 dictionary has seen, turns the difference into a probability.
 
 Fitting uses a bounded sample of the labelled rows: ``SAMPLE_DOCS`` of each
-label, ``SAMPLE_PIECES`` pieces of each text for the dictionaries. Scoring
+label, ``SAMPLE_PIECES`` pieces of each text for the dictionaries. All labels
+are counted, and the curve weighs each label by its true share. Scoring
 reads every whole text inside the tasks, without a shuffle; the model (two
 dictionaries of ``DICTIONARY_BYTES`` and a few floats) travels in the task.
 """
@@ -100,16 +101,20 @@ class QualityModel:
         return score
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50):
-    """Logistic regression by Newton steps on scaled features."""
-    scale = np.maximum(x.std(axis=0), 1e-6)
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50,
+              counts: np.ndarray | None = None):
+    """Logistic regression by Newton steps on scaled features. ``counts``
+    says how many rows each row stands for (one)."""
+    c = np.ones(len(x)) if counts is None else counts * (len(x) / counts.sum())
+    mean = (c[:, None] * x).mean(axis=0)
+    scale = np.maximum(np.sqrt((c[:, None] * (x - mean) ** 2).mean(axis=0)), 1e-6)
     a = np.column_stack([x / scale, np.ones(len(x))])
     w = np.zeros(a.shape[1])
     penalty = ridge * len(x) * np.diag([1.0] * x.shape[1] + [0.0])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        gradient = a.T @ (p - y) + penalty @ w
-        hessian = (a * (p * (1 - p) + 1e-9)[:, None]).T @ a + penalty + 1e-9 * np.eye(len(w))
+        gradient = a.T @ (c * (p - y)) + penalty @ w
+        hessian = (a * (c * (p * (1 - p) + 1e-9))[:, None]).T @ a + penalty + 1e-9 * np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -123,15 +128,19 @@ def held_out(id_col: str = "doc_id"):
                       F.lit(False))
 
 
+def known_labels(labels: DataFrame, label_col: str = "quality") -> DataFrame:
+    """(doc_id, label) of the documents that are not held out. A document
+    with both labels counts as bad; rows without id or label are left out."""
+    return (only(labels, doc_id="doc_id", label=label_col)
+            .filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out())
+            .groupBy("doc_id").agg(F.min("label").alias("label")))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
                     sample_docs: int = SAMPLE_DOCS):
     """[(text, label)] of at most ``sample_docs`` rows of each label that are
-    not held out, in the order of a hash of their id. A document with both
-    labels counts as bad; rows without id or label are left out."""
-    ids = (only(labels, doc_id="doc_id", label=label_col)
-           .filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out())
-           .groupBy("doc_id").agg(F.min("label").alias("label"))
-           .withColumn("_order", F.xxhash64(F.col("doc_id").cast("string"))))
+    not held out (:func:`known_labels`), in the order of a hash of their id."""
+    ids = known_labels(labels, label_col).withColumn("_order", F.xxhash64(F.col("doc_id").cast("string")))
     chosen = [ids.filter(F.col("label") == q).orderBy("_order", "doc_id").limit(sample_docs)
               for q in (0, 1)]
     # at most 2 * sample_docs rows: a proven bound
@@ -155,13 +164,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str = "qualit
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
         sample_docs: int = SAMPLE_DOCS) -> QualityModel:
-    """Dictionaries from every other sampled text, the curve from the rest.
-    With labels of one kind only, or none, every score is their share
+    """Dictionaries from every other sampled text, the curve from the rest,
+    in which each label has the weight of all its documents that are not held
+    out, so that the size of the sample does not move the scores. With labels of one kind only, or none, every score is their share
     (smoothed)."""
     prepare(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, sample_docs)
-    y = np.array([q for _, q in sample], dtype=float)
-    share = (y.sum() + 1) / (len(y) + 2)
+    counts = known_labels(labels, label_col).filter(F.col("label").isin(0, 1)).groupBy("label").count().collect()
+    total = {0: 0, 1: 0} | {int(r["label"]): r["count"] for r in counts}
+    share = (total[1] + 1) / (total[0] + total[1] + 2)
     flat = QualityModel(bias=float(np.log(share / (1 - share))))
     known, rest = [], []
     for q in (0, 1):
@@ -173,7 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     bad, good = map(build_dictionary, known)
     sizes = Sizes(good, bad)
     x = np.array([sizes.features(b"".join(parts).decode("utf-8", "replace")) for parts, _ in rest])
-    weights, bias = fit_curve(x, np.array([q for _, q in rest], dtype=float))
+    y = np.array([q for _, q in rest], dtype=float)
+    weights, bias = fit_curve(x, y, counts=np.where(y == 1, total[1] / y.sum(), total[0] / (len(y) - y.sum())))
     return QualityModel(good, bad, weights, bias)
 
 

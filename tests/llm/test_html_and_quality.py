@@ -146,3 +146,14 @@ def test_quality_odd_rows(spark, odd_rows):
     assert len(out) == len(odd_rows) and all(0 <= r["score"] <= 1 for r in out)
     assert qm.score(documents(spark, []), qm.fit(documents(spark, []), labels(spark, []))).collect() == []
     assert SMALL
+
+
+def test_scores_do_not_depend_on_the_sample_size(spark):
+    rows = [(i, prose(i, 60) + (" " + prose(i % 7, 8) if i % 6 == 0 else "")) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 6 > 0)) for i, _ in rows], "doc_id long, quality int")
+    means = []
+    for size in (40, 10_000):
+        model = qm.fit(docs, known, sample_docs=size)
+        means.append(sum(r["score"] for r in qm.score(docs, model).collect()) / len(rows))
+    assert abs(means[0] - 5 / 6) < 0.1 and abs(means[1] - 5 / 6) < 0.1
