@@ -32,6 +32,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: look-alikes of Latin letters that compatibility folding leaves alone
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁɡһοαεικνρτυΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕКМНОРСТХІЈЅ",
                       "aeopcyxijsdghoaeiknptuABEZHIKMNOPTYXABEKMHOPCTXIJS"))
+#: hyphens and dashes that compatibility folding leaves alone, and the minus
+HYPHENS = frozenset("\u2010\u2011\u2012\u2013\u2212")
 ZERO_WIDTH = frozenset("\u200b\u200c\u200d\u2060\ufeff\u00ad")
 
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5",
@@ -42,12 +44,13 @@ _SPELLED_RUN = re.compile(
     rf"(?<![A-Za-z0-9])(?:plus[\x20-]+)?(?:(?:{_DIGIT_WORD}|[0-9]+)[\x20-]+){{3,}}"
     rf"(?:{_DIGIT_WORD}|[0-9]+)(?![A-Za-z0-9])", re.I)
 _SPELLED_PART = re.compile(rf"plus[\x20-]+|(?:{_DIGIT_WORD})|[0-9]+|[\x20-]+", re.I)
-#: a bracketed "at" / "dot", or the bare words between word characters
+#: a bracketed "at" / "dot", or the bare words between word characters; as
+#: many dots as an address can have (64 and 253 characters)
 _AT = r"[\x20]*[\[({<][\x20]*(?:at|@)[\x20]*[\])}>][\x20]*|[\x20]+at[\x20]+|[\x20]*@[\x20]*"
 _DOT = r"[\x20]*[\[({<][\x20]*(?:dot|\.)[\x20]*[\])}>][\x20]*|[\x20]+dot[\x20]+"
 _DISGUISED_EMAIL = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:{_DOT}|\.)[A-Za-z0-9_%+-]+){{0,4}}(?P<at>{_AT})"
-    rf"[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+){{0,4}}(?:{_DOT}|\.)[A-Za-z]{{2,10}}(?![A-Za-z0-9])",
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:{_DOT}|\.)[A-Za-z0-9_%+-]+){{0,31}}(?P<at>{_AT})"
+    rf"[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+){{0,126}}(?:{_DOT}|\.)[A-Za-z]{{2,10}}(?![A-Za-z0-9])",
     re.I)
 _DISGUISED_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9.])", re.I)
 _AT_RE, _DOT_RE = re.compile(_AT, re.I), re.compile(_DOT, re.I)
@@ -118,26 +121,53 @@ def fold_char(c: str) -> str:
         return ""
     if c in HOMOGLYPHS:
         return HOMOGLYPHS[c]
+    if c in HYPHENS:
+        return "-"
     if unicodedata.category(c) == "Nd":
         return str(unicodedata.digit(c))
     k = unicodedata.normalize("NFKC", c)
     return k if k.isascii() and k and not k.isspace() else c
 
 
+def _script(c: str) -> str:
+    return unicodedata.name(c, "").split(" ")[0] if c.isalpha() else ""
+
+
+def _runs(word: str, folded: list[str]):
+    """(start, end) of the runs of ``word`` that fold to ASCII. Look-alikes
+    at the edge of a run stay with a neighbour of their own script: they are
+    the rest of its word."""
+    start = 0
+    for stop in [*(i for i, f in enumerate(folded) if not f.isascii()), len(word)]:
+        a, b = start, stop
+        if a:
+            script = _script(word[a - 1])
+            while a < b and script and word[a] in HOMOGLYPHS and _script(word[a]) == script:
+                a += 1
+        if stop < len(word):
+            script = _script(word[stop])
+            while a < b and script and word[b - 1] in HOMOGLYPHS and _script(word[b - 1]) == script:
+                b -= 1
+        if a < b:
+            yield a, b
+        start = stop + 1
+
+
 def homoglyphs(t: Tape) -> Tape:
-    """Look-alike letters, digits of other scripts and full-width forms to
-    ASCII; invisible characters go. A letter is only folded inside a word
-    that also has an ASCII letter, digit or sign, so that words of other
-    scripts stay as they are."""
+    """Look-alike letters, digits of other scripts, hyphens and full-width
+    forms to ASCII; invisible characters go. This is done in every run of
+    characters that fold to ASCII, whatever stands beside it (quotes,
+    accented letters, scripts without spaces), but not within words of other
+    scripts."""
     if t.text.isascii():
         return t
     edits = []
     for m in re.finditer(r"\S*[^\x00-\x7fÀ-ſ]\S*", t.text):
         w = m[0]
         folded = [fold_char(c) if ord(c) > 127 else c for c in w]
-        if folded != list(w) and "".join(folded).isascii():
-            edits += [(m.start() + i, m.start() + i + 1, f)
-                      for i, (c, f) in enumerate(zip(w, folded)) if c != f]
+        if folded != list(w):
+            edits += [(m.start() + i, m.start() + i + 1, folded[i])
+                      for a, b in _runs(w, folded) for i in range(a, b) if folded[i] != w[i]]
     return t.rewrite(edits)
 
 

@@ -114,3 +114,23 @@ def test_pii_odd_rows(spark, odd_rows):
     assert masked.columns == docs.columns and masked.schema == docs.schema
     assert sorted(map(str, masked.select("text").collect())) == sorted(map(str, docs.select("text").collect()))
     assert pii.find_pii(documents(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("text,source,kind", [
+    ("he wrote \u201cb\u043eb@example.org\u201d to us", "b\u043eb@example.org", "email"),
+    ("call +1\u2011555\u2011010\u20119999 now", "+1\u2011555\u2011010\u20119999", "phone"),
+    ("caf\u00e9:b\u043eb@example.org", "b\u043eb@example.org", "email"),
+    ("\u90ae\u7bb1\uff42\uff4f\uff42\uff20\uff58\uff0e\uff4f\uff52\uff47\u3002\u8c22\u8c22",
+     "\uff42\uff4f\uff42\uff20\uff58\uff0e\uff4f\uff52\uff47", "email"),
+    ("\u7535\u8bdd+\uff18\uff16\uff11\uff13\uff18\uff10\uff10\uff11\uff13\uff18\uff10\uff10\uff10\u8bf7",
+     "+\uff18\uff16\uff11\uff13\uff18\uff10\uff10\uff11\uff13\uff18\uff10\uff10\uff10", "phone"),
+    ("mail a.b.c.d.e.f.g [at] h.i.j.k.l.m.org now", "a.b.c.d.e.f.g [at] h.i.j.k.l.m.org", "email")])
+def test_disguises_beside_other_signs(text, source, kind):
+    at = text.index(source)
+    assert (at, at + len(source), kind) in pii.all_spans(text)[1]
+    assert source not in pii.mask_text(text)
+
+
+def test_words_of_other_scripts_beside_an_address_stay():
+    text = "\u0441\u043b\u043e\u0432\u043ebob@example.org"
+    assert pii.all_spans(text)[0] == pii.all_spans(text)[1] == [(5, 20, "email")]
