@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revledger.llm import (decontam, html_extract, licenses, near_dedup, packing, pii,
-                           quality_model, quality_rules, substring, warc)
+from revledger.llm import (conversations, decontam, html_extract, licenses, near_dedup, packing,
+                           periodic_runs, pii, quality_model, quality_rules, substring, token_counts,
+                           warc)
 from revledger.llm.oracles import ORACLES  # noqa: F401
 from revledger.session import read_table
 
@@ -106,3 +107,41 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item, verbatim or re-parameterised."""
     return decontam.leaks(read_table(spark, sf_dir, "documents"),
                           read_table(spark, sf_dir, "benchmark")).filter("leak")
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, a tenth of them planted."""
+    docs = periodic_runs.plant_repetition(read_table(spark, sf_dir, "documents"))
+    found = periodic_runs.periodic_runs(docs)
+    line = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in (
+        "start", "length", "period")]))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, huge ones spliced from overlapping chunks."""
+    counts = token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged, then repaired at the least cost."""
+    table = read_table(spark, sf_dir, "conversations")
+    fixed = conversations.repair(conversations.damaged(table))
+    ids = table.select("conv_id").distinct()
+    found = fixed.conversations.withColumnRenamed("conv_id", "c")
+    hashes = conversations.digests(fixed.rows).withColumnRenamed("conv_id", "d")
+    out = ids.join(found, ids["conv_id"].eqNullSafe(found["c"]), "left")
+    out = out.join(hashes, out["conv_id"].eqNullSafe(hashes["d"]), "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in (
+        "gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))

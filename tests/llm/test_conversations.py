@@ -1,0 +1,226 @@
+"""Conversation repair against every sequence of edits."""
+
+import hashlib
+import random
+import re
+import zlib
+from itertools import product
+
+import pytest
+
+from revledger.llm import conversations as cv
+from revledger.llm import queries
+
+SCHEMA = "conv_id long, turn long, role string, text string, pos string, n string, audit string, conv string"
+EXTRA = ("x",) * 4
+SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
+
+
+def faults(rows):
+    seen, out = set(), []
+    for role, text in rows:
+        bare = text.strip(SPACE)
+        out.append("blank" if not bare else "duplicate" if (role, text) in seen else
+                   "truncated" if bare[-1] not in ".!?" else "")
+        seen.add((role, text))
+    return out
+
+
+def cheapest(rows):
+    """(cost, audit) over all edits with at most two inserts at a place."""
+    marks, best = faults(rows), None
+    for inserts in product(range(3), repeat=len(rows) + 1):
+        for edits in product("DKR", repeat=len(rows)):
+            cost, audit, left = 0, "", []
+            for i in range(len(rows) + 1):
+                cost += 2 * inserts[i]
+                audit += "I" * inserts[i]
+                left += ["?"] * inserts[i]
+                if i == len(rows):
+                    break
+                e = edits[i]
+                if e != "D" and marks[i] in ("blank", "duplicate"):
+                    break
+                cost += {"D": 3, "K": 0, "R": 2}[e] + (e != "D" and marks[i] == "truncated")
+                audit += e
+                left += [] if e == "D" else [rows[i][0][:1]] if e == "K" else ["?"]
+            else:
+                continue
+            if i < len(rows):
+                continue
+            if best is not None and (cost, audit) >= best:
+                continue
+            shape = "".join(c or "o" for c in left)
+            n = len(shape)
+            wish = "s" * (n % 2) + "ua" * (n // 2)
+            if n != 1 and all(c in ("?", w) for c, w in zip(shape, wish)) and not (n % 2 and shape[0] == "?"):
+                assert re.fullmatch("(s?(ua)+)?", wish)
+                best = cost, audit
+    return best
+
+
+ROWS = [("user", "Hi."), ("user", "Hi"), ("assistant", "Yes."), ("assistant", "No"), ("system", "Be good."),
+        ("system", ""), ("tool", "42."), ("tool", "42"), ("user", " \n")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tables_equal_every_sequence_of_edits(seed):
+    r = random.Random(seed)
+    for _ in range(60):
+        rows = [r.choice(ROWS) for _ in range(r.randrange(1, 5))]
+        symbols = "".join(cv.MUST_GO if f in ("blank", "duplicate") else
+                          (k[0] if k[0] in "sua" else "o").upper() if f else (k[0] if k[0] in "sua" else "o")
+                          for (k, _), f in zip(rows, faults(rows)))
+        [(_, _, tables)] = cv.walk([(symbols, True)])
+        assert tables[0][cv.START] == cheapest(rows), rows
+
+
+def test_walk_shares_suffixes(monkeypatch):
+    """A node of the automaton is computed once, whatever shares it."""
+    made = []
+    before = cv.before
+    monkeypatch.setattr(cv, "before", lambda s, t: made.append(s) or before(s, t))
+    signatures = ["sua", "ua", "xua", "Sua", "a", "saa", "uaua"]
+    ordered = sorted(signatures, key=lambda s: s[::-1])
+    got = {s: t for s, _, t in cv.walk([(s, True) for s in ordered])}
+    suffixes = {s[i:] for s in signatures for i in range(len(s))}
+    assert len(made) == len(suffixes)
+    for s in signatures:
+        [(_, _, alone)] = cv.walk([(s, True)])
+        assert got[s] == alone
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_joined_segments_equal_the_whole(seed):
+    r = random.Random(seed)
+    for _ in range(100):
+        s = "".join(r.choice("suaoSUAOx") for _ in range(r.randrange(2, 40)))
+        cuts = sorted(r.sample(range(1, len(s)), min(len(s) - 1, 3)))
+        parts = [s[a:b] for a, b in zip([0, *cuts], [*cuts, len(s)])]
+        tables = [next(cv.walk([(p, i == len(parts) - 1)]))[2] for i, p in enumerate(parts)]
+        whole = next(cv.walk([(s, True)]))[2]
+        left = tables[0]
+        for t in tables[1:]:
+            left = cv.joined(left, t)
+        right = tables[-1]
+        for t in tables[-2::-1]:
+            right = cv.joined(t, right)
+        assert left == right == whole
+
+
+def plain(table):
+    """The query's rows, one conversation after another, by dynamic
+    programming over rows and grammar states."""
+    out = {}
+    for conv in {r[0] for r in table}:
+        rows = []
+        for c, turn, role, text in table:
+            if c != conv:
+                continue
+            key = f"{' ' if c is None else c}:{' ' if turn is None else turn}"
+            code = zlib.crc32(key.encode()) % 20
+            role, text = " " if role is None else role, " " if text is None else text
+            if code:
+                row = (turn, "user" if code == 4 else role,
+                       "" if code == 1 else re.sub("[.!?]", "", text) if code == 2 else text)
+                rows += [row] * (2 if code == 3 else 1)
+        rows.sort(key=lambda r: ((r[0] is not None, r[0] or 0), r[1], hashlib.sha256(r[2].encode()).digest()))
+        turns = {r[0] for r in rows} - {None}
+        marks = faults([r[1:] for r in rows])
+        memo = {}
+
+        def go(i, g):
+            """Least (cost, audit) from row i in state g, by its first edit."""
+            if (i, g) in memo:
+                return memo[i, g]
+            ways, stack = [], [(0, "", g)]
+            for _ in range(2):
+                c, a, h = stack[-1]
+                stack.append((c + 2, a + "I", "a" if h == "u" else "u"))
+            for c, a, h in stack:
+                if i == len(rows):
+                    if h in ("", "a"):
+                        ways.append((c, a))
+                    continue
+                k, b = go(i + 1, h)
+                ways.append((c + 3 + k, a + "D" + b))
+                if marks[i] in ("blank", "duplicate"):
+                    continue
+                more, first = c + (marks[i] == "truncated"), rows[i][1][:1]
+                k, b = go(i + 1, "a" if h == "u" else "u")
+                ways.append((more + 2 + k, a + "R" + b))
+                if first in {"": "su", "s": "u", "u": "a", "a": "u"}[h] and first:
+                    k, b = go(i + 1, first)
+                    ways.append((more + k, a + "K" + b))
+            memo[i, g] = min(ways)
+            return memo[i, g]
+
+        for i in range(len(rows), 0, -1):
+            for g in ("", "s", "u", "a"):
+                go(i, g)
+        cost, audit = go(0, "") if rows else (0, "")
+        state, at, fixed = "", 0, []
+        for e in audit:
+            if e != "D":
+                role = rows[at][1] if e == "K" else "assistant" if state == "u" else "user"
+                fixed.append(f"{role}:{'' if e == 'I' else rows[at][2]}")
+                state = role[0]
+            at += e != "I"
+        pairs = [a[1][:1] + b[1][:1] for a, b in zip(rows, rows[1:])]
+        out[conv] = (max(turns) - min(turns) + 1 - len(turns) if turns else 0,
+                     *[marks.count(k) for k in ("blank", "duplicate", "truncated")],
+                     sum(p not in ("su", "ua", "au") for p in pairs), cost, audit,
+                     hashlib.sha256("\n".join(fixed).encode()).hexdigest())
+    return out
+
+
+def run_query(spark, monkeypatch, table):
+    df = spark.createDataFrame([(*r, *EXTRA) for r in table], SCHEMA).repartition(5)
+    monkeypatch.setattr(queries, "read_table", lambda s, d, name: df)
+    got = queries.op13_conversation_repair(spark, "").collect()
+    assert len(got) == len({r[0] for r in table})
+    return {r[0]: tuple(r)[1:] for r in got}
+
+
+def some_rows(r, conv, n):
+    roles = ["system", "user", "assistant", "user", "assistant", "tool", "", None, "unknown"]
+    texts = ["Hello.", "What?", "No", "", " ", None, "a. ", "x.\u0085", "Yes!  ", "é…", " ", "same."]
+    return [(conv, r.choice([i, i, i, i + 2, None]), r.choice(roles[: r.choice([3, 5, 9])]),
+             r.choice(texts) if r.random() < 0.5 else f"text {i}.") for i in range(n)]
+
+
+@pytest.mark.parametrize("segment", [256, 4])
+def test_query_equals_dynamic_programming(spark, monkeypatch, segment):
+    monkeypatch.setattr(cv, "SEGMENT", segment)
+    monkeypatch.setattr(cv, "FAN_IN", 3)
+    r = random.Random(segment)
+    table = [row for c in [*range(150), None] for row in some_rows(r, c, r.randrange(1, 12))]
+    table += some_rows(r, 500, 300) + [(501, i % 3, "user", "Same.") for i in range(90)]
+    table += table[:20]
+    assert run_query(spark, monkeypatch, table) == plain(table)
+
+
+def test_hot_conversations_take_the_range_path(spark, monkeypatch):
+    spark.conf.set("spark.revledger.groupRowLimit", "10")
+    try:
+        r = random.Random(9)
+        table = some_rows(r, 1, 400) + some_rows(r, 2, 5) + some_rows(r, None, 40)
+        assert run_query(spark, monkeypatch, table) == plain(table)
+    finally:
+        spark.conf.unset("spark.revledger.groupRowLimit")
+
+
+def test_empty_and_long(spark, monkeypatch):
+    df = spark.createDataFrame([], SCHEMA)
+    monkeypatch.setattr(queries, "read_table", lambda s, d, name: df)
+    assert queries.op13_conversation_repair(spark, "").collect() == []
+    table = [(1, i, ("user", "assistant")[i % 2], ("word " * 40_000 if i == 3 else f"t{i}") + ".") for i in range(12)]
+    assert run_query(spark, monkeypatch, table) == plain(table)
+
+
+def test_rows_of_a_repair(spark):
+    table = [(1, 1, "assistant", "Hello."), (1, 2, "user", "And"), (1, 2, "user", "And")]
+    df = spark.createDataFrame([(*r, *EXTRA) for r in table], SCHEMA)
+    rows = [tuple(r) for r in cv.repair(df).rows.collect()]
+    assert rows == [(1, 0, "I", "user", ""), (1, 1, "K", "assistant", "Hello."), (1, 2, "D", "user", "And"),
+                    (1, 3, "D", "user", "And")]

@@ -1,0 +1,112 @@
+"""Periodic runs against a scan of every period."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from revledger.llm import periodic_runs as pr
+from revledger.llm import queries
+from tests.llm.conftest import documents, prose
+
+
+def brute(words):
+    """Every maximal stretch of every period; of equal stretches the least."""
+    n, out = len(words), {}
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(6, 4 * q):
+                out.setdefault((i, j + q - i), q)
+            i = max(j, i + 1)
+    return sorted(((s, n, q) for (s, n), q in out.items()), key=lambda r: (r[0], r[2]))
+
+
+def repetitive(r):
+    """Words with runs of many periods, small periods inside larger ones."""
+    out = []
+    while len(out) < r.randrange(600):
+        k, letters = r.choice([1, 2, 3, 5, 9, 15, 17, 30, 33, 60, 70]), r.choice([2, 3, 50])
+        unit = [r.randrange(letters) for _ in range(k)]
+        kind = r.random()
+        if kind < 0.3:
+            unit = [0] * (k - 1) + [1]
+        elif kind < 0.5 and k > 8:
+            unit = (unit[: k // 7] * 9)[: k - 1] + [7]
+        repeated = unit * r.randrange(1, 9)
+        out += repeated[: len(repeated) - r.randrange(k)] + [r.randrange(letters) for _ in range(r.randrange(3))]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_runs_equal_scan_of_every_period(seed):
+    r = random.Random(seed)
+    for _ in range(40):
+        texts = [repetitive(r) for _ in range(r.randrange(1, 5))]
+        first = np.cumsum([0, *map(len, texts)])
+        found = pr.find_runs(np.array([w for t in texts for w in t], dtype=np.int64), first)
+        for k, t in enumerate(texts):
+            assert found.get(k, []) == brute(t)
+
+
+def test_one_unit_for_a_whole_long_text():
+    for period in (1, 8, 9, 1000, 12_345):
+        unit = list(range(period))
+        words = np.array((unit * 50)[: 4 * period + 7] if period > 1 else [0] * 100_000)
+        assert pr.find_runs(words, np.array([0, len(words)])) == {0: [(0, len(words), period)]}
+
+
+def test_no_neighbour_text_extends_a_run():
+    words = np.array([1, 2] * 3 + [1, 2] * 4)
+    assert pr.find_runs(words, np.array([0, 6, 14])) == {1: [(0, 8, 2)]}
+
+
+def test_collapse_and_strongest():
+    words = "a b c a b c a b c a b c d d d d d d e".split()
+    runs = brute(words)
+    assert runs == [(0, 12, 3), (12, 6, 1)]
+    assert pr.collapsed(words, runs) == "a b c d e".split()
+    assert pr.strongest(runs) == (12, 6, 1)
+    assert pr.strongest([(0, 8, 2), (9, 12, 3)]) == (0, 8, 2)
+
+
+def plain(doc_id, text):
+    """The row that the query returns, by the scan of every period."""
+    words = [w for w in (text or "").translate({c: " " for c in range(9, 14)}).split(" ") if w]
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is not None and h % 10 == 0 and words:
+        g = h // 10
+        a = g % len(words)
+        p = 1 + (len(words) - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    runs = brute(words)
+    best = max(runs, key=lambda r: (r[1] / r[2], -r[0], -r[2]), default=None)
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+    lines = "".join(f"{s},{n},{q}\n" for s, n, q in runs)
+    return (doc_id, len(runs), *(best or (None,) * 3), best and 1000 * best[1] // best[2],
+            hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_query_equals_scan(spark, odd_rows, monkeypatch):
+    rows = [r for r in odd_rows if not r[1] or len(r[1]) < 5000] + [
+        (i, prose(i, 20 + i % 150) + " " + "na na" * (i % 9) + " x y z" * (i % 7), "s") for i in range(100, 250)]
+    docs = documents(spark, rows)
+    monkeypatch.setattr(queries, "read_table", lambda s, d, name: docs)
+    got = sorted(map(tuple, queries.op11_periodic_runs(spark, "").collect()), key=str)
+    assert got == sorted((plain(i, t) for i, t, _ in rows), key=str)
+    monkeypatch.setattr(queries, "read_table", lambda s, d, name: docs.limit(0))
+    assert queries.op11_periodic_runs(spark, "").collect() == []
+
+
+def test_long_text(spark):
+    unit = prose(5, 3000).split()
+    text = " ".join(prose(6, 500).split() + unit * 5 + prose(7, 500).split())
+    row = pr.periodic_runs(documents(spark, [(1, text, "s")])).first()
+    assert any(r["period"] == 3000 and r["length"] >= 15_000 for r in row["runs"])
+    assert len(row["collapsed"].split()) <= 4000
