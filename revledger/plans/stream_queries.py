@@ -16,23 +16,23 @@ def _pushes(fx):
     return view_over(fx.spark, "fx_history", events=events)
 
 
-def _pushes_in_batches(fx, name: str, parts: int = 3):
-    """The same pushes as a stream of several files, one to a micro-batch:
-    ``parts`` ranges of event ids in order, and an empty file after the
-    first."""
+def _in_arrivals(fx, name: str, run, parts: int = 3):
+    """``run`` a stream of the same pushes over ``parts`` arrivals, ranges of
+    event ids in order (the first has what has no id), with an empty one
+    after the first. The stream stops and goes on from its checkpoint
+    between them; an arrival is written by as many tasks as read it."""
     folder = ls.scratch(fx.spark, name)
     events = fx["events"]
     low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
     low, high = (0, 0) if low is None else (low, high)
     step = (high - low) // parts + 1
-    part = F.floor((F.col("event_id") - low) / step)
+    part = F.coalesce(F.floor((F.col("event_id") - low) / step), F.lit(0))
     for i in range(parts):
-        events.filter(part == i).coalesce(1).write.parquet(f"{folder}/{2 * i}")
+        events.filter(part == i).write.parquet(f"{folder}/{2 * i}")
         if i == 0:
-            events.limit(0).coalesce(1).write.parquet(f"{folder}/1")
-    stream = (fx.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
-              .parquet(folder + "/*"))
-    return view_over(fx.spark, "fx_history", events=stream)
+            events.limit(0).write.parquet(f"{folder}/1")
+        stream = fx.spark.readStream.schema(events.schema).parquet(folder + "/*")
+        run(view_over(fx.spark, "fx_history", events=stream))
 
 
 @query("stream_reject", ("fx_history",), """
@@ -77,9 +77,8 @@ def stream_push(fx):
     """Continuous clean-then-push of a push stream into a ledger, over several
     micro-batches of which one is empty (K1)."""
     root = ls.scratch(fx.spark, "push")
-    pushes = _pushes_in_batches(fx, "push-input")
-    ls.stream_push(pushes, root, root + "/_checkpoint")
-    return ls.read_current(fx.spark, root, pushes.schema).select(
+    _in_arrivals(fx, "push-input", lambda pushes: ls.stream_push(pushes, root, root + "/_checkpoint"))
+    return ls.read_current(fx.spark, root, fx["fx_history"].schema).select(
         "application", "schemas_type", "datetime", "revision", "comment")
 
 
@@ -124,8 +123,8 @@ def _guard(fx, seed):
     if seed is not None:
         rows = seed.select("revision_history_id", "application", "schemas_type", "revision")
         ledger_io.commit_batch(root, 0, rows.drop("revision_history_id"), rows)
-    pushes = guard_pushes(_pushes_in_batches(fx, "guard-input"))
-    ls.stream_guard(pushes, root, out, out + "-checkpoint")
+    _in_arrivals(fx, "guard-input", lambda pushes: ls.stream_guard(
+        guard_pushes(pushes), root, out, out + "-checkpoint"))
     return fx.spark.read.schema(ls.GUARD_OUT).parquet(out).drop("batch_id")
 
 

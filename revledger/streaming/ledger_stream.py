@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revledger.operators import checks, ledger
 from revledger.operators.joins import maybe_broadcast
+from revledger.operators.replay import replay
 from revledger.operators.sequence import assign_ids
-from revledger.session import ensure_checkpoint_dir, ship_package
+from revledger.session import ensure_checkpoint_dir
 from revledger.sources import ledger_io
 
 KEY = ["application", "schemas_type"]
@@ -93,51 +93,23 @@ GUARD_OUT = ("application string, schemas_type string, revision_history_id long,
              "expected_revision string, revision string, accepted boolean, stored_after string")
 
 
-def _replay(frames):
-    """Rows sorted by key and id, chunk by chunk: a push is accepted when the
-    stored revision is not distinct from the expected one, and then becomes
-    the stored revision. Only one key's stored revision is held."""
-    key, stored = None, None
-    for pdf in frames:
-        accepted, after = [], []
-        for k, before, exp, rev in zip(
-                zip(pdf["application"], pdf["schemas_type"]), pdf["_stored"].tolist(),
-                pdf["expected_revision"].tolist(), pdf["revision"].tolist()):
-            if k != key:
-                key, stored = k, (None if pd.isna(before) else before)
-            ok = stored == (None if pd.isna(exp) else exp)
-            if ok:
-                stored = None if pd.isna(rev) else rev
-            accepted.append(ok)
-            after.append(stored)
-        out = pdf[[*KEY, ledger.ID, "expected_revision", "revision"]].copy()
-        out["accepted"] = accepted
-        out["stored_after"] = pd.Series(after, index=out.index, dtype=object)
-        yield out
-
-
 def stream_guard(stream: DataFrame, root: str, out: str, checkpoint: str) -> None:
     """K2: guarded push per key against the ledger at ``root``, whose stored
     revisions are the state (a key without a row expects NULL).
 
-    Acceptance depends on the previous decision, so a micro-batch is dealt
-    by key, sorted by (key, id) in Spark and replayed in one pass per
-    partition in bounded memory, however many rows a key has. Accepted rows
-    enter the ledger in the same batch. Batch n of the stream is batch n + 1
-    of the ledger: batch 0 is what it held before, if anything."""
-    ship_package(stream.sparkSession)
-
+    Acceptance depends on the previous decision; ``operators.replay`` finds
+    it for all pushes of a micro-batch at once, a hot key dealt over tasks by
+    chunk. Accepted rows enter the ledger in the same batch. Batch n of the
+    stream is batch n + 1 of the ledger: batch 0 is what it held before, if
+    anything."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         number = batch_id + 1
+        guard_out = spark.createDataFrame([], GUARD_OUT).schema
         buckets = ledger_io.touched_buckets(batch)
         state = spark.createDataFrame([], GUARD_STATE).schema
         prev = ledger_io.read_current(spark, root, state, number, buckets)
-        b, c = batch.alias("b"), prev.alias("c")
-        on = [F.col(f"b.{k}").eqNullSafe(F.col(f"c.{k}")) for k in KEY]
-        rows = b.join(c, on[0] & on[1], "left").select("b.*", F.col("c.revision").alias("_stored"))
-        rows = rows.repartition(*KEY).sortWithinPartitions(*KEY, ledger.ID)
-        done = rows.mapInPandas(_replay, GUARD_OUT)
+        done = replay(batch, prev, KEY).select(*[f.name for f in guard_out])
         folder = f"{out}/batch_id={batch_id}"
         done.write.mode("overwrite").parquet(folder)
         done = spark.read.schema(done.schema).parquet(folder)

@@ -160,17 +160,3 @@ def test_damaged_commit_is_an_error(spark):
         ledger_io.read_current(spark, root, LEDGER_CURRENT).count()
     with pytest.raises(Exception):
         ledger_io.history_top(spark, root)
-
-
-def test_hot_key_replay_crosses_chunks():
-    import pandas as pd
-
-    from revledger.streaming.ledger_stream import _replay
-
-    rows = pd.DataFrame({"application": "a", "schemas_type": "t", "revision_history_id": range(10),
-                         "expected_revision": [None, "r0", "x", "r1", None, "r3", "r5", "r6", "r7", "r8"],
-                         "revision": [f"r{i}" for i in range(10)], "_stored": [None] * 10})
-    whole = pd.concat(_replay([rows]))
-    parts = pd.concat(_replay([rows[:3], rows[3:4], rows[4:]]))
-    assert whole["accepted"].tolist() == parts["accepted"].tolist()
-    assert whole["accepted"].tolist() == [True, True, False, True, False, True, True, True, True, True]
