@@ -53,10 +53,25 @@ from (select *, row_number() over (partition by application, schemas_type
 where k = 1
 """)
 
+# the ledger a fortnight earlier, when part of the keys had no row yet
+_view("fx_current_old", ("fx_history",), """
+select revision_history_id, application, schemas_type, datetime, revision, comment
+from (select *, row_number() over (partition by application, schemas_type
+                                   order by revision_history_id desc) as k
+      from {fx_history} where datetime < timestamp '2024-01-08 00:00:00') x
+where k = 1
+""")
+
 _view("fx_history_before", ("fx_history",), """
 select * from {fx_history} where datetime < timestamp '2024-01-25 00:00:00'
 """)
 
+# every push since then, keys repeated inside the batch included
+_view("fx_pushes", ("fx_history",), """
+select revision_history_id, application, schemas_type, datetime, revision, comment
+from {fx_history} where datetime >= timestamp '2024-01-25 00:00:00'
+""")
+
 _view("fx_batch", ("fx_history",), """
 select revision_history_id, application, schemas_type, datetime, revision, comment
 from (select *, row_number() over (partition by application, schemas_type

@@ -1,4 +1,4 @@
-"""Ledger queries over the fixture ledger (fx_history / fx_current / fx_batch)."""
+"""Ledger queries over the fixture ledger (fx_history / fx_current / fx_pushes / fx_batch)."""
 
 from __future__ import annotations
 
@@ -74,75 +74,77 @@ def ident_key_q(fx):
     ).distinct()
 
 
-@query("ledger_clean", ("fx_current", "fx_batch"), """
+@query("ledger_clean", ("fx_current", "fx_pushes"), """
 select c.* from {fx_current} c
-where not exists (select 1 from {fx_batch} b
+where not exists (select 1 from {fx_pushes} b
                   where b.application = c.application and b.schemas_type = c.schemas_type)
 """)
 def ledger_clean(fx):
     """Current rows left after cleaning the batch keys."""
-    return ledger.clean(fx["fx_current"], fx["fx_batch"])
+    return ledger.clean(fx["fx_current"], fx["fx_pushes"])
 
 
 _PUSH_SQL = """
 select cast(m.top + row_number() over (order by a.application, a.schemas_type) as bigint) as revision_history_id,
        a.application, a.schemas_type, a.revision, a.comment, 'pushed' as status
-from (select b.* from {fx_batch} b
+from (select b.* from {fx_pushes} b
       where not exists (select 1 from bad where bad.application = b.application
                                             and bad.schemas_type = b.schemas_type)) a,
      (select max(revision_history_id) as top from {fx_history_before}) m
 union all
 select cast(null as bigint), b.application, b.schemas_type, b.revision, b.comment, 'conflict'
-from {fx_batch} b
+from {fx_pushes} b
 where exists (select 1 from bad where bad.application = b.application and bad.schemas_type = b.schemas_type)
 """
 
 
-@query("ledger_push", ("fx_current", "fx_batch", "fx_history_before"), """
-with bad as (select application, schemas_type from {fx_batch} group by application, schemas_type
+@query("ledger_push", ("fx_current_old", "fx_pushes", "fx_history_before"), """
+with bad as (select application, schemas_type from {fx_pushes} group by application, schemas_type
              having count(*) > 1
              union
-             select application, schemas_type from {fx_current})
+             select application, schemas_type from {fx_current_old})
 """ + _PUSH_SQL)
 def ledger_push(fx):
-    """Push a batch without cleaning: new history rows with dense ids, conflicts reported."""
-    _, appended, conflicts = ledger.push(fx["fx_current"], fx["fx_history_before"], fx["fx_batch"])
+    """Push a batch without cleaning: new history rows with dense ids; pushes
+    of stored keys and of keys repeated in the batch are conflicts (T1, T5)."""
+    _, appended, conflicts = ledger.push(fx["fx_current_old"], fx["fx_history_before"], fx["fx_pushes"])
     cols = ["revision_history_id", "application", "schemas_type", "revision", "comment"]
     return appended.select(*cols, F.lit("pushed").alias("status")).unionByName(
         conflicts.select(F.lit(None).cast("bigint").alias("revision_history_id"),
                          *cols[1:], F.lit("conflict").alias("status")))
 
 
-@query("ledger_replace", ("fx_current", "fx_batch", "fx_history_before"), """
-with bad as (select application, schemas_type from {fx_batch} group by application, schemas_type
+@query("ledger_replace", ("fx_current", "fx_pushes", "fx_history_before"), """
+with bad as (select application, schemas_type from {fx_pushes} group by application, schemas_type
              having count(*) > 1)
 select revision_history_id, application, schemas_type, datetime, revision, comment
 from {fx_current} c
-where not exists (select 1 from {fx_batch} b
+where not exists (select 1 from {fx_pushes} b
                   where b.application = c.application and b.schemas_type = c.schemas_type)
 union all
 select cast(m.top + row_number() over (order by a.application, a.schemas_type) as bigint),
        a.application, a.schemas_type, a.datetime, a.revision, a.comment
-from (select b.* from {fx_batch} b
+from (select b.* from {fx_pushes} b
       where not exists (select 1 from bad where bad.application = b.application
                                             and bad.schemas_type = b.schemas_type)) a,
      (select max(revision_history_id) as top from {fx_history_before}) m
 """)
 def ledger_replace(fx):
-    """Clean-then-push of a batch: the current table afterwards."""
-    new_current, _, _ = ledger.replace(fx["fx_current"], fx["fx_history_before"], fx["fx_batch"])
+    """Clean-then-push of a batch: the current table afterwards; keys repeated
+    in the batch are cleaned but not pushed (T2)."""
+    new_current, _, _ = ledger.replace(fx["fx_current"], fx["fx_history_before"], fx["fx_pushes"])
     return new_current.select(*LEDGER_COLS)
 
 
-@query("revision_guard", ("fx_current", "fx_batch"), """
+@query("revision_guard", ("fx_current", "fx_pushes"), """
 select b.application, b.schemas_type, b.revision as expected_revision, c.revision as stored_revision
-from {fx_batch} b left join {fx_current} c
+from {fx_pushes} b left join {fx_current} c
   on c.application = b.application and c.schemas_type = b.schemas_type
 where c.revision is distinct from b.revision
 """)
 def revision_guard(fx):
-    """Keys whose stored revision is distinct from the expected one."""
-    return ledger.guard(fx["fx_current"], fx["fx_batch"])
+    """Pushes whose key has a stored revision distinct from the expected one."""
+    return ledger.guard(fx["fx_current"], fx["fx_pushes"])
 
 
 @query("ledger_drift", ("fx_history_kinds",), """
