@@ -12,7 +12,7 @@ task, and the side is not computed again, whichever way the join then goes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from revledger.session import ensure_checkpoint_dir, limit_conf
@@ -35,13 +35,17 @@ def measured(df: DataFrame) -> tuple[DataFrame, int, int]:
     return fixed, obs.get["rows"], obs.get["bytes"] or 0
 
 
-def sized(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """(``df`` written once, whether it is under the broadcast limits)."""
-    spark = df.sparkSession
+def fits(spark: SparkSession, rows: int, size: int, max_rows: int | None = None) -> bool:
+    """Whether a side of so many rows and bytes is under the broadcast limits."""
     if max_rows is None:
         max_rows = limit_conf(spark, "broadcastRows", BROADCAST_ROWS)
+    return rows <= max_rows and size <= limit_conf(spark, "broadcastBytes", BROADCAST_BYTES)
+
+
+def sized(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
+    """(``df`` written once, whether it is under the broadcast limits)."""
     fixed, rows, size = measured(df)
-    return fixed, rows <= max_rows and size <= limit_conf(spark, "broadcastBytes", BROADCAST_BYTES)
+    return fixed, fits(df.sparkSession, rows, size, max_rows)
 
 
 def bounded(df: DataFrame, max_rows: int | None = None) -> DataFrame | None:

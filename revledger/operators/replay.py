@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from revledger.operators.sequence import number_rows, split_hot
-from revledger.session import ensure_checkpoint_dir, limit_conf, ship_package
+from revledger.session import ensure_checkpoint_dir, limit_conf, ship_package, written
 
 EXPECTED, REVISION, STORED = "expected_revision", "revision", "_stored"
 _CHUNK, _N, _IN, _OUT, _NEXT = "_rp_chunk", "_rp_n", "_rp_in", "_rp_out", "_rp_next"
@@ -202,7 +202,7 @@ def replay(pushes: DataFrame, stored: DataFrame, key=("application", "schemas_ty
         return out
     chunk = key + [_CHUNK]
     placed = number_rows(hot, key, [order], _N, start=0, group_row_limit=chunk_rows)
-    placed = placed.withColumn(_CHUNK, F.floor(F.col(_N) / chunk_rows)).checkpoint(eager=True)
+    placed = written(placed.withColumn(_CHUNK, F.floor(F.col(_N) / chunk_rows)), "guard")
     starts = _chunk_starts(placed, seed, key)
     rows = _joined(placed, starts, chunk, "left").repartition(*chunk).sortWithinPartitions(*chunk, _N)
     done = rows.mapInArrow(_replay(chunk), _ddl(placed, "accepted boolean", "stored_after string"))
@@ -215,10 +215,10 @@ def _chunk_starts(placed: DataFrame, seed: DataFrame, key: list[str]) -> DataFra
     dealt = placed.select(*chunk, _N, EXPECTED, REVISION)
     dealt = dealt.repartition(*chunk).sortWithinPartitions(*chunk, _N)
     maps = dealt.mapInArrow(_maps(chunk), _ddl(dealt.select(*chunk), f"{_IN} string", f"{_OUT} string"))
-    maps = maps.select(*chunk, _coded(F.col(_IN)).alias(_IN), _coded(F.col(_OUT)).alias(_OUT)).checkpoint(eager=True)
+    maps = written(maps.select(*chunk, _coded(F.col(_IN)).alias(_IN), _coded(F.col(_OUT)).alias(_OUT)), "guard")
     chunks = placed.select(*chunk).distinct()
-    seeds = _joined(chunks.select(*key).distinct(), seed, key, "left").select(
-        *key, _coded(F.col(STORED)).alias(_OUT)).checkpoint(eager=True)
+    seeds = written(_joined(chunks.select(*key).distinct(), seed, key, "left").select(
+        *key, _coded(F.col(STORED)).alias(_OUT)), "guard")
 
     # the next later chunk that expects what a chunk (or the ledger: -1) left
     left = maps.select(*chunk, _OUT).distinct().unionByName(seeds.withColumn(_CHUNK, F.lit(-1).cast("long")))
@@ -227,26 +227,26 @@ def _chunk_starts(placed: DataFrame, seed: DataFrame, key: list[str]) -> DataFra
     w = (Window.partitionBy(*key, "_value").orderBy(F.col(_CHUNK).desc(), F.col("_wants"))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     wanted = F.last(F.when(F.col("_wants") == 1, F.col(_CHUNK)), ignorenulls=True).over(w)
-    pointers = events.select("*", wanted.alias(_NEXT)).filter("_wants = 0").select(
-        *chunk, F.col("_value").alias(_OUT), _NEXT).checkpoint(eager=True)
+    pointers = written(events.select("*", wanted.alias(_NEXT)).filter("_wants = 0").select(
+        *chunk, F.col("_value").alias(_OUT), _NEXT), "guard")
 
     # entries on the path: the first 2^k of them are known after k rounds
-    reached = pointers.filter(F.col(_CHUNK) == -1).filter(F.col(_NEXT).isNotNull()).select(
-        *key, F.col(_NEXT).alias(_CHUNK), F.col(_OUT).alias(_IN)).checkpoint(eager=True)
-    jump = _joined(maps, pointers, chunk + [_OUT]).select(*entry, _NEXT, _OUT).filter(
-        F.col(_NEXT).isNotNull()).checkpoint(eager=True)
+    reached = written(pointers.filter(F.col(_CHUNK) == -1).filter(F.col(_NEXT).isNotNull()).select(
+        *key, F.col(_NEXT).alias(_CHUNK), F.col(_OUT).alias(_IN)), "guard")
+    jump = written(_joined(maps, pointers, chunk + [_OUT]).select(*entry, _NEXT, _OUT).filter(
+        F.col(_NEXT).isNotNull()), "guard")
     while True:
         obs = Observation()
         further = _joined(reached, jump, entry).select(
             *key, F.col(_NEXT).alias(_CHUNK), F.col(_OUT).alias(_IN))
-        further = further.observe(obs, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
+        further = written(further.observe(obs, F.count(F.lit(1)).alias("rows")), "guard")
         if not obs.get["rows"]:
             break
-        reached = reached.unionByName(further).checkpoint(eager=True)
+        reached = written(reached.unionByName(further), "guard")
         onward = jump.select(*key, F.col(_CHUNK).alias(_NEXT), F.col(_IN).alias(_OUT),
                              F.col(_NEXT).alias("_next2"), F.col(_OUT).alias("_out2"))
-        jump = _joined(jump, onward, key + [_NEXT, _OUT]).select(
-            *entry, F.col("_next2").alias(_NEXT), F.col("_out2").alias(_OUT)).checkpoint(eager=True)
+        jump = written(_joined(jump, onward, key + [_NEXT, _OUT]).select(
+            *entry, F.col("_next2").alias(_NEXT), F.col("_out2").alias(_OUT)), "guard")
 
     passed = _joined(reached, maps, entry).select(*chunk, _OUT)
     before = Window.partitionBy(*key).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)

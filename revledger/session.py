@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +66,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written to the checkpoint folder as a table and read back. Like
+    ``checkpoint()`` it cuts the lineage and survives lost executors, but the
+    planner then knows the size of the files; a checkpoint keeps the size
+    estimated for its plan, which a loop of joins multiplies every round."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``revledger`` importable in Python workers (pandas UDFs and the
     streaming state handler unpickle functions from it). The package is
