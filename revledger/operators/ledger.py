@@ -131,3 +131,24 @@ def replace(current: DataFrame, history: DataFrame, batch: DataFrame, key=KEY, n
     kept = clean(current, batch, key)
     new_current, appended, conflicts = push(kept, history, batch, key, now)
     return new_current, appended, conflicts
+
+
+def replay_steps(current: DataFrame, history: DataFrame, rows: DataFrame, step: str, key=KEY, now=None):
+    """Clean, push, clean, push, ...: many rows of a key, each replacing the
+    one before, as an upgrade pushes its hops (G3, T1, T2).
+
+    One pass over all keys: history ids follow the largest existing one in
+    (key, ``step``) order, and the last step of a key replaces its stored
+    row. A key with two rows of one step has no defined order; all its rows
+    are conflicts, returned and not applied. ``now`` is one stamp for the
+    whole batch. Returns (new_current, appended_history, conflicts)."""
+    key = list(key)
+    if now is not None:
+        rows = rows.withColumn("datetime", F.lit(str(now)).cast(current.schema["datetime"].dataType))
+    tied = rows.groupBy(*key, step).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*key).distinct()
+    conflicts = rows.join(tied, key, "left_semi").select(*rows.columns)
+    accepted = rows.join(tied, key, "left_anti").select(*rows.columns)
+    appended = assign_ids(accepted, [*key, step], ID, _next_id(history))
+    last = latest(appended, key).select(*current.columns)
+    new_current = clean(current, last, key).unionByName(last)
+    return new_current, appended.select(ID, *[c for c in rows.columns if c != step]), conflicts

@@ -346,6 +346,60 @@ join {customer} on c_custkey = o_custkey
 group by o_custkey, o_orderpriority
 """)
 
+# settings clusters: a list for each host type, as an install reads it, ...
+_view("fx_settings", ("nation",), """
+select cast(n_nationkey as string) as settings_type, cast(100 as bigint) as pos, concat('s1-', n_name, '.sql') as script
+from {nation} where n_nationkey % 4 <> 3
+union all
+select cast(n_nationkey as string), cast(200 + n_regionkey as bigint), concat('s2-', n_name, '.sql')
+from {nation} where n_nationkey % 2 = 0
+union all
+select cast(n_nationkey as string), cast(210 as bigint), 's2-last.sql' from {nation} where n_nationkey % 2 = 0
+""")
+
+# ... and for each application the clusters with migrations of their own:
+# some lack the entry of a hop, some have it twice
+_view("fx_settings_list", ("fx_nodes",), """
+select distinct application, 1 as cluster_no from {fx_nodes}
+union all
+select distinct application, 2 from {fx_nodes} where application % 2 = 0
+""")
+
+_view("fx_settings_entries", ("fx_nodes",), """
+select application, 1 as cluster_no, concat('s', cast(rev as string)) as migration_id, rev as to_rev,
+       @ARRAY@(rev - 1, rev - 2) as compatible
+from {fx_nodes} where not (application % 13 = 5 and rev % 3 = 0)
+union all
+select application, 1, concat('t', cast(rev as string)), rev, @ARRAY@(rev - 1)
+from {fx_nodes} where application % 13 = 7 and rev % 4 = 0
+union all
+select application, 2, concat('u', cast(rev as string)), rev, @ARRAY@(rev - 1, rev - 2)
+from {fx_nodes} where application % 2 = 0
+""")
+
+_view("fx_settings_scripts", ("fx_settings_entries",), """
+select application, cluster_no, migration_id, 'main' as upgrade_type, 1 as pos,
+       concat(migration_id, '-settings.sql') as script
+from {fx_settings_entries}
+union all
+select application, cluster_no, migration_id, 'replica', 1, concat(migration_id, '-replica-settings.sql')
+from {fx_settings_entries} where to_rev % 2 = 0
+""")
+
+# what the hosts of the fleet have stored: a var and a func row each, but for
+# hosts that were never installed
+_view("fx_fleet_history", ("fx_fleet",), """
+select cast(application * 20 + cast(right(host_id, 1) as bigint) * 2 as bigint) as revision_history_id,
+       host_id, group_type as schemas_type, 'var' as kind, cast('2024-01-02 00:00:00' as @TS_NTZ@) as datetime,
+       from_rev as revision, 'installed' as comment, @ARRAY@('old_var', 'old') as schemas
+from {fx_fleet} where application % 11 <> 0
+union all
+select cast(application * 20 + cast(right(host_id, 1) as bigint) * 2 + 1 as bigint),
+       host_id, group_type, 'func', cast('2024-01-02 00:00:00' as @TS_NTZ@),
+       from_rev, 'installed', @ARRAY@('old_func')
+from {fx_fleet} where application % 11 <> 0
+""")
+
 
 def _dialect(sql: str, dialect: str) -> str:
     for token, value in DIALECT[dialect].items():
