@@ -15,7 +15,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -23,10 +25,12 @@ from revledger.llm.common import only, prepare
 
 KINDS = ("email", "ip", "card", "phone")
 
-#: fixed by the data contract
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: fixed by the data contract: email local part and domain, the groups of an
+#: address (four in a row are one), card and phone
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+GROUPS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: look-alikes of Latin letters that compatibility folding leaves alone
@@ -50,11 +54,11 @@ _AT = r"[\x20]*[\[({<][\x20]*(?:at|@)[\x20]*[\])}>][\x20]*|[\x20]+at[\x20]+|[\x2
 _DOT = r"[\x20]*[\[({<][\x20]*(?:dot|\.)[\x20]*[\])}>][\x20]*|[\x20]+dot[\x20]+"
 _DISGUISED_EMAIL = re.compile(
     rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:{_DOT}|\.)[A-Za-z0-9_%+-]+){{0,31}}(?P<at>{_AT})"
-    rf"[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+){{0,126}}(?:{_DOT}|\.)[A-Za-z]{{2,10}}(?![A-Za-z0-9])",
+    rf"[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+){{0,126}}(?:{_DOT}|\.)[A-Za-z]{{2,63}}(?![A-Za-z0-9])",
     re.I)
 _DISGUISED_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9.])", re.I)
 _AT_RE, _DOT_RE = re.compile(_AT, re.I), re.compile(_DOT, re.I)
-_HINT = re.compile(r"@|\bat\b|\bdot\b", re.I)
+_HINT = re.compile(r"@|\bat\b|\bdot\b|[\[({<]\x20*\.\x20*[\])}>]", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -67,15 +71,44 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str):
+    """A match begins where the run of local signs before its "@" begins, or
+    where the match before ends: one look back from each "@"."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        begin = done + len(text[done:at].rstrip(LOCAL))
+        m = DOMAIN.match(text, at + 1) if begin < at else None
+        if m:
+            yield begin, m.end()
+        done = m.end() if m else at + 1
+        at = text.find("@", done)
+
+
+def _addresses(text: str):
+    """Groups of digits joined by single dots, four at a time."""
+    if text.count(".") < 3:
+        return
+    for m in GROUPS.finditer(text):
+        groups = m[0].split(".")
+        if len(groups) < 4:
+            continue
+        at = m.start()
+        for i in range(0, len(groups) - 3, 4):
+            four = groups[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(g := p.lstrip("0")) <= 3 and int(g or "0") <= 255 for p in four):
+                yield at, end
+            at = end + 1
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the identifiers written plainly in ``text``:
-    leftmost, not overlapping within a kind, failing matches dropped."""
+    leftmost, not overlapping within a kind, failing matches dropped. Time is
+    linear in the text, whatever runs it has."""
     out = []
     if "@" in text:
-        out += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
-    for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
-            out.append((m.start(), m.end(), "ip"))
+        out += [(s, e, "email") for s, e in _emails(text)]
+    out += [(s, e, "ip") for s, e in _addresses(text)]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -85,35 +118,49 @@ def find(text: str) -> list[tuple[int, int, str]]:
         for m in PHONE.finditer(text):
             if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                 out.append((m.start(), m.end(), "phone"))
-    return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
+    return sorted(out, key=_by_start)
+
+
+def _by_start(span):
+    return span[0], KINDS.index(span[2])
 
 
 class Tape:
-    """A rewritten text with the source span of every character. ``None``
-    spans mean that character i came from source character i."""
+    """A rewritten text with the source span of every character, as two
+    arrays; without them, character i came from source character i."""
 
-    def __init__(self, text: str, spans: list[tuple[int, int]] | None = None):
-        self.text, self.spans = text, spans
+    def __init__(self, text: str, begin: np.ndarray | None = None, end: np.ndarray | None = None):
+        self.text, self.begin, self.end = text, begin, end
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        if self.spans is None:
+        if self.begin is None:
             return start, end
-        return self.spans[start][0], self.spans[end - 1][1]
+        return int(self.begin[start]), int(self.end[end - 1])
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> "Tape":
         """Replace the given (start, end, new) parts, in order."""
         if not edits:
             return self
-        spans = self.spans or [(i, i + 1) for i in range(len(self.text))]
-        text, back, at = [], [], 0
+        n = len(self.text)
+        begin = np.arange(n) if self.begin is None else self.begin
+        end = np.arange(1, n + 1) if self.end is None else self.end
+        text, at = [], 0
         for s, e, new in edits:
             text += [self.text[at:s], new]
-            back += spans[at:s]
-            back += [(spans[s][0], spans[e - 1][1])] * len(new)
             at = e
         text.append(self.text[at:])
-        back += spans[at:]
-        return Tape("".join(text), back)
+        first, last, size = np.array([(s, e, len(new)) for s, e, new in edits]).T
+        gone = np.zeros(n + 1, dtype=np.int64)
+        gone[first] += 1
+        np.subtract.at(gone, last, 1)
+        kept = np.cumsum(gone[:-1]) == 0
+        place = np.repeat(np.cumsum(kept)[first] - kept[first], size)
+        return Tape("".join(text), np.insert(begin[kept], place, np.repeat(begin[first], size)),
+                    np.insert(end[kept], place, np.repeat(end[last - 1], size)))
+
+
+#: beyond ASCII and the Latin letters with marks
+_FOREIGN = re.compile("[^\x00-\x7fÀ-ſ]")
 
 
 def fold_char(c: str) -> str:
@@ -162,8 +209,10 @@ def homoglyphs(t: Tape) -> Tape:
     if t.text.isascii():
         return t
     edits = []
-    for m in re.finditer(r"\S*[^\x00-\x7fÀ-ſ]\S*", t.text):
+    for m in re.finditer(r"\S+", t.text):
         w = m[0]
+        if w.isascii() or not _FOREIGN.search(w):
+            continue
         folded = [fold_char(c) if ord(c) > 127 else c for c in w]
         if folded != list(w):
             edits += [(m.start() + i, m.start() + i + 1, folded[i])
@@ -231,13 +280,29 @@ def all_spans(text: str) -> tuple[list, list]:
         tape = step(tape)
     if tape.text == text:
         return base, base
+    # spans of a kind, plain or added, follow one another, so those that a
+    # new span meets are found by bisection
+    known = {(k, new): ([], []) for k in KINDS for new in (False, True)}
+    for s, e, kind in base:
+        known[kind, False][0].append(s)
+        known[kind, False][1].append(e)
     spans = list(base)
     for s, e, kind in find(tape.text):
         a, b = tape.source(s, e)
-        met = [x for x in spans if a < x[1] and x[0] < b]
-        if all(k == kind and a <= x and y <= b and (x, y) != (a, b) for x, y, k in met):
+        if all(k == kind and a <= x and y <= b and (x, y) != (a, b) for k, x, y in _met(known, a, b)):
             spans.append((a, b, kind))
-    return base, sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
+            known[kind, True][0].append(a)
+            known[kind, True][1].append(b)
+    return base, sorted(spans, key=_by_start)
+
+
+def _met(known: dict, a: int, b: int):
+    """(kind, start, end) of the known spans that overlap [a, b)."""
+    for (kind, _), (starts, ends) in known.items():
+        for i in range(bisect_right(ends, a), len(starts)):
+            if starts[i] >= b:
+                break
+            yield kind, starts[i], ends[i]
 
 
 def join_spans(spans: list) -> str:
