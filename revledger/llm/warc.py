@@ -35,7 +35,8 @@ DATE = "2024-01-01T00:00:00Z"
 #: fixed by the gzip format: magic and deflate method
 MAGIC = b"\x1f\x8b\x08"
 READ = 1 << 20
-SPLIT_BYTES = 4 << 20
+#: bytes of a range at most and at least, and of the ranges of one task
+SPLIT_BYTES, LEAST_SPLIT, TASK_BYTES = 4 << 20, 256 << 10, 128 << 20
 FILE_BYTES = 64 << 20
 
 
@@ -172,23 +173,38 @@ def http_payload(block: bytes) -> tuple[bytes, int | None]:
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id",
-                  url_col: str = "url", payload_col: str = "html") -> DataFrame:
+                  url_col: str = "url", payload_col: str = "html",
+                  broadcast_digests: int = BROADCAST_IDS) -> DataFrame:
     """(page_id, url, payload, payload_bytes, sha1, refers_to) for every row.
 
     Of the rows whose payload has ``min_bytes`` at least, those with equal
     payloads refer to the smallest page_id among them; null means response.
     Only digests that occur more than once join back, and their smallest id
-    is a partial aggregate: one payload may be a third of all rows."""
+    is a partial aggregate: one payload may be a third of all rows. They are
+    broadcast, so that no payload is shuffled; if there are too many of them,
+    the most frequent are, and the rest have few rows each."""
     base = only(pages, page_id=id_col, url=url_col, payload=payload_col)
     p = F.coalesce(F.col("payload"), F.lit(""))
     base = base.select("page_id", "url", F.encode(p, "utf-8").alias("payload")).withColumn(
         "payload_bytes", F.length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
-    repeated = (base.filter(F.col("payload_bytes") >= min_bytes)
-                .groupBy(F.col("sha1").alias("_sha1"), F.col("payload_bytes").alias("_len"))
-                .agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-                .filter((F.col("_n") > 1) & F.col("_first").isNotNull()))
-    joined = base.join(repeated, (base["sha1"] == repeated["_sha1"])
-                       & (base["payload_bytes"] == repeated["_len"]), "left")
+    repeated = saved(base.filter(F.col("payload_bytes") >= min_bytes)
+                     .groupBy(F.col("sha1").alias("_sha1"), F.col("payload_bytes").alias("_len"))
+                     .agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+                     .filter((F.col("_n") > 1) & F.col("_first").isNotNull()), "warc-repeated")
+    n, rows = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+
+    def joined_with(left: DataFrame, digests: DataFrame) -> DataFrame:
+        return left.join(digests.drop("_n"), (left["sha1"] == digests["_sha1"])
+                         & (left["payload_bytes"] == digests["_len"]), "left").drop("_sha1", "_len")
+
+    if n <= broadcast_digests:
+        joined = joined_with(base, F.broadcast(repeated))
+    else:
+        # more than this many rows have at most broadcast_digests digests
+        often = F.col("_n") > rows // broadcast_digests
+        joined = joined_with(base, F.broadcast(repeated.filter(often))).withColumnRenamed("_first", "_first1")
+        joined = joined_with(joined, repeated.filter(~often))
+        joined = joined.withColumn("_first", F.coalesce("_first1", "_first")).drop("_first1")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))
     return joined.select("page_id", "url", "payload", "payload_bytes", "sha1",
                          refers.alias("refers_to"))
@@ -237,7 +253,7 @@ def list_warc(spark: SparkSession, folder: str) -> DataFrame:
             .select("path", F.col("length").alias("bytes")))
 
 
-def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, keep_payload: bool = True) -> DataFrame:
+def read_warc(files: DataFrame, split_bytes: int | None = None, keep_payload: bool = True) -> DataFrame:
     """All records of the archives in ``files`` (path, bytes): path, offset,
     page_id, url, record_type, refers_to, payload (empty for revisits, null
     unless ``keep_payload``), payload_bytes, payload_digest, digest_ok.
@@ -245,11 +261,19 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, keep_payload: bo
     For a response, length and digest are taken from the payload that was
     read, and ``digest_ok`` compares the digest with the header's. For a
     revisit they are its headers'. No files give no records."""
-    prepare(files.sparkSession)
+    spark = files.sparkSession
+    prepare(spark)
+    total = files.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    wave = 3 * spark.sparkContext.defaultParallelism
+    if split_bytes is None:
+        # as Spark sizes the splits of its own readers: every core has some
+        split_bytes = int(min(SPLIT_BYTES, max(LEAST_SPLIT, total // wave)))
     ranges = files.select("path", "bytes", F.explode(F.sequence(
         F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)),
         F.lit(split_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition("path", "start")
+    # a given number of partitions: ranges are tiny rows, which adaptive
+    # execution would otherwise gather in one
+    ranges = ranges.repartition(max(1, int(min(-(-total // split_bytes), max(wave, total // TASK_BYTES)))))
     kinds = [("path", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()),
              ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
              ("payload", pa.binary()), ("payload_bytes", pa.int64()),

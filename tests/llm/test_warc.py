@@ -78,3 +78,22 @@ def test_round_trip(spark, least):
 
 def test_empty_table(spark):
     assert warc.warc_round_trip(pages(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("limit", [0, 1, 3])
+def test_digests_beyond_a_broadcast(spark, limit):
+    """The most frequent digests are broadcast, the rest joined by shuffle."""
+    rows = [(i, f"http://h/{i}", "same" if i % 3 == 0 else f"twice{i // 8}" if i % 2 else f"own{i}")
+            for i in range(100, 200)] + [(7, None, None), (8, None, "")]
+    got = warc.with_revisits(pages(spark, rows), broadcast_digests=limit or 1 << 20).collect()
+    assert sorted(((r["page_id"], r["refers_to"]) for r in got), key=str) == sorted(
+        ((i, to) for i, _, _, _, to in expect(rows, 0)), key=str)
+
+
+def test_ranges_are_read_by_many_tasks(spark):
+    rows = [(i, "http://h/", random.Random(i).randbytes(9000).hex()) for i in range(300)]
+    files = warc.write_warc(warc.with_revisits(pages(spark, rows)), new_folder(spark, "wide"))
+    read = warc.read_warc(files)
+    assert read.rdd.getNumPartitions() > 4
+    assert sorted(r["page_id"] for r in read.collect()) == list(range(300))
+    assert len({(r["path"], r["offset"]) for r in read.collect()}) == 300
