@@ -26,7 +26,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revledger.llm.common import new_folder, only, prepare, saved
+from revledger.llm.common import BROADCAST_IDS, new_folder, only, prepare, saved
 
 #: fixed by the WARC 1.1 format
 VERSION = b"WARC/1.1"
