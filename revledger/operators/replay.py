@@ -25,7 +25,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revledger.operators.sequence import number_rows, split_hot
@@ -236,11 +236,10 @@ def _chunk_starts(placed: DataFrame, seed: DataFrame, key: list[str]) -> DataFra
     jump = written(_joined(maps, pointers, chunk + [_OUT]).select(*entry, _NEXT, _OUT).filter(
         F.col(_NEXT).isNotNull()), "guard")
     while True:
-        obs = Observation()
         further = _joined(reached, jump, entry).select(
             *key, F.col(_NEXT).alias(_CHUNK), F.col(_OUT).alias(_IN))
-        further = written(further.observe(obs, F.count(F.lit(1)).alias("rows")), "guard")
-        if not obs.get["rows"]:
+        further = written(further, "guard")
+        if further.isEmpty():
             break
         reached = written(reached.unionByName(further), "guard")
         onward = jump.select(*key, F.col(_CHUNK).alias(_NEXT), F.col(_IN).alias(_OUT),

@@ -77,7 +77,7 @@ def test_ledger_commit_protocol(spark):
     cur2, app2, _ = ledger.replace(prev, hist, b2, key=["application", "schemas_type", "kind"])
     ledger_io.commit_batch(root, 1, cur2.select(*LEDGER_CURRENT.names), app2)
     # a half-written batch 2 (history only, no commit row) is invisible
-    ledger_io._write(app2, f"{root}/history/batch_id=2", ["application"])
+    ledger_io._write(app2, f"{root}/history/batch_id=2/attempt=x", ["application"])
     assert sorted(r["batch_id"] for r in ledger_io.committed(spark, root).collect()) == [0, 1]
     got = {r["application"]: (r["revision"], r["schemas"])
            for r in ledger_io.read_current(spark, root, LEDGER_CURRENT).collect()}
@@ -139,7 +139,8 @@ def test_empty_batches_and_touched_buckets(spark):
     ledger_io.commit_batch(root, 3, rest.unionByName(cur), hist, buckets=buckets)
     got = {r["application"]: r["revision"] for r in ledger_io.read_current(spark, root, LEDGER_CURRENT).collect()}
     assert got == {f"a{i}": "r2" if i == 7 else "r1" for i in range(40)}
-    assert len(os.listdir(f"{root}/current/batch_id=3")) <= 3  # one bucket folder beside the marks
+    [attempt] = os.listdir(f"{root}/current/batch_id=3")
+    assert len(os.listdir(f"{root}/current/batch_id=3/{attempt}")) <= 3  # one bucket folder beside the marks
     assert ledger_io.history_top(spark, root) == 41 and ledger_io.read_history(spark, root).count() == 41
 
 
@@ -153,10 +154,88 @@ def test_damaged_commit_is_an_error(spark):
 
     root = tempfile.mkdtemp(prefix="revledger-ledger-")
     ledger_io.commit_batch(root, 0, *_ledger_rows(spark, [(1, "a", "r1")]))
-    for f in glob.glob(f"{root}/commits/batch_id=0/*.parquet"):
-        with open(f, "wb") as fh:
-            fh.write(b"not a parquet file")
+    for f in glob.glob(f"{root}/commits/.*.crc"):
+        os.remove(f)
+    with open(f"{root}/commits/0.json", "wb") as fh:
+        fh.write(b"not a commit")
     with pytest.raises(Exception):
         ledger_io.read_current(spark, root, LEDGER_CURRENT).count()
     with pytest.raises(Exception):
         ledger_io.history_top(spark, root)
+
+
+def test_one_of_two_writers_wins(spark):
+    from revledger.schemas import LEDGER_CURRENT
+    from revledger.sources import ledger_io
+
+    root = tempfile.mkdtemp(prefix="revledger-ledger-")
+    first, second = (_ledger_rows(spark, [(1, "a", r)]) for r in ("r1", "r2"))
+    assert ledger_io.commit_batch(root, 0, *first)
+    assert not ledger_io.commit_batch(root, 0, *second)
+    assert [r["revision"] for r in ledger_io.read_current(spark, root, LEDGER_CURRENT).collect()] == ["r1"]
+    assert [r["revision"] for r in ledger_io.read_history(spark, root).collect()] == ["r1"]
+    # the loser's folders go, the winner's stay
+    assert len(os.listdir(f"{root}/history/batch_id=0")) == 2
+    assert ledger_io.vacuum(spark, root) == 2
+    assert len(os.listdir(f"{root}/history/batch_id=0")) == len(os.listdir(f"{root}/current/batch_id=0")) == 1
+
+
+def test_a_commit_is_never_replaced(spark):
+    from revledger.sources import ledger_io
+
+    root = tempfile.mkdtemp(prefix="revledger-ledger-")
+    os.makedirs(f"{root}/commits")
+    won = [ledger_io._put_if_absent(spark, f"{root}/commits/0.json", str(i)) for i in range(4)]
+    assert won == [True, False, False, False]
+    assert open(f"{root}/commits/0.json").read() == "0"
+    assert [f for f in os.listdir(f"{root}/commits") if not f.startswith(".")] == ["0.json"]
+
+
+def test_vacuum_keeps_every_snapshot_that_is_kept(spark):
+    from revledger.schemas import LEDGER_CURRENT
+    from revledger.sources import ledger_io
+
+    root = tempfile.mkdtemp(prefix="revledger-ledger-")
+    cur, hist = _ledger_rows(spark, [(i + 1, f"a{i}", "r0") for i in range(30)])
+    ledger_io.commit_batch(root, 0, cur, hist)
+    for n in range(1, 5):
+        cur, hist = _ledger_rows(spark, [(30 + n, "a7", f"r{n}")])
+        buckets = ledger_io.touched_buckets(cur)
+        rest = ledger_io.read_current(spark, root, LEDGER_CURRENT, n, buckets).filter("application <> 'a7'")
+        assert ledger_io.commit_batch(root, n, rest.unionByName(cur), hist, buckets=buckets)
+    reader = ledger_io.read_current(spark, root, LEDGER_CURRENT, before=4)  # a snapshot that is kept
+    want = {n: sorted((r["application"], r["revision"]) for r in ledger_io.read_current(
+        spark, root, LEDGER_CURRENT, before=n + 1).collect()) for n in (3, 4)}
+    assert ledger_io.vacuum(spark, root, keep=2) == 3  # a7's bucket of batches 0, 1 and 2
+    assert ledger_io.vacuum(spark, root, keep=2) == 0
+    assert sorted((r["application"], r["revision"]) for r in reader.collect()) == want[3]
+    for n in (3, 4):
+        got = ledger_io.read_current(spark, root, LEDGER_CURRENT, before=n + 1).collect()
+        assert sorted((r["application"], r["revision"]) for r in got) == want[n]
+    assert ledger_io.read_history(spark, root).count() == 34
+
+
+def test_few_keys_skip_row_groups(spark, monkeypatch):
+    """Literal keys reach the scan, which reads only row groups that may
+    hold them."""
+    from revledger.schemas import LEDGER_CURRENT
+    from revledger.sources import ledger_io
+
+    monkeypatch.setattr(ledger_io, "LEDGER_BUCKETS", 1)
+    monkeypatch.setattr(ledger_io, "FILE_ROWS", 100)
+    root = tempfile.mkdtemp(prefix="revledger-ledger-")
+    ledger_io.commit_batch(root, 0, *_ledger_rows(spark, [(i + 1, f"a{i:05d}", f"r{i}") for i in range(5000)]))
+    keys = spark.createDataFrame([(f"a{i:05d}", "t", "var") for i in (7, 8, 2501, 77777)],
+                                 "application string, schemas_type string, kind string")
+    found = ledger_io.fetch_stored(spark, root, keys, LEDGER_CURRENT)
+    assert sorted((r["application"], r["revision"]) for r in found.collect()) == [
+        ("a00007", "r7"), ("a00008", "r8"), ("a02501", "r2501"), ("a77777", None)]
+    plan = found._jdf.queryExecution().toString()
+    assert "EqualTo(application,a02501)" in plan
+    asked = ledger_io.read_current(spark, root, LEDGER_CURRENT).filter("application = 'a02501' or application = 'a00007'")
+    asked.collect()
+    scan = asked._jdf.queryExecution().executedPlan()
+    while not scan.children().isEmpty():
+        scan = scan.children().head()
+    rows = scan.metrics().apply("numOutputRows").value()
+    assert 0 < rows <= 200  # two files of 50
