@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revledger.operators.joins import fanout_join
+
 # fixed values: servers whose version text matches this drop 'function',
 # newer ones drop 'routine'
 OLD_SERVER = r"^PostgreSQL (8|9|10)\."
@@ -30,8 +32,12 @@ def cascade_refusals(targets: DataFrame, kind: str = "kind", cascade: str = "cas
 
 def drop_routines(targets: DataFrame, routines: DataFrame, versions: DataFrame, key: list[str],
                   schema: str = "schema_name", version: str = "server_version") -> DataFrame:
-    """Routines to drop per target schema, with 'function' or 'routine' (J8)."""
-    j = targets.join(routines, schema).join(versions, key, "left")
+    """Routines to drop per target schema, with 'function' or 'routine' (J8).
+    A schema name that many applications drop, or with many routines, is
+    split over tasks on the target's key."""
+    j = fanout_join(targets, routines.withColumnRenamed(schema, "_schema"), schema, "_schema",
+                    F.xxhash64(*key)).drop("_schema")
+    j = j.join(versions, key, "left")
     word = F.when(F.col(version).rlike(OLD_SERVER), F.lit("function")).otherwise(F.lit("routine"))
     return j.withColumn("drop_kind", word).drop(version)
 

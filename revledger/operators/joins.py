@@ -1,9 +1,9 @@
 """Join strategies with a checked size bound.
 
 ``broadcast()`` is only used behind a measured size: a side that is proven
-small in rows and bytes is broadcast; otherwise a many-to-many join on a
-low-cardinality key (host type, say) is salted so that one key's rows are
-spread over ``salts`` tasks instead of one.
+small in rows and bytes is broadcast; otherwise the keys of a many-to-many
+join whose pairs are too many for one task (a host type, say) are found by
+counting, and only those are spread over as many tasks as their size needs.
 
 The size is measured while the side is written once to the checkpoint
 folder, each task counting what it writes. No row passes through a single
@@ -20,7 +20,8 @@ from revledger.session import ensure_checkpoint_dir, limit_conf
 # a side with at most this many rows and bytes is broadcast
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
-DEFAULT_SALTS = 32
+# pairs of one key that one task of a join makes
+PAIR_LIMIT = 1_000_000
 
 
 def measured(df: DataFrame) -> tuple[DataFrame, int, int]:
@@ -60,21 +61,41 @@ def maybe_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     return F.broadcast(fixed) if small else fixed
 
 
+def split_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str, salt_of: Column,
+               how: str = "inner") -> DataFrame:
+    """Equi-join ``big[big_key] = small[small_key]`` (inner or left) by
+    shuffle, in which a heavy key is no task of its own.
+
+    Rows are counted for each key on both sides, by a partial aggregate that
+    reads the key alone. A key with more pairs than the limit gets a fan-out
+    of pairs / limit: its ``big`` rows are dealt over so many parts by
+    ``salt_of`` (a hash of a unique column) and its ``small`` rows repeated
+    for each part. There are at most output / limit such keys; their fan-outs
+    are joined to both sides, by broadcast when measured small. All other
+    rows are neither salted nor repeated."""
+    limit = limit_conf(big.sparkSession, "pairLimit", PAIR_LIMIT)
+    left = big.groupBy(F.col(big_key).alias("_key")).agg(F.count(F.lit(1)).alias("_nb"))
+    right = small.groupBy(F.col(small_key).alias("_key")).agg(F.count(F.lit(1)).alias("_ns"))
+    pairs = F.col("_nb").cast("double") * F.col("_ns")
+    heavy = maybe_broadcast(left.join(right, "_key").filter(pairs > limit).select(
+        "_key", F.least(F.ceil(pairs / limit), F.col("_nb")).alias("_parts")))
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    b = big.join(heavy, big[big_key] == heavy["_key"], "left").withColumn(
+        "_salt", F.pmod(salt_of, parts)).drop("_key", "_parts")
+    s = small.join(heavy, small[small_key] == heavy["_key"], "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_key", "_parts")
+    joined = b.join(s, (b[big_key] == s[small_key]) & (b["_salt"] == s["_salt"]), how)
+    return joined.drop(b["_salt"]).drop(s["_salt"])
+
+
 def fanout_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
                 salt_of: Column, how: str = "inner", max_rows: int | None = None,
-                salts: int = DEFAULT_SALTS, force_salt: bool = False) -> DataFrame:
+                force_salt: bool = False) -> DataFrame:
     """Equi-join ``big[big_key] = small[small_key]`` where both sides may hold
-    many rows per key.
-
-    ``small`` is broadcast when its row count is under ``max_rows``.
-    Otherwise ``big`` rows get a salt in [0, salts) from ``salt_of`` (a
-    hash of a unique column) and every ``small`` row is repeated once per
-    salt, so each (key, salt) pair is its own task."""
-    small, fits = (small, False) if force_salt else sized(small, max_rows)
-    if fits:
-        fixed = small
-        return big.join(F.broadcast(fixed), big[big_key] == fixed[small_key], how)
-    b = big.withColumn("_salt", F.pmod(salt_of, F.lit(salts)).cast("int"))
-    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = b.join(s, (b[big_key] == s[small_key]) & (b["_salt"] == s["_salt"]), how)
-    return joined.drop(b["_salt"]).drop(s["_salt"])
+    many rows per key: ``small`` is broadcast when it is under the limits,
+    otherwise the heavy keys are split (:func:`split_join`)."""
+    if not force_salt:
+        small, fits_in = sized(small, max_rows)
+        if fits_in:
+            return big.join(F.broadcast(small), big[big_key] == small[small_key], how)
+    return split_join(big, small, big_key, small_key, salt_of, how)

@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revledger.functions.refs import ref_name, ref_rest
-from revledger.operators.joins import maybe_broadcast
+from revledger.operators.joins import fits, maybe_broadcast
 from revledger.operators.sequence import number_rows
+from revledger.session import written
 
 # fixed values: position of each file kind in a group's sequence
 BUCKET = {"first": 0, "regular": 1, "inline": 2, "last": 3}
@@ -82,23 +83,25 @@ def resolve_refs(includes: DataFrame, refs: DataFrame, col: str = "include") ->
     return j.withColumn("resolved", resolved).withColumn("status", status).drop("_rn", "_rv", "_rest")
 
 
-def ancestors(path_col: str = "path"):
-    """Every leading run of path components: 'a/b/c' -> a, a/b, a/b/c."""
-    parts = F.split(F.col(path_col), "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)),
-                       lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-
-
 def outside_roots(files: DataFrame, roots: DataFrame, path: str = "path",
                   root: str = "root") -> DataFrame:
     """Files under none of the allowed roots, by path component (P5): a root
-    'a/b' allows 'a/b' and 'a/b/…' but not 'a/bc'. Each file is exploded
-    to its ancestor paths and equi-joined with the roots, so no file is
-    paired with every root."""
-    r = maybe_broadcast(roots.select(F.regexp_replace(F.col(root), "/+$", "").alias("_anc")).distinct())
-    a = files.select(F.col(path).alias("_p"), F.explode(ancestors(path)).alias("_anc"))
-    allowed = a.join(r, "_anc", "left_semi").select("_p").distinct()
-    return files.join(allowed, files[path] == allowed["_p"], "left_anti")
+    'a/b' allows 'a/b' and 'a/b/…' but not 'a/bc'.
+
+    The roots are a trie taken level by level: those of d components can only
+    allow a file by its own first d, so the files are anti-joined with them on
+    that prefix, once for each depth that roots have (a handful). Files that
+    pass one level go on to the next in the same stage while the roots are
+    small enough to be broadcast; they are read once and never joined back."""
+    r = written(roots.select(F.regexp_replace(F.col(root), "/+$", "").alias("_root")).dropna().distinct().select(
+        "_root", F.size(F.split("_root", "/")).alias("_depth")), "roots")
+    sizes = r.groupBy("_depth").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("_root") + 8).alias("bytes"))
+    for row in sizes.orderBy("_depth").collect():
+        level = r.filter(F.col("_depth") == row["_depth"]).select("_root")
+        level = F.broadcast(level) if fits(files.sparkSession, row["n"], row["bytes"]) else level
+        prefix = F.array_join(F.slice(F.split(files[path], "/"), 1, row["_depth"]), "/")
+        files = files.join(level, prefix == level["_root"], "left_anti")
+    return files
 
 
 def marker_flags(files: DataFrame, dir_col: str = "dir", name_col: str = "name") -> DataFrame:

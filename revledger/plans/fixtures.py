@@ -324,6 +324,18 @@ _view("fx_legacy_history", ("fx_history",), """
 select revision_history_id as id, application, datetime, revision, comment from {fx_history}
 """)
 
+# the same as separate var and func tables: even ids were var pushes
+_view("fx_legacy_history_kinds", ("fx_legacy_history",), """
+select *, case when id % 2 = 0 then 'var' else 'func' end as kind from {fx_legacy_history}
+""")
+
+_view("fx_legacy_current_kinds", ("fx_legacy_history_kinds",), """
+select application, datetime, revision, comment, kind
+from (select *, row_number() over (partition by application, kind order by id desc) as k
+      from {fx_legacy_history_kinds}) x
+where k = 1
+""")
+
 _view("fx_legacy_current", ("fx_legacy_history",), """
 select application, datetime, revision, comment
 from (select *, row_number() over (partition by application order by id desc) as k

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from revledger.operators.layout import migrate_layout
+from revledger.operators.layout import migrate_layout, migrate_tables
 from revledger.plans.registry import query
+from revledger.streaming.ledger_stream import scratch
 
 MOVED_APPLICATION = "view"
 NEW_SCHEMAS_TYPE = "main"
@@ -25,3 +26,33 @@ def layout_migrate(fx):
                                    fx["fx_history_before"], MOVED_APPLICATION, NEW_SCHEMAS_TYPE)
     return rows.select("revision_history_id", "application", "schemas_type", "datetime",
                        "revision", "comment", "source")
+
+
+@query("layout_migrate_tables", ("fx_legacy_history_kinds", "fx_legacy_current_kinds", "fx_history_kinds"), f"""
+with moving as (select kind, 0 as rnk, id, datetime, revision, comment
+                from {{fx_legacy_history_kinds}} where application = '{MOVED_APPLICATION}'
+                union all
+                select kind, 1, null, datetime, revision, comment
+                from {{fx_legacy_current_kinds}} where application = '{MOVED_APPLICATION}'),
+tops as (select kind, max(revision_history_id) as top from {{fx_history_kinds}} group by kind)
+select 'history' as "table", m.kind, cast(t.top + row_number() over (partition by m.kind order by rnk, id) as bigint)
+         as revision_history_id, cast(null as bigint) as id,
+       '{MOVED_APPLICATION}' as application, '{NEW_SCHEMAS_TYPE}' as schemas_type, datetime, revision, comment
+from moving m join tops t on t.kind = m.kind
+union all
+select 'current', kind, null, null, '{MOVED_APPLICATION}', '{NEW_SCHEMAS_TYPE}', datetime, revision, comment
+from moving where rnk = 1
+union all
+select 'rest_history', kind, null, id, application, null, datetime, revision, comment
+from {{fx_legacy_history_kinds}} where application <> '{MOVED_APPLICATION}'
+union all
+select 'rest_current', kind, null, null, application, null, datetime, revision, comment
+from {{fx_legacy_current_kinds}} where application <> '{MOVED_APPLICATION}'
+""")
+def layout_migrate_tables(fx):
+    """Var and func tables moved into the keyed layout by one scan: the new
+    history and current rows and what stays, by kind (T3, O2)."""
+    out = migrate_tables(fx["fx_legacy_current_kinds"], fx["fx_legacy_history_kinds"], fx["fx_history_kinds"],
+                         scratch(fx.spark, "layout"), MOVED_APPLICATION, NEW_SCHEMAS_TYPE)
+    return out.select("table", "kind", "revision_history_id", "id", "application", "schemas_type", "datetime",
+                      "revision", "comment")

@@ -80,7 +80,7 @@ def _drop(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def _put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
     """Whether ``text`` became the file at ``path``, which did not exist."""
     p, fs = _path(spark, path)
     if fs.exists(p):
@@ -231,7 +231,7 @@ def commit_batch(root: str, batch_id: int, current: DataFrame, appended: DataFra
     _write(current, _folder(root, "current", batch_id, attempt), key)
     written = spark.read.schema(appended.schema).parquet(history)
     top = written.agg(F.max(F.col("revision_history_id").cast("long"))).first()[0]
-    return _put_if_absent(spark, f"{root}/commits/{batch_id}.json", json.dumps(
+    return put_if_absent(spark, f"{root}/commits/{batch_id}.json", json.dumps(
         {"batch_id": batch_id, "attempt": attempt, "top_id": top, "buckets": buckets}))
 
 

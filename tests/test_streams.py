@@ -185,7 +185,7 @@ def test_a_commit_is_never_replaced(spark):
 
     root = tempfile.mkdtemp(prefix="revledger-ledger-")
     os.makedirs(f"{root}/commits")
-    won = [ledger_io._put_if_absent(spark, f"{root}/commits/0.json", str(i)) for i in range(4)]
+    won = [ledger_io.put_if_absent(spark, f"{root}/commits/0.json", str(i)) for i in range(4)]
     assert won == [True, False, False, False]
     assert open(f"{root}/commits/0.json").read() == "0"
     assert [f for f in os.listdir(f"{root}/commits") if not f.startswith(".")] == ["0.json"]

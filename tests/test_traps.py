@@ -388,8 +388,10 @@ def test_limits_from_session_conf(spark):
     assert bounded(spark.range(10)) is not None
 
 
-def test_salted_left_join_keeps_unmatched_once(spark):
+def test_salted_left_join_keeps_unmatched_once(spark, monkeypatch):
+    from revledger.operators import joins
     from revledger.operators.joins import fanout_join
+    monkeypatch.setattr(joins, "PAIR_LIMIT", 4)
     big = spark.range(50).select(F.col("id").alias("h"), (F.col("id") % 4).cast("string").alias("t"))
     small = spark.createDataFrame([("0", 1), ("0", 2), ("1", 3)], "k string, v int")
     a = fanout_join(big, small, "t", "k", F.xxhash64("h"), how="left").select("h", "v")
@@ -552,3 +554,36 @@ def test_scan_paths_are_relative_and_decoded(spark):  # S3
     for r in (root, "file://" + root + "/", "file:" + root):
         got = {x["path"]: x["text"] for x in scan_scripts(spark, [r]).collect()}
         assert got == {n: f"select '{n}';" for n in names}
+
+
+def test_only_heavy_keys_are_split(spark, monkeypatch):  # J1, J8
+    """One key in a fifth of all rows is dealt over many tasks, by its size;
+    rows of other keys are not repeated."""
+    from revledger.operators import joins
+
+    monkeypatch.setattr(joins, "PAIR_LIMIT", 1000)
+    big = spark.range(10_000).select(F.col("id").alias("h"), F.when(F.col("id") % 5 == 0, F.lit(-1)).otherwise(
+        F.col("id")).alias("t"))
+    small = spark.range(-1, 6000).select(F.col("id").alias("k"), F.explode(F.array(F.lit(1), F.lit(2))).alias("v"))
+    out = joins.split_join(big, small, "t", "k", F.xxhash64("h")).select("h", "v", F.spark_partition_id().alias("p"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = joins.split_join(big, small, "t", "k", F.xxhash64("h")).select(
+            "h", "v", "t", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    hot = [r for r in rows if r["t"] == -1]
+    assert len(hot) == 4000 and len({r["p"] for r in hot}) > 1
+    assert sorted((r["h"], r["v"]) for r in rows) == sorted(
+        (h, v) for h in range(10_000) if h % 5 == 0 or h < 6000 for v in (1, 2))
+    assert out.count() == len(rows)
+
+
+def test_files_are_read_once_for_roots(spark):  # P5
+    files = spark.createDataFrame([("a/b/x",), ("a/b",), ("a/bc/x",), ("/r/s",), ("c",), (None,), ("",), ("d/e/f/g",)],
+                                  "path string")
+    roots = spark.createDataFrame([("a/b/",), ("/r",), ("d/e/f",), ("c//",), (None,)], "root string")
+    out = scripts.outside_roots(files, roots)
+    assert sorted(map(str, (r["path"] for r in out.collect()))) == ["", "None", "a/bc/x"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LocalRelation") + plan.count("LogicalRDD") <= 1 + 3 and "Aggregate" not in plan
