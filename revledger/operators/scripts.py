@@ -55,6 +55,15 @@ def pinned_order(files: DataFrame, pins: DataFrame, inline: DataFrame | None = N
     return number_rows(f, [grp], ["bucket", "pin_key", "dir_pos", "name"], out)
 
 
+def duplicate_paths(files: DataFrame, grp: str = "grp", path: str = "path", pos: str = "dir_pos") -> DataFrame:
+    """Files that the include directories of a group list more than once, by
+    real path (O1): how often, and the first and the second directory that
+    does. Counted in parts, so one file listed everywhere is no hot row."""
+    twice = files.groupBy(grp, path).agg(
+        F.count(F.lit(1)).alias("n"), F.min(pos).alias("first_dir"), F.max(pos).alias("last_dir"))
+    return twice.filter("n > 1")
+
+
 def unused_pins(files: DataFrame, pins: DataFrame, grp: str = "grp") -> DataFrame:
     """Pins that take no file: ``not_found`` when no include dir of the
     group has the name, ``shadowed`` when an earlier pin took it."""

@@ -294,6 +294,22 @@ select lang as grp, source as dir, cast(substr(source, 4) as int) as dir_pos,
 from {documents}
 """)
 
+# inline scripts of a group: one behind its regular files, every language but one
+_view("fx_inline", ("documents",), """
+select distinct lang as grp, 'inline' as dir, 0 as dir_pos, concat('inline-', lang) as name
+from {documents} where lang <> 'en'
+""")
+
+# files as the include directories of a group list them, by real path: some
+# are reached through two directories, a few through three
+_view("fx_listed_files", ("fx_files",), """
+select grp, concat(dir, '/', name) as path, dir_pos from {fx_files}
+union all
+select grp, concat(dir, '/', name), dir_pos + 100 from {fx_files} where file_id % 40 = 0
+union all
+select grp, concat(dir, '/', name), dir_pos + 200 from {fx_files} where file_id % 120 = 0
+""")
+
 # pins of labelled documents in their group: toxic ones last, the others first;
 # every tenth pin names a group without such a file
 _view("fx_pins", ("labels", "documents"), """

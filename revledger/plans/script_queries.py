@@ -8,6 +8,7 @@ from revledger.functions.lists import as_list
 from revledger.operators import scripts
 from revledger.operators.sequence import number_rows
 from revledger.plans.registry import query
+from revledger.session import written
 from revledger.sources.scripts import (bundle_keys, keep_suffix, scan_scripts, write_bundles,
                                        write_scripts)
 from revledger.streaming.ledger_stream import scratch
@@ -39,27 +40,31 @@ select replace(replace(split_part(path, '/', 1), '/', '-'), '.', '-') as host_ke
        replace(replace(split_part(path, '/', 2), '/', '-'), '.', '-') as type_key,
        cast(row_number() over (partition by split_part(path, '/', 1), split_part(path, '/', 2)
                                order by path) as bigint) as seq,
-       cast(length(text) as varchar) || ' ' || md5(text) as line
+       path, cast(length(text) as bigint) as n_chars, md5(text) as digest
 from {fx_script_files} where path like '%.sql'
 """)
 def script_bundle(fx):
-    """Scanned scripts written as bundles per (host, type) in path order; the
-    lines of the bundles read back in the order of the files (S4, F2). A line
-    stands for one script: its length and digest."""
-    s = _scanned(fx).withColumn("host", F.split_part("path", F.lit("/"), F.lit(1))).withColumn(
+    """Scanned scripts written as bundles per (host, type) in path order and
+    read back in the order of the files (S4, F2). A line of a bundle is a whole
+    script with its path, as JSON; digests are of the texts that were read."""
+    # the range partitioning reads its input twice: once from here
+    s = written(_scanned(fx), "scripts").withColumn("host", F.split_part("path", F.lit("/"), F.lit(1))).withColumn(
         "type", F.split_part("path", F.lit("/"), F.lit(2)))
     s = bundle_keys(s, "host", "type")
-    line = F.concat_ws(" ", F.length("text"), F.md5("text"))
     out = scratch(fx.spark, "bundles")
-    write_bundles(s.select("host_key", "type_key", F.col("path").alias("seq"), line.alias("text")), out)
+    write_bundles(s.select("host_key", "type_key", F.col("path").alias("seq"),
+                           F.to_json(F.struct("path", "text")).alias("text")), out)
     back = fx.spark.read.schema("value string, host_key string, type_key string").text(out)
-    back = back.select("host_key", "type_key", F.col("value").alias("line"),
+    script = F.from_json("value", "path string, text string")
+    back = back.select("host_key", "type_key", script.alias("_s"),
                        F.col("_metadata.file_name").alias("_name"),
                        F.col("_metadata.file_block_start").alias("_at"),
                        F.monotonically_increasing_id().alias("_line"))
-    back = back.checkpoint(eager=True)  # line numbers are fixed before they are sorted by
+    # line numbers are fixed before they are sorted by
+    back = written(back.select("host_key", "type_key", "_s.path", F.length("_s.text").cast("bigint").alias("n_chars"),
+                               F.md5("_s.text").alias("digest"), "_name", "_at", "_line"), "bundles")
     out = number_rows(back, ["host_key", "type_key"], ["_name", "_at", "_line"], "seq")
-    return out.select("host_key", "type_key", "seq", "line")
+    return out.select("host_key", "type_key", "seq", "path", "n_chars", "digest")
 
 
 _PINS = """
@@ -69,20 +74,31 @@ with pa as (select grp, name, min(case when which = 'first' then pin_pos end) as
 """
 
 
-@query("pinned_order", ("fx_files", "fx_pins"), _PINS + """
+@query("pinned_order", ("fx_files", "fx_pins", "fx_inline"), _PINS + """
 select grp, dir, name, bucket,
        cast(row_number() over (partition by grp order by bucket, pin_key, dir_pos, name) as bigint) as seq
 from (select f.grp, f.dir, f.dir_pos, f.name,
              case when pa.fp is not null then 0 when pa.lp is not null then 3 else 1 end as bucket,
              coalesce(pa.fp, pa.lp, 0) as pin_key
-      from {fx_files} f left join pa on pa.grp = f.grp and pa.name = f.name) o
+      from {fx_files} f left join pa on pa.grp = f.grp and pa.name = f.name
+      union all
+      select grp, dir, dir_pos, name, 2, 0 from {fx_inline}) o
 """)
 def pinned_order(fx):
-    """Install order of every file of every include group (O1)."""
-    o = scripts.pinned_order(fx["fx_files"], fx["fx_pins"])
+    """Install order of every file and inline script of every include group (O1)."""
+    o = scripts.pinned_order(fx["fx_files"], fx["fx_pins"], fx["fx_inline"])
     return o.select("grp", "dir", "name", "bucket", "seq")
 
 
+@query("path_duplicates", ("fx_listed_files",), """
+select grp, path, count(*) as n, min(dir_pos) as first_dir, max(dir_pos) as last_dir
+from {fx_listed_files} group by grp, path having count(*) > 1
+""")
+def path_duplicates(fx):
+    """Files that a group's include directories list more than once (O1 error case)."""
+    return scripts.duplicate_paths(fx["fx_listed_files"])
+
+
 @query("pin_unmatched", ("fx_files", "fx_pins"), """
 select p.grp, p.name, p.which, p.pin_pos, 'not_found' as reason from {fx_pins} p
 where not exists (select 1 from {fx_files} f where f.grp = p.grp and f.name = p.name)
