@@ -74,24 +74,34 @@ def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
 # ---------------------------------------------------------------------------
 # word hashes, computed for many texts at once on their UTF-8 bytes
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: a word is a polynomial in its bytes modulo two primes of 31 bits: unlike
+#: modulo a power of two, different words of any make seldom meet
+_PRIMES = (2_147_483_647, 2_147_483_629)
+_BASES = (1_103_515_253, 1_812_433_261)
+#: bytes whose products of 40 bits are added up before the sum is reduced
+_SUM_BYTES = 1 << 23
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[list(SEPARATORS)] = False
 _PLAIN = np.arange(1, 257, dtype=np.uint64)
 _LOWER = _PLAIN.copy()
 _LOWER[65:91] = _PLAIN[97:123]
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
+def _power(base: int, p: int, n: int) -> np.ndarray:
+    """base^0 ... base^(n-1) modulo p, by doubling."""
+    out = np.ones(1, dtype=np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), p)) % np.uint64(p)])
+    return out[:n].astype(np.uint32)
+
+
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each prime, the powers of its base and of the base's inverse."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
         size = max(n, 1 << 20)
-        for key, base in (("up", _BASE), ("down", _BASE_INV)):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            _POWERS[key] = np.multiply.accumulate(p)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+        _POWERS[:] = [(_power(b, p, size), _power(pow(b, -1, p), p, size)) for b, p in zip(_BASES, _PRIMES)]
+    return [(up[:n], down[:n]) for up, down in _POWERS]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -121,10 +131,19 @@ def word_spans(texts: list[bytes], lower: bool = False):
     start[inner] = word[inner]
     stop[inner - 1] = word[inner - 1]
     s, e = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    up, down = _powers(len(data) + 1)
+    values = (_LOWER if lower else _PLAIN)[data]
+    h = (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((_LOWER if lower else _PLAIN)[data] * up[: len(data)], out=total[1:])
-    h = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for k, (up, down) in enumerate(_powers(len(data) + 1)):
+        p = np.uint64(_PRIMES[k])
+        np.multiply(values, up[:-1], out=total[1:])
+        for at in range(0, len(data), _SUM_BYTES):
+            part = total[at : at + _SUM_BYTES + 1]
+            np.cumsum(part, out=part)
+            if at + _SUM_BYTES < len(data):
+                part %= p
+        word_sum = (total[e] + p - total[s] % p) % p
+        h ^= (word_sum * down[s] % p) << np.uint64(32 * k)
     first[1:] = np.searchsorted(s, ends, side="left")
     return mix(h), s, e, first
 

@@ -351,15 +351,28 @@ def cluster_links(clusters: DataFrame, docs: DataFrame, reps: DataFrame, scheme:
     return rows.groupBy("cluster", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
-def link_classes(docs: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
-    """(id, comp) of the classes that are linked with another."""
+def id_links(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): the classes of rows that share a doc_id, linked with the
+    first of them. Ids of one class, nearly all, are left out before any join."""
+    several = signed.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.min("set_hash").alias("low"), F.max("set_hash").alias("high"), F.collect_set("set_hash").alias("sets"))
+    several = several.filter(F.col("low") != F.col("high")).select("doc_id", F.explode("sets").alias("set_hash"))
+    reps = several.join(classes.select("set_hash", "rep"), "set_hash")
+    first = reps.groupBy(F.col("doc_id").alias("_id")).agg(F.min("rep").alias("a"))
+    return reps.join(first, F.col("doc_id") == F.col("_id")).select("a", F.col("rep").alias("b")).filter(
+        "a <> b").distinct()
+
+
+def link_classes(docs: DataFrame, reps: DataFrame, scheme: Scheme, known: DataFrame) -> DataFrame:
+    """(id, comp) of the classes that are linked with another; ``known``
+    links (a, b) are taken as given."""
     keys = index_keys(reps, scheme)
     shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top"))
     shared = shared.filter(F.col("pivot") != F.col("top")).select("key", "pivot")
     members = saved(keys.join(shared, "key").filter("rep <> pivot"), "members")
     pairs = members.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     cands = saved(candidates(pairs, reps, scheme), "candidates")
-    links = saved(confirmed(cands, docs, reps, scheme), "links")
+    links = saved(confirmed(cands, docs, reps, scheme).unionByName(known), "links")
     comps = components(links)
     clusters = saved(unsettled(members.select("key", "rep"), comps), "clusters")
     if clusters.isEmpty():
@@ -373,8 +386,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id and kept for every row.
 
     Rows without words (null and empty texts too) have no shingles, are
-    linked with nothing and kept. Rows that share a doc_id are one document:
-    they share its component. A row without doc_id is its own and kept.
+    linked with nothing and kept. Rows that share a doc_id are one document,
+    linked with whatever one of its texts is linked with: they share its
+    component (a row's n_shingles is its own). A row without doc_id is its
+    own and kept.
     Ties need no rule: a component is named by its smallest doc_id. An empty
     table gives an empty result; extra columns are ignored."""
     prepare(docs.sparkSession)
@@ -384,7 +399,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = saved(classes.groupBy("set_hash").agg(
         F.min("doc_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("rows"),
         F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
-    comps = link_classes(docs, classes.select("rep", "set_hash", "n_shingles", "signature"), scheme)
+    comps = link_classes(docs, classes.select("rep", "set_hash", "n_shingles", "signature"), scheme,
+                         id_links(signed, classes))
     named = classes.join(comps, F.col("rep") == F.col("id"), "left").select(
         F.col("set_hash").alias("_set"), F.coalesce("comp", "rep").alias("_comp"), "rows", "rep")
     named = saved(named.filter((F.col("rows") > 1) | (F.col("_comp") != F.col("rep")))

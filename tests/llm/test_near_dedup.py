@@ -114,3 +114,26 @@ def test_components_of_long_paths(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
     got = {r["id"]: r["comp"] for r in nd.components(links).collect()}
     assert got == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000}
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    a, b, c = prose(41, 60), prose(42, 60), prose(43, 60)
+    rows = [(3, a, "s"), (7, a, "s"), (7, b, "s"), (9, edited(b, 1, 1), "s"), (11, c, "s"), (12, c, "s"), (12, None, "s"),
+            (20, prose(44, 60), "s"), (20, prose(45, 60), "s")]
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in nd.near_duplicates(documents(spark, rows)).collect()]
+    assert sorted(x for x in got if x[0] not in (12, 20)) == [
+        (3, 3, True), (7, 3, False), (7, 3, False), (9, 3, False), (11, 11, True)]
+    assert sorted(x for x in got if x[0] == 20) == [(20, 20, True)] * 2
+    # a row without words is linked with nothing, whatever shares its id
+    assert sorted(x for x in got if x[0] == 12) == [(12, 11, False), (12, 12, True)]
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n)), "".join("ba"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_meet_modulo_a_power_of_two(spark):
+    x, y = thue_morse(1024)
+    rest = " ".join(f"w{i}" for i in range(2))
+    got = nd.near_duplicates(documents(spark, [(1, f"{x} {rest}", "s"), (2, f"{y} {rest}", "s")])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 2)]

@@ -90,3 +90,14 @@ def test_stream_reports_each_window(symbols, streamed, depth):
     want = [streamed[i:i + depth] for a, b in ((0, cut), (cut, len(streamed))) for i in range(a, b - depth + 1)]
     inside = {tuple(symbols[i:i + depth]) for i in range(len(symbols) - depth + 1)}
     assert found == [tuple(w) in inside for w in want]
+
+
+def test_words_that_meet_modulo_a_power_of_two(spark):
+    """Different words of 1024 letters that a polynomial hash modulo 2^64
+    cannot tell apart: no window repeats."""
+    x = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    y = x.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{x} {rest}", "s"), (2, f"{y} {rest}", "s"), (3, f"{x} {rest} end", "s")]
+    got = {r["doc_id"]: r["n_removed"] for r in substring.dedup_substrings(documents(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
