@@ -135,36 +135,60 @@ def _templates(table: str, key: str) -> str:
 
 
 _HOLDERS = f"('{_D.NUMBER}', '{_D.NAME}', '{_D.UNIT}')"
+
+
+def _window_keys(source: str, columns: str) -> str:
+    """Windows of ``source`` (words, canon, size, i from 1): the template, or
+    the words themselves when few of them are literal."""
+    return f"""select {columns}, size, i - 1 as pos,
+    case when len(list_filter(c, lambda x: x in {_HOLDERS})) <= size - least({_D.LEAST_LITERAL}, size)
+      then list_prepend('t', c) else list_prepend('w', w) end as k,
+    list_filter(list_transform(w, lambda x, j: case when c[j] in {_HOLDERS} then x end), lambda x: x is not null) as slots
+  from (select *, words[i:i + size - 1] as w, canon[i:i + size - 1] as c from {source})"""
+
+
 OP10 = f"""
 with d as ({_templates('documents', 'doc_id')}), b as ({_templates('benchmark', 'item_id')}),
 bw as (
   select item_id, len(words) as item_words, least(len(words), {_D.WINDOW}) as size, words, canon,
     unnest(range(1, len(words) - least(len(words), {_D.WINDOW}) + 2)) as i from b where len(words) >= 2
-), bk as (
-  select item_id, item_words, size, i, canon[i:i + size - 1] as k, words[i:i + size - 1] as raw from bw
-  where len(list_filter(canon[i:i + size - 1], lambda x: x not in {_HOLDERS})) >= least({_D.LEAST_LITERAL}, size)
-), sizes as (select distinct size from bk),
+), bk as ({_window_keys('bw', 'item_id, item_words')}), sizes as (select distinct size from bk),
 dw as (select doc_id, words, canon, size, unnest(range(1, len(words) - size + 2)) as i from d, sizes),
-dk as (select distinct doc_id, size, canon[i:i + size - 1] as k, words[i:i + size - 1] as raw from dw),
-pairs as (select doc_id, item_id, item_words, size, i, k, bk.raw as braw, dk.raw as draw from dk join bk using (size, k)),
-cover as (
-  select doc_id, item_id, any_value(item_words) as item_words, count(distinct p) as n_covered from (
-    select doc_id, item_id, item_words, unnest(range(i, i + size)) as p from pairs) group by all
+dk as ({_window_keys('dw', 'doc_id')}),
+pairs as (
+  select distinct doc_id, item_id, item_words, size, bk.pos as ipos, dk.pos as dpos, bk.slots as islots, dk.slots as dslots
+  from dk join bk using (size, k)
+), parted as (
+  select *, dpos - ipos as diagonal, unnest([
+    {{'kind': 0, 'number': dpos - ipos}},
+    {{'kind': 1, 'number': dpos // (item_words * {_D.REGION})}},
+    {{'kind': 2, 'number': (dpos + item_words * {_D.REGION} // 2) // (item_words * {_D.REGION})}}]) as part from pairs
+), supported as (
+  select *, count(*) over (partition by doc_id, item_id, part, diagonal) as support from parted
+), chosen as (
+  select * from supported
+  qualify row_number() over (partition by doc_id, item_id, part, ipos order by support desc, dpos) = 1
+), cover as (
+  select doc_id, item_id, part, any_value(item_words) as item_words, count(distinct p) as n_covered from (
+    select doc_id, item_id, part, item_words, unnest(range(ipos, ipos + size)) as p from chosen) group by all
 ), slots as (
-  select distinct doc_id, item_id, s, t from (
-    select doc_id, item_id, unnest(k) as c, unnest(braw) as s, unnest(draw) as t from pairs) where c in {_HOLDERS}
+  select distinct doc_id, item_id, part, z[1] as s, z[2] as t from (
+    select doc_id, item_id, part, unnest(list_zip(islots, dslots)) as z from chosen)
 ), counted as (
-  select doc_id, item_id, count(*) as n, count(*) filter (s <> t) as changed, count(distinct s) as ns,
+  select doc_id, item_id, part, count(*) as n, count(*) filter (s <> t) as changed, count(distinct s) as ns,
     count(distinct t) as nt from slots group by all
 ), o as (
   select c.*, coalesce(n, 0)::bigint as n_slots, coalesce(changed, 0)::bigint as n_changed,
     coalesce(n, 0) = coalesce(ns, 0) and coalesce(n, 0) = coalesce(nt, 0) as consistent
-  from cover c left join counted using (doc_id, item_id)
+  from cover c left join counted using (doc_id, item_id, part)
+), judged as (
+  select *, consistent and n_covered >= {_D.LEAK_SHARE} * item_words as leak from o
+), best as (
+  select * from judged qualify row_number() over (partition by doc_id, item_id order by leak desc,
+    (leak and n_changed = 0) desc, n_covered desc, consistent desc, n_changed, n_slots) = 1
 )
 select doc_id, item_id, item_words::bigint as item_words, n_covered::bigint as n_covered, n_slots, n_changed, consistent,
-  consistent and n_covered >= {_D.LEAK_SHARE} * item_words as leak,
-  consistent and n_covered >= {_D.LEAK_SHARE} * item_words and n_changed > 0 as reparameterised from o
-where consistent and n_covered >= {_D.LEAK_SHARE} * item_words
+  leak, leak and n_changed > 0 as reparameterised from best where leak
 """
 
 _L = licenses
