@@ -55,6 +55,63 @@ def test_alignment_is_longest():
         assert [a[i] for i in sorted(x)] == [b[j] for j in sorted(y)]
 
 
+@pytest.mark.parametrize("bits", [1 << 29, 40])
+def test_alignment_of_halves_is_longest(bits, monkeypatch):
+    monkeypatch.setattr(hx, "_ROW_BITS", bits)
+    r = random.Random(4)
+    for _ in range(300):
+        a, b = ([r.randrange(r.choice([2, 9])) for _ in range(r.randrange(30))] for _ in range(2))
+        x, y = hx.common_lines(a, b)
+        assert len(x) == len(y) == lcs(a, b)
+        assert [a[i] for i in sorted(x)] == [b[j] for j in sorted(y)]
+
+
+def test_many_equal_lines_are_quick():
+    import time
+
+    start = time.time()
+    x, y = hx.common_lines([1] + [7] * 50_000 + [2], [3] + [7] * 40_000 + [4])
+    assert len(x) == len(y) == 40_000
+    x, _ = hx.common_lines([5] + [7, 8] * 10_000, [6] + [8, 7] * 10_000)
+    assert len(x) == 19_999
+    assert time.time() - start < 20
+
+
+@pytest.mark.parametrize("html,want", [
+    ("<article><section id='related-work'><p>a</p></section><section id='search-algorithms'>b</section>"
+     "<p class='ad-hoc'>c</p><h2 id='legal-search'>d</h2><h3 id='comments'>e</h3></article>", ["a", "b", "c", "d", "e"]),
+    ("<article><ul><li class='share'>x<li>y<li>z</ul><p>p</p></article>", ["y", "z", "p"]),
+    ("<article><dl><dt class='ad'>x<dd>y</dl><table><tr><td class='ad'>x<td>y<tr class='ad'><td>x<tr><td>z</table>"
+     "<p class='ad'><b>x<p>q</article>", ["y", "y", "z", "q"]),
+    ("<ul><li>a<ul><li class='ad'>x</ul><li>b</ul>", ["a", "b"]),
+    ("<article>small</article><main><p>the main text</p><article>inner</article></main><article>t</article>",
+     ["the main text", "inner"]),
+    (f"<article>teaser</article><div><p>{'long words ' * 30}</p></div>", ["teaser", ("long words " * 30).strip()]),
+    ("<div class='site-footer'>x</div><div class='cookie-notice'>x</div><div id='left-sidebar'>x</div>"
+     "<div class='ad-slot-1'>x</div><div class='ad_banner top'>x</div><p>y</p>", ["y"]),
+    ("<article><div class='comments'>x</div><div id='comments'>x</div><p>y</p></article>", ["y"])])
+def test_only_whole_names_and_siblings(html, want):
+    assert [t for t, _ in hx.blocks(html)] == want
+
+
+MENU = "".join(f"<div>Menu entry number {i} of ours</div>" for i in range(6))
+
+
+def test_heavy_frames_go(spark):
+    """More frame than text, and neighbours that are copies of each other."""
+    own = [f"own words of page {i} are {prose(i, 4)}" for i in range(30)]
+    rows = [(i, f"http://h.org/{i:03}", f"{MENU}<div>{own[i]}</div>") for i in range(30)]
+    news = [" ".join(prose(700 + i, 60).split()) for i in range(3)]
+    for n in range(3):
+        rows += [(100 + 10 * n + i, f"http://n.org/{n}/{i}", f"{MENU}<p>{news[n]}</p>") for i in range(4)]
+    near = f"<p>{news[0]}</p><p>{news[1]}</p>"
+    rows += [(200 + i, f"http://c.org/{i}", f"{near}<p>edit {i}</p>") for i in range(3)]
+    out = {r["page_id"]: r["text"] for r in hx.extract(pages(spark, rows)).collect()}
+    assert [out[i] for i in range(30)] == [" ".join(t.split()) for t in own]
+    assert all(out[100 + 10 * n + i] == news[n] for n in range(3) for i in range(4))
+    assert all(out[200 + i] == f"{news[0]}\n\n{news[1]}\n\nedit {i}" for i in range(3))
+
+
 def frame(i):
     return (f"<div><p>Welcome to our site</p><p>Call us today</p><p>{prose(i, 40)}</p><p>{prose(i + 500, 30)}</p>"
             "<p>All rights kept by us</p></div>")
