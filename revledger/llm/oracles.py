@@ -200,34 +200,47 @@ def _terms(column: str) -> str:
             f"lambda x: regexp_replace(x, '^[.-]+|[.-]+$', '', 'g')), lambda x: x <> '' and x not in ({stop}))")
 
 
-_NOTICES = ", ".join(f"('{a}', '{b}')" for a, b in _L.TEMPLATES)
+_NOTICES = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(_L.TEMPLATES))
+_ANCHORS = ", ".join(f"'{a}'" for a in _L.ANCHORS)
 OP4 = f"""
-with t(license, notice) as (values {_NOTICES}),
-tt as (select license, term, count(*) as tf from (
-  select license, unnest({_terms('notice')}) as term from t) group by all),
-n as (select count(*) as n from t),
-idf as (select term, ln((any_value(n) + 1.0) / (count(*) + 1)) + 1 as idf from tt, n group by term),
-tw as (select license, term, tf * idf as w from tt join idf using (term)),
-tn as (select license, term, w / sqrt(sum(w * w) over (partition by license)) as w from tw),
+with t(template, license, notice) as (values {_NOTICES}),
+laid as (select template, license, {_terms('notice')} as terms from t),
 files as (
   select doc_id, text, concat_ws('/', case when length(text) < 1000 then concat_ws('/', source, lang)
     else concat_ws('/', source, lang, 'p' || floor(doc_id / 500)::bigint, 'q' || floor(doc_id / 20)::bigint) end,
     case when length(text) < 500 then 'LICENSE.' || doc_id else 'f' || doc_id || '.txt' end) as path
   from documents
-), lines as (
-  select doc_id, unnest(range(0, len(string_split(text, chr(10))))) as line_no,
-    unnest(string_split(text, chr(10))) as line from files
-), lt as (
-  select doc_id, line_no, term, count(*) as tf from (
-    select doc_id, line_no, unnest({_terms('line')}) as term from lines) group by all
-), hit as (select distinct doc_id, line_no from lt semi join idf using (term)),
-lw as (
-  select doc_id, line_no, term, tf * coalesce(idf, ln((select n from n) + 1.0) + 1) as w
-  from lt semi join hit using (doc_id, line_no) left join idf using (term)
-), ln_ as (select doc_id, line_no, sqrt(sum(w * w)) as norm from lw group by all),
-sc as (
-  select doc_id, license, round(sum(lw.w * tn.w) / any_value(norm), 6) as score
-  from lw join tn using (term) join ln_ using (doc_id, line_no) group by doc_id, line_no, license
+), cut as (
+  select doc_id, {_terms('text')} as terms from files where regexp_matches(text, '{_L.HAS_ANCHOR}')
+), n as (select count(distinct doc_id) as n from cut),
+known as (select distinct unnest(terms) as term from laid),
+df as (select term, count(distinct doc_id) as df from (select doc_id, unnest(terms) as term from cut)
+       semi join known using (term) group by term),
+idf as (select term, 1 + coalesce(round(ln((n + 1.0::double) / (coalesce(df, 0) + 1)) / nullif(ln(n + 1.0::double), 0), 12), 1.0) as idf
+        from known left join df using (term), n),
+tw as (select template, license, term, count(*) * any_value(idf) as w
+       from (select template, license, unnest(terms) as term from laid) join idf using (term) group by all),
+tn as (select template, license, term, w, sqrt(sum(w * w) over (partition by template)) as tnorm from tw),
+anchor as (
+  select template, length, term, min(pos) as pos from (
+    select template, len(terms) as length, unnest(terms) as term, unnest(range(0, len(terms))) as pos from laid)
+  where term in ({_ANCHORS}) group by all
+), laid_on as (
+  select *, min(pos) over (partition by template) as first from anchor
+  qualify length <= {_L.SHORT_TERMS} or pos = min(pos) over (partition by template)
+), place as (
+  select distinct doc_id, template, terms, length, i - pos as start
+  from (select doc_id, terms, unnest(terms) as term, unnest(range(1, len(terms) + 1)) as i from cut) c
+  join laid_on using (term)
+), wt as (
+  select doc_id, template, start, term, count(*) as tf from (
+    select doc_id, template, start, unnest(terms[greatest(start, 1):start + length - 1]) as term from place) group by all
+), x as (
+  select doc_id, template, start, term, tf * coalesce(idf, 2.0) as x from wt left join idf using (term)
+), sc as (
+  select doc_id, any_value(license) as license,
+    round(sum(x * w) / (sqrt(sum(x * x)) * any_value(tnorm)), 6) as score
+  from x left join tn using (template, term) group by doc_id, template, start
 ), own as (
   select doc_id, license, score from sc where score >= {_L.THRESHOLD}
   qualify row_number() over (partition by doc_id order by score desc, license) = 1
