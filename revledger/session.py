@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,12 +67,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: folders made in each open scope, the innermost last
+_SCOPES: list[list[str]] = []
+
+
+def new_table_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder of the checkpoint folder; it goes with the scope."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def table_scope(spark: SparkSession):
+    """Intermediate tables that operators write inside are dropped at the end.
+    A result read from them has to be written inside the scope, to a folder
+    of the caller's own."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written to the checkpoint folder as a table and read back. Like
     ``checkpoint()`` it cuts the lineage and survives lost executors, but the
     planner then knows the size of the files; a checkpoint keeps the size
     estimated for its plan, which a loop of joins multiplies every round."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_table_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -587,3 +587,20 @@ def test_files_are_read_once_for_roots(spark):  # P5
     assert sorted(map(str, (r["path"] for r in out.collect()))) == ["", "None", "a/bc/x"]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LocalRelation") + plan.count("LogicalRDD") <= 1 + 3 and "Aggregate" not in plan
+
+
+def test_table_scope_drops_what_was_written_inside(spark, tmp_path):
+    import os
+
+    from revledger.session import table_scope, written
+    before = written(spark.range(3), "outside")
+    with table_scope(spark):
+        a = written(spark.range(5), "inside")
+        with table_scope(spark):
+            b = written(a.filter("id > 1"), "deeper")
+            assert b.count() == 3
+        inner = {f.split("file:")[-1] for f in a.inputFiles()}
+        a.write.parquet(str(tmp_path / "result"))
+        assert all(os.path.exists(f) for f in inner)
+    assert not any(os.path.exists(f) for f in inner)
+    assert spark.read.parquet(str(tmp_path / "result")).count() == 5 and before.count() == 3
