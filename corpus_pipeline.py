@@ -13,8 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from revledger.llm import decontam, near_dedup, packing, pii, quality_rules
-from revledger.llm.common import saved
-from revledger.session import read_table
+from revledger.llm.common import new_folder
+from revledger.session import read_table, table_scope
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the last stage's rows."""
+    """All stages over ``documents``; the last stage's rows. What a stage
+    wrote on its way goes once its result is written."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        folder = new_folder(spark, f"stage-{name}")
+        with table_scope(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(folder)
+        docs = spark.read.schema(out.schema).parquet(folder)
     return STAGES[-1][1](spark, docs, sf_dir)
