@@ -4,13 +4,12 @@ intermediate tables, and size-checked broadcasts."""
 from __future__ import annotations
 
 import re
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revledger.session import ensure_checkpoint_dir, ship_package
+from revledger.session import ensure_checkpoint_dir, new_table_folder, ship_package
 
 #: fixed by the data contract: a word is a run of anything but these bytes
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -37,7 +36,7 @@ def prepare(spark: SparkSession) -> None:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder of the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    return new_table_folder(spark, f"llm-{name}")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ smallest class: candidates within the signature distance are confirmed on
 the full sets, and the links give components. In a group of near copies
 that joins nearly all. Buckets whose other members still are in several
 components are joined to clusters, which hold every pair that is not
-settled. A cluster is cut into blocks of a bounded number of shingles; each
+settled. A cluster is cut into blocks of a bounded number of shingles and classes; each
 pair of blocks is compared in one task on the full sets by a sparse matrix
 product, and only the links that join components leave the task.
 """
@@ -38,8 +38,8 @@ from revledger.llm.common import (hash_words, mix, only, prepare, saved, small_o
                                   text_groups, window_hash)
 
 BITS = 16
-#: shingles in a block of an unsettled cluster, about
-BLOCK_SHINGLES = 400_000
+#: shingles and classes in a block of an unsettled cluster, about
+BLOCK_SHINGLES, BLOCK_CLASSES = 400_000, 1024
 #: classes compared at once inside a task
 TILE = 128
 #: positions are grouped in chunks of five
@@ -328,7 +328,8 @@ def cluster_links(clusters: DataFrame, docs: DataFrame, reps: DataFrame, scheme:
     sets = saved(shingle_sets(docs, wanted, scheme.words), "sets")
     sizes = sets.select("rep", F.size("shingles").alias("n")).join(clusters.select("rep", "cluster"), "rep")
     blocks = saved(sizes.groupBy("cluster").agg(
-        (F.floor(F.sum("n") / BLOCK_SHINGLES) + 1).cast("int").alias("blocks")), "blocks")
+        (F.floor(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("n") / BLOCK_CLASSES)) + 1)
+        .cast("int").alias("blocks")), "blocks")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     rows = clusters.join(blocks, "cluster").withColumn("block", block).join(sets, "rep")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
