@@ -1,7 +1,6 @@
 """Integrity checks over descriptor tables.
 
-Each check returns the violating rows (a DataFrame) rather than raising;
-``strict`` variants raise when the violation set is not empty. All are
+Each check returns the violating rows (a DataFrame) rather than raising. All are
 single-pass aggregates or joins; counts use map-side partial aggregation.
 """
 
@@ -13,10 +12,6 @@ from pyspark.sql import functions as F
 from revledger.operators.joins import maybe_broadcast
 
 
-class IntegrityError(ValueError):
-    pass
-
-
 def unique(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once (A1): key columns + ``n``."""
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -41,10 +36,6 @@ def domain(df: DataFrame, id_cols: list[str], rules: dict[str, Column]) -> DataF
             .select(*id_cols, F.explode("_broken").alias("rule")))
 
 
-def domain_counts(violations: DataFrame) -> DataFrame:
-    return violations.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
-
-
 def inherit_type(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str,
                  child_type: str = "type", parent_type: str = "type",
                  out: str = "effective_type") -> DataFrame:
@@ -73,10 +64,3 @@ def split_by_pattern(df: DataFrame, col: str, pattern: str):
     a CHECK constraint lets NULL through. Returns (accepted, rejected)."""
     hit = F.coalesce(F.col(col).ilike(pattern), F.lit(False))
     return df.filter(~hit), df.filter(hit)
-
-
-def require_empty(violations: DataFrame, what: str) -> None:
-    """Strict mode: raise when any violation exists (one row fetched)."""
-    row = violations.first()
-    if row is not None:
-        raise IntegrityError(f"{what}: {row.asDict()}")

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 from revledger.session import ensure_checkpoint_dir, limit_conf
 
@@ -24,13 +25,24 @@ BROADCAST_BYTES = 64 << 20
 PAIR_LIMIT = 1_000_000
 
 
+def _width(name: str, kind: DataType) -> Column:
+    """Bytes of a value: of a text or binary those it has, of a number or time
+    eight, of anything nested those of its JSON."""
+    c = F.col(f"`{name}`")
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(kind, (ArrayType, MapType, StructType)):
+        return F.coalesce(F.length(F.to_json(F.struct(c))), F.lit(0))
+    return F.lit(8)
+
+
 def measured(df: DataFrame) -> tuple[DataFrame, int, int]:
-    """(``df`` as written to the checkpoint folder, rows, bytes). Bytes are
-    those of the values as text, plus eight for each value."""
+    """(``df`` as written to the checkpoint folder, rows, bytes of its values
+    plus eight for each)."""
     ensure_checkpoint_dir(df.sparkSession)
-    width = F.lit(0)
-    for c in df.columns:
-        width = width + F.coalesce(F.length(F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(0)) + 8
+    width = F.lit(8 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        width = width + _width(f.name, f.dataType)
     obs = Observation()
     fixed = df.observe(obs, F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes")).checkpoint(eager=True)
     return fixed, obs.get["rows"], obs.get["bytes"] or 0

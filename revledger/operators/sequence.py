@@ -9,8 +9,8 @@ on (group, order) instead, so a hot group is spread over many partitions; each p
 summary row per group it holds, and prefix sums over those summaries (at
 most one row per partition per group) give every row its offset.
 
-Partition ids and in-partition positions are fixed by a reliable
-checkpoint before they are used twice, so a recomputed task cannot hand out
+Partition ids and in-partition positions are fixed in a written table
+before they are used twice, so a recomputed task cannot hand out
 different numbers.
 """
 
@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revledger.session import ensure_checkpoint_dir, limit_conf
+from revledger.session import limit_conf, written
 
 _PID, _POS, _N, _FIRST, _OFF = "_sq_pid", "_sq_pos", "_sq_n", "_sq_first", "_sq_off"
 
@@ -31,16 +31,12 @@ def _cols(names) -> list[Column]:
 
 
 def _tag(df: DataFrame, sort_cols: list[Column]) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
     ordered = df.repartitionByRange(*sort_cols).sortWithinPartitions(*sort_cols)
     pid = F.spark_partition_id().cast("long")
     tagged = ordered.withColumn(_PID, pid).withColumn(
         _POS, F.monotonically_increasing_id() - F.shiftleft(pid, 33)
     )
-    tagged = tagged.persist()
-    fixed = tagged.checkpoint(eager=True)
-    tagged.unpersist()
-    return fixed
+    return written(tagged, "numbered")
 
 
 def _null_safe_on(left: DataFrame, right: DataFrame, names: list[str]) -> Column:

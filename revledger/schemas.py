@@ -3,7 +3,7 @@ explicit schema, never inferred)."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, LongType, StringType,
+from pyspark.sql.types import (ArrayType, LongType, StringType,
                                StructField, StructType, TimestampNTZType)
 
 _S = StringType()
@@ -21,34 +21,8 @@ LEDGER_CURRENT = StructType([
 LEDGER_HISTORY = StructType([StructField("revision_history_id", LongType(), False)]
                             + LEDGER_CURRENT.fields)
 
-LEDGER_KEY = ("application", "schemas_type", "kind")
-
-HOSTS = StructType([
-    StructField("name", _S, False),
-    StructField("type", _S, True),
-    StructField("conninfo", _S, True),
-    StructField("params", _S, True),
-])
-
 EDGES = StructType([
     StructField("application", _S, False),
     StructField("to_rev", _S, False),
     StructField("from_rev", _S, False),
 ])
-
-SCHEMAS = StructType([
-    StructField("schemas_type", _S, False),
-    StructField("name", _S, False),
-    StructField("kind", _S, False),
-    StructField("owner", _S, False),
-    StructField("grants", ArrayType(_S), True),
-    StructField("pos", IntegerType(), False),
-])
-
-GRANTS_OBSERVED = StructType([
-    StructField("schema", _S, False),
-    StructField("grantor", _S, True),
-    StructField("grantee", _S, True),
-    StructField("privilege", _S, True),
-    StructField("is_grantable", BooleanType(), False),
-])
