@@ -1,7 +1,8 @@
 """Token counts of whole texts, huge ones by overlap resynchronisation.
 
-A text of at most ``CHUNK`` characters is encoded as it is. A longer one is
-cut into overlapping chunks that are encoded apart, by as many tasks as there
+A text of at most ``CHUNK`` characters is counted in one task: pre-token by
+pre-token, each different one encoded once, where plain signs leave no doubt
+about the cut, otherwise as a whole. A longer one is cut into overlapping chunks that are encoded apart, by as many tasks as there
 are, with offsets. Two neighbours are spliced at a boundary that both have in
 their overlap and that is proven to be one of the whole text:
 
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -44,6 +46,17 @@ CHUNK, OVERLAP, WIDEN = 1 << 16, 512, 16
 LOOKAHEAD = 3
 #: characters of one call of the library, and bytes of chunks in one task
 CALL_CHARS, TASK_BYTES = 1 << 20, 8 << 20
+#: different pre-tokens in a generation of the cache; there are two, so that
+#: the frequent ones stay
+CACHE_WORDS = 400_000
+
+# The pre-token pattern of byte-level vocabularies (a fixed value), with its
+# classes written out for Latin-1: letters, numbers and white space there are
+# the same for every version of Unicode.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r\x20"
+PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: signs beyond these are left to the library
+NOT_PLAIN = "[^\t-\r\x20-\x7e\xa1-\xff]"
 
 
 class Encoder:
@@ -68,8 +81,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.counts = lambda texts: [len(e) for e in self.library.encode_batch_fast(
-            texts, add_special_tokens=False)]
+        self.counts = self.encoded
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
         first, marks = parts["pre_tokenizer"] or {}, parts["added_tokens"]
@@ -77,6 +89,29 @@ class Encoder:
                 and parts["normalizer"] is None and parts["post_processor"] is None
                 and not any(m["lstrip"] or m["rstrip"] or m["single_word"] for m in marks)):
             self.margin = LOOKAHEAD + max((len(m["content"]) for m in marks), default=0)
+            self.doubt = re.compile("|".join([NOT_PLAIN, *(re.escape(m["content"]) for m in marks)]))
+            self.young, self.old = {}, {}
+            self.counts = self.looked_up
+
+    def encoded(self, texts: list[str]) -> list[int]:
+        return [len(e) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def looked_up(self, texts: list[str]) -> list[int]:
+        """Counts by pre-token. The library works inside pre-tokens, and one
+        by itself is cut as it is in the text."""
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {}, self.young
+        words = [None if self.doubt.search(t) else PRE_TOKEN.findall(t) for t in texts]
+        young, old = self.young, self.old
+        new = []
+        for w in set().union(*filter(None, words)).difference(young):
+            if w in old:
+                young[w] = old[w]
+            else:
+                new.append(w)
+        young.update(zip(new, self.encoded(new)))
+        whole = iter(self.encoded([t for t, w in zip(texts, words) if w is None]))
+        return [next(whole) if w is None else sum(map(young.__getitem__, w)) for w in words]
 
     def starts(self, text: str) -> tuple[int, list[tuple[int, int]]]:
         """(tokens, (place, tokens before) of each pre-token)."""

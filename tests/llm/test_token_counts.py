@@ -38,6 +38,18 @@ def test_true_starts_of_a_chunk_are_those_of_the_text(encoder):
             assert {p for p in cut if p <= end - encoder.margin} == {p for p in whole if p <= end - encoder.margin}
 
 
+def test_counts_by_pre_token_equal_the_library(encoder, monkeypatch):
+    r = random.Random(11)
+    signs = [chr(c) for c in range(256)] + ["'s", "'re", "'ll", "don't", "  ", "<|endoftext|>", "<|", "é", "ﬁ"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randrange(60))) for _ in range(3000)]
+    texts += [odd_text(r, r.randrange(50)) for _ in range(1000)] + [prose(i, 300) for i in range(20)] + ["", " ", "\n"]
+    for words in (400_000, 50):
+        monkeypatch.setattr(tc, "CACHE_WORDS", words)
+        for i in range(0, len(texts), 100):
+            assert encoder.counts(texts[i:i + 100]) == encoder.encoded(texts[i:i + 100])
+    assert sum(encoder.doubt.search(t) is None for t in texts) > 100
+
+
 @pytest.mark.parametrize("chunk,overlap", [(64, 32), (100, 20), (300, 100)])
 def test_spliced_counts_equal_the_library(spark, encoder, chunk, overlap):
     r = random.Random(chunk)
