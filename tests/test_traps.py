@@ -604,3 +604,49 @@ def test_table_scope_drops_what_was_written_inside(spark, tmp_path):
         assert all(os.path.exists(f) for f in inner)
     assert not any(os.path.exists(f) for f in inner)
     assert spark.read.parquet(str(tmp_path / "result")).count() == 5 and before.count() == 3
+
+
+def test_routing_is_dealt_by_pairs_whatever_the_files(spark):  # J1
+    hosts = spark.createDataFrame([(i, f"t{i % 2}") for i in range(40)], "host_id int, host_type string").coalesce(1)
+    descr = spark.createDataFrame([(f"t{i % 2}", i) for i in range(50)], "schemas_type string, k int").coalesce(1)
+    spark.conf.set("spark.revledger.taskPairs", "100")
+    try:
+        out = routing.route(hosts, descr)
+        assert out.rdd.getNumPartitions() >= 10
+        assert rows(out, "host_id", "k") == srt((h, k) for h in range(40) for k in range(50) if h % 2 == k % 2)
+    finally:
+        spark.conf.unset("spark.revledger.taskPairs")
+
+
+def _numbered(hosts, typed, own):
+    """The plan of every host id, laid out and counted row by row."""
+    plans = {}
+    for h, t in hosts:
+        plans.setdefault(h, []).extend((p, pos, item) for ty, p, pos, item in typed if ty == t)
+    for h, p, pos, item in own:
+        plans.setdefault(h, []).append((p, pos, item))
+    return srt((h, *row, i + 1) for h, plan in plans.items() for i, row in enumerate(sorted(plan)))
+
+
+@pytest.mark.parametrize("with_own", [False, True])
+def test_plans_numbered_by_type_are_those_numbered_by_host(spark, with_own):  # U3, W2
+    hosts = [("a", "x"), ("b", "x"), ("b", "x"), ("c", "x"), ("c", "y"), ("d", "none"), (None, "y"), (None, "y"),
+             ("e", None), ("f", "y"), ("g", "y")]
+    typed = [("x", 0, 0, "init"), ("x", 2, 1, "f1"), ("x", 2, 2, "f2"), ("y", 2, 7, "f7"), ("x", 3, 0, "end"),
+             ("y", 2, 7, "f7"), ("z", 2, 1, "never")]
+    own = [("a", 1, 1, "h1"), ("a", 1, 2, "h2"), ("b", 1, 1, "h1"), ("d", 1, 5, "h5"), ("f", 1, 3, "h3")] * with_own
+    cols = "phase_no int, pos int, item string"
+    out = routing.number_routed(
+        spark.createDataFrame(hosts, "host_id string, host_type string"),
+        spark.createDataFrame(typed, "schemas_type string, " + cols),
+        own=spark.createDataFrame(own, "host_id string, " + cols) if with_own else None, own_phase=1)
+    assert rows(out, "host_id", "phase_no", "pos", "item", "fragment_no") == _numbered(hosts, typed, own)
+
+
+def test_fragment_numbers_shuffles_no_routed_row(spark):  # W2
+    hosts = spark.createDataFrame([(i, "t") for i in range(30)], "host_id int, host_type string")
+    typed = spark.createDataFrame([("t", 0, i) for i in range(30)], "schemas_type string, phase_no int, pos int")
+    out = routing.number_routed(hosts, typed)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Window")  # the join is above the numbering
+    assert out.count() == 900
