@@ -13,14 +13,16 @@ beside the long lines that both have: frames are short lines beside texts of
 their own, copies long lines beside next to nothing.
 
 Blocks inside an ``article`` or ``main`` element are taken as declared and
-are not deleted. Of several such elements, that with most text is the main
+are not deleted; what stands beside them is no main text of that page, but it
+is read as the frame that neighbours without such an element share. Of several such elements, that with most text is the main
 text; one that is next to nothing beside the rest of the page (a teaser)
 declares nothing.
 
 Only line hashes are shuffled for the alignment. A global order by
 (host, path) is numbered and cut into runs of ``RUN`` pages, each with
 ``REACH`` more pages on either side, so that a host with a third of all pages
-is many tasks and the result does not depend on partitions.
+is many tasks and the result does not depend on partitions. A page with only
+copies in reach is led on, from copy to copy, to the page behind them.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from functools import reduce
 from html.parser import HTMLParser
 
 import numpy as np
@@ -193,8 +196,10 @@ class Blocks(HTMLParser):
             self.text.append(data)
 
 
-def blocks(html: str | None) -> list[tuple[str, bool]]:
-    """(text, declared main) of the blocks that may be main text."""
+def page_blocks(html: str | None) -> list[tuple[str, bool, bool]]:
+    """(text, declared main, may be main text) of all blocks that differencing
+    reads: those beside declared main text too, which neighbours that declare
+    none have in their frames."""
     if not html:
         return []
     p = Blocks()
@@ -207,9 +212,14 @@ def blocks(html: str | None) -> list[tuple[str, bool]]:
     outside = size.pop(0, 0)
     best = max(size, key=lambda n: (size[n], -n), default=0)
     if not best or size[best] < TEASER * outside:
-        return [(text, False) for text, _ in p.blocks]
+        return [(text, False, True) for text, _ in p.blocks]
     # a page that declares its main text has no other
-    return [(text, True) for text, n in p.blocks if n == best]
+    return [(text, n == best, n == best) for text, n in p.blocks]
+
+
+def blocks(html: str | None) -> list[tuple[str, bool]]:
+    """(text, declared main) of the blocks that may be main text."""
+    return [(text, main) for text, main, kept in page_blocks(html) if kept]
 
 
 def url_parts(url: str | None) -> tuple[str, str]:
@@ -310,11 +320,11 @@ def page_lines(pages: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for url, html in zip(b.column("url").to_pylist(), b.column("html").to_pylist()):
-                found = blocks(html)
+                found = page_blocks(html)
                 host, path = url_parts(url)
-                hashes = [line_hash(t) for t, _ in found]
+                hashes = [line_hash(t) for t, _, _ in found]
                 rows.append((page_key(host, hashes), host, path, hashes,
-                             [len(t) for t, _ in found], [m for _, m in found]))
+                             [len(t) for t, _, _ in found], [m for _, m, _ in found]))
             cols = list(zip(*rows)) if rows else [()] * 6
             kinds = [pa.binary(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()),
                      pa.list_(pa.bool_())]
@@ -337,10 +347,22 @@ def are_copies(p: dict, q: dict, left: set[int], right: set[int]) -> bool:
     return apart < APART * long or not apart
 
 
-def difference_run(own: int, rows: list[dict]) -> list[tuple[bytes, list[int]]]:
-    """(key, indexes of deleted lines) for the pages of one run; ``rows`` are
-    its pages in order, with ``REACH`` more on either side."""
-    out: dict[bytes, set[int]] = {}
+def shared_lines(p: dict, q: dict) -> list[int] | None:
+    """Indexes of the lines that ``p`` has in common with ``q`` and that it
+    does not declare as main text; None if the two are copies."""
+    left, right = common_lines(p["hashes"], q["hashes"])
+    if are_copies(p, q, left, right):
+        return None
+    return sorted(k for k in left if not p["main"][k])
+
+
+def difference_run(own: int, rows: list[dict]) -> list[tuple]:
+    """(n, key, indexes of deleted lines, partner before, partner behind) for
+    the pages of one run; ``rows`` are its pages in order, with ``REACH`` more
+    on either side. A partner is (place, whether it is but the last of
+    ``REACH`` copies, behind which the nearest other page is still to be
+    found); none where the host ends."""
+    out = []
     known: dict[tuple[int, int], tuple] = {}
 
     def pair(i: int, j: int):
@@ -352,19 +374,87 @@ def difference_run(own: int, rows: list[dict]) -> list[tuple[bytes, list[int]]]:
     for i, p in enumerate(rows):
         if p["n"] // RUN != own:
             continue
+        gone, partners = set(), []
         for step in (-1, 1):
+            partner = None
             for j in range(i + step, i + step * (REACH + 1), step):
                 if not 0 <= j < len(rows) or rows[j]["host"] != p["host"]:
+                    partner = None
                     break
                 left, right, copies = pair(min(i, j), max(i, j))
-                if copies:
-                    continue  # the nearest that is no copy
-                lines = left if i < j else right
-                gone = {k for k in lines if not p["main"][k]}
-                if gone:
-                    out.setdefault(p["key"], set()).update(gone)
-                break
-    return [(k, sorted(v)) for k, v in out.items()]
+                partner = (rows[j]["n"], copies)
+                if not copies:  # the nearest that is no copy
+                    gone.update(k for k in (left if i < j else right) if not p["main"][k])
+                    break
+            partners.append(partner)
+        out.append((p["n"], p["key"], sorted(gone), *partners))
+    return out
+
+
+_PARTNER = "struct<place:bigint,open:boolean>"
+_LINES = ("hashes", "sizes", "main")
+
+
+def _partners(found: DataFrame) -> DataFrame:
+    """(n, key, step, place, open) of every page that has a partner before or
+    behind."""
+    sides = F.array(F.struct(F.lit(-1).alias("step"), F.col("before").alias("to")),
+                    F.struct(F.lit(1).alias("step"), F.col("behind").alias("to")))
+    flat = found.select("n", "key", F.explode(sides).alias("s")).filter(F.col("s.to").isNotNull())
+    return flat.select("n", "key", "s.step", "s.to.place", "s.to.open")
+
+
+def _followed(open_: DataFrame, ends: DataFrame) -> DataFrame:
+    """Where the partner of the page at ``place`` on the same side is; pages
+    behind which the host ends are left out."""
+    nxt = ends.select(F.col("n").alias("_n"), F.col("step").alias("_step"), F.col("place").alias("_place"),
+                      F.col("open").alias("_open"))
+    j = open_.join(nxt, (F.col("place") == F.col("_n")) & (F.col("step") == F.col("_step")))
+    return j.select("n", "key", "step", F.col("_place").alias("place"), F.col("_open").alias("open"))
+
+
+def _met(todo: DataFrame, numbered: DataFrame) -> DataFrame:
+    """``todo`` with the lines shared with the page at ``place``; open where
+    the two are copies."""
+    p = todo.join(numbered.select(F.col("n").alias("_p"), *_LINES), F.col("n") == F.col("_p"))
+    places = todo.select(F.col("place").alias("_q")).distinct()
+    q = places.join(numbered.select("n", *[F.col(c).alias("q_" + c) for c in _LINES]), F.col("_q") == F.col("n"))
+    # a long row of copies meets one page: its lines go to every task
+    both = p.join(small_or_plain(q.drop("n")), F.col("place") == F.col("_q"))
+    both = both.select("n", "key", "step", "place", *_LINES, *["q_" + c for c in _LINES])
+
+    def run(batches):
+        for b in batches:
+            rows = b.to_pylist()
+            found = [shared_lines(r, {c: r["q_" + c] for c in _LINES}) for r in rows]
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(c) for c in ("n", "key", "step", "place")], pa.array([f is None for f in found], pa.bool_()),
+                 pa.array([f or [] for f in found], pa.list_(pa.int32()))],
+                names=["n", "key", "step", "place", "open", "gone"])
+
+    return both.mapInArrow(run, "n long, key binary, step int, place long, open boolean, gone array<int>")
+
+
+def _beyond_reach(found: DataFrame, numbered: DataFrame) -> list[DataFrame]:
+    """(key, gone) of the pages with nothing but copies in reach on a side.
+
+    The partner of such a page is that of the last copy in reach: all pages of
+    a row of copies are led to the page behind it by pointer doubling. A page
+    that is a copy of that one too goes on to its partner, and so on to the
+    end of the host."""
+    ends = saved(_partners(found), "partners")
+    pending = ends.filter("open").select("n", "step")
+    if pending.isEmpty():
+        return []
+    cols, parts = ends.columns, []
+    while not ends.filter("open").isEmpty():
+        ends = saved(ends.filter(~F.col("open")).unionByName(_followed(ends.filter("open"), ends)), "partners")
+    todo = saved(ends.join(pending, ["n", "step"], "left_semi").select(*cols), "partners")
+    while not todo.isEmpty():
+        met = saved(_met(todo, numbered), "met")
+        parts.append(met.filter(~F.col("open")).select("key", "gone"))
+        todo = saved(_followed(met.filter("open").select(*cols), ends), "partners")
+    return parts
 
 
 def deleted_lines(pages: DataFrame) -> DataFrame:
@@ -375,14 +465,23 @@ def deleted_lines(pages: DataFrame) -> DataFrame:
     groups = F.array_compact(F.array(
         group, F.when((place < REACH) & (group > 0), group - 1), F.when(place >= RUN - REACH, group + 1)))
     spread = numbered.withColumn("run", F.explode(groups))
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int32())] + 2 * [
+        pa.struct([("place", pa.int64()), ("open", pa.bool_())])]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["n"])
-        found = difference_run(key[0].as_py(), rows)
-        return pa.table({"key": pa.array([k for k, _ in found], pa.binary()),
-                         "gone": pa.array([g for _, g in found], pa.list_(pa.int32()))})
+        cols = list(zip(*[(n, k, g, *[t and {"place": t[0], "open": t[1]} for t in to])
+                          for n, k, g, *to in difference_run(key[0].as_py(), rows)])) or [()] * 5
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(("n", "key", "gone", "before", "behind"), cols, kinds)})
 
-    return spread.groupBy("run").applyInArrow(run, "key binary, gone array<int>")
+    found = saved(spread.groupBy("run").applyInArrow(
+        run, f"n long, key binary, gone array<int>, before {_PARTNER}, behind {_PARTNER}"), "differences")
+    out = found.filter(F.size("gone") > 0).select("key", "gone")
+    more = _beyond_reach(found, numbered)
+    if more:
+        out = reduce(DataFrame.unionByName, more, out).groupBy("key").agg(
+            F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    return out
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
@@ -402,12 +501,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     def run(batches):
         for b in batches:
             urls = b.column("url").to_pylist()
-            texts = [[t for t, _ in blocks(h)] for h in b.column("html").to_pylist()]
+            texts = [page_blocks(h) for h in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), b.column("url"),
-                 pa.array([page_key(url_parts(u)[0], [line_hash(t) for t in found])
+                 pa.array([page_key(url_parts(u)[0], [line_hash(t) for t, _, _ in found])
                            for u, found in zip(urls, texts)], pa.binary()),
-                 pa.array(texts, pa.list_(pa.string()))],
+                 # lines that cannot be main text keep their place, not their text
+                 pa.array([[t if kept else None for t, _, kept in found] for found in texts], pa.list_(pa.string()))],
                 names=["page_id", "url", "key", "lines"])
 
     lines = pages.mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, url string, key binary, "

@@ -214,3 +214,22 @@ def test_scores_do_not_depend_on_the_sample_size(spark):
         model = qm.fit(docs, known, sample_docs=size)
         means.append(sum(r["score"] for r in qm.score(docs, model).collect()) / len(rows))
     assert abs(means[0] - 5 / 6) < 0.1 and abs(means[1] - 5 / 6) < 0.1
+
+
+def test_frames_go_behind_any_number_of_copies(spark):
+    """Long rows of near copies on either side; a page with only copies in
+    reach is led to the page behind them."""
+    news = [" ".join(prose(800 + i, 90).split()) for i in range(3)]
+    rows = [(1000 * n + i, f"http://n.org/{n}/{i:03}", f"{MENU}<p>{news[n]}</p><p>edit {n} {i}</p>")
+            for n in range(3) for i in range((40, 1, 25)[n])]
+    out = {r["page_id"]: r["text"] for r in hx.extract(pages(spark, rows)).collect()}
+    assert len(out) == 66
+    assert all(t == f"{news[k // 1000]}\n\nedit {k // 1000} {k % 1000}" for k, t in out.items())
+
+
+def test_frame_beside_declared_text_goes_from_neighbours(spark):
+    """A neighbour that declares its main text shows the frame as any other."""
+    own = [" ".join(prose(900 + i, 60).split()) for i in range(4)]
+    rows = [(i, f"http://m.org/{i}", f"{MENU}<{tag}>{own[i]}</{tag}>") for i, tag in enumerate(("article", "p", "article", "p"))]
+    out = {r["page_id"]: r["text"] for r in hx.extract(pages(spark, rows)).collect()}
+    assert [out[i] for i in range(4)] == own
