@@ -71,3 +71,48 @@ def test_hops_are_looked_up_in_every_settings_cluster(spark):
                    ("h1", 2, 1, "ok", "s2", None), ("h1", 2, 2, "missing", None, None)]
     refused = graph.refusals(ways, hops).select("host", "reason").collect()
     assert sorted(map(tuple, refused)) == [("h1", "non_unique"), ("h2", "no_way")]
+
+
+def _fleet(spark, n_schemas=3):
+    """Views of two applications with a way of two hops, one lacking an entry."""
+    frame = spark.createDataFrame
+    entry = "application long, migration_id string, to_rev long, compatible array<long>"
+    cluster = entry.replace("application long", "application long, cluster_no int")
+    return {
+        "fx_edges": frame([(a, f, f + 1) for a in (1, 2) for f in (1, 2)], "application long, from_rev long, to_rev long"),
+        "fx_fleet": frame([("h1", 1, "7", "main", 1, 3), ("h2", 2, "7", "main", 1, 3)],
+                          "host_id string, application long, group_type string, upgrade_type string, from_rev long, target_rev long"),
+        "fx_migration_entries": frame([(1, "a2", 2, [1]), (1, "a3", 3, [2]), (2, "a2", 2, [1])], entry),
+        "fx_settings_list": frame([(1, 1)], "application long, cluster_no int"),
+        "fx_settings_entries": frame([(1, 1, "s2", 2, [1]), (1, 1, "s3", 3, [2])], cluster),
+        "fx_schemas": frame([(i, "7", f"s{i}", "var") for i in range(n_schemas)],
+                            "schema_key long, schemas_type string, name string, kind string"),
+        "fx_fleet_history": spark.sql(
+            "select 5L as revision_history_id, 'h1' as host_id, '7' as schemas_type, kind, timestamp_ntz'2024-01-02' as datetime,"
+            " 1L as revision, 'installed' as comment, array('old') as schemas from values ('var'), ('func') as t(kind)"),
+    }
+
+
+def test_refusals_meet_no_script(spark):
+    from revledger.plans import catalog
+    from revledger.plans.registry import REGISTRY
+
+    catalog.load()
+    out = REGISTRY["upgrade_refusals"].build(_fleet(spark)).collect()  # no view of scripts is there
+    assert [(r["host_id"], r["reason"]) for r in out] == [("h2", "missing")]
+
+
+def test_no_step_of_an_upgrade_carries_schema_lists(spark, monkeypatch):
+    from revledger.operators import ledger
+    from revledger.plans import catalog
+    from revledger.plans.registry import REGISTRY
+
+    catalog.load()
+    seen, real = [], ledger.replay_steps
+    monkeypatch.setattr(ledger, "replay_steps", lambda c, h, rows, *a: seen.append(rows) or real(c, h, rows, *a))
+    out = REGISTRY["ledger_upgrade"].build(_fleet(spark)).collect()
+    assert seen[0].filter("schemas is not null").isEmpty()
+    got = sorted((r["part"], r["kind"], r["revision"], r["comment"], r["schemas"], r["n_schemas"]) for r in out if r["comment"])
+    assert got == [("current", "func", 3, "upgraded", "", 0), ("current", "var", 3, "upgraded", "s0,s1,s2", 3),
+                   ("history", "func", 3, "upgraded", "", 0), ("history", "var", 3, "upgraded", "s0,s1,s2", 3)]
+    assert [(r["revision"], r["schemas"], r["n_schemas"]) for r in out if r["comment"] is None] == [(2, None, None)]
