@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revledger.functions.keys import file_safe_key
+from revledger.session import written
 
 
 def _uri(spark: SparkSession, path: str):
@@ -16,25 +17,126 @@ def _uri(spark: SparkSession, path: str):
 
 def scan_scripts(spark: SparkSession, roots: list[str], suffix: str = ".sql") -> DataFrame:
     """Whole ``.sql`` files under ``roots`` (recursively), one row per file:
-    root, path (relative to the root), text. Files are read in parallel by
-    the file source; nothing is listed on the driver by hand.
+    root, path (relative to the root), text. Empty and hidden files are
+    passed over, as the file source does.
 
-    The source names a file by its URI, in which a space is ``%20``; it is
-    decoded (a ``+`` is itself), freed of scheme and authority, and the root
-    is cut off by its length, whatever signs it holds."""
+    Folders are listed and files are read by tasks. The file source lists
+    them on the driver and opens each at many times the cost of reading it;
+    it serves roots that tasks cannot open themselves: of a file system that
+    Arrow does not know, single files, and patterns."""
     out = None
     for root in roots:
-        df = (spark.read.option("recursiveFileLookup", True)
-              .option("pathGlobFilter", f"*{suffix}").text(root, wholetext=True)
-              .select(F.col("_metadata.file_path").alias("_full"), F.col("value").alias("text")))
-        decoded = F.url_decode(F.replace(F.col("_full"), F.lit("+"), F.lit("%2B")))
-        plain = F.regexp_replace(decoded, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
-        base = _uri(spark, root).getPath().rstrip("/")
-        df = df.select(F.lit(root).alias("root"), F.substring(plain, len(base) + 2, 1 << 30).alias("path"), "text")
+        uri = _uri(spark, root).toString()
+        df = _read_by_tasks(spark, uri, suffix) if _is_arrow_folder(uri) else _read_by_source(spark, root, suffix)
+        df = df.select(F.lit(root).alias("root"), "path", "text")
         out = df if out is None else out.unionByName(df)
     return out
 
 
+def _is_arrow_folder(uri: str) -> bool:
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+
+    try:
+        fs, base = pafs.FileSystem.from_uri(uri)
+        return fs.get_file_info(base).type == pafs.FileType.Directory
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+
+
+def _read_by_source(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """(path, text) by the file source. It names a file by its URI, in which a
+    space is ``%20``; it is decoded (a ``+`` is itself), freed of scheme and
+    authority, and the root is cut off by its length, whatever signs it
+    holds."""
+    df = (spark.read.option("recursiveFileLookup", True)
+          .option("pathGlobFilter", f"*{suffix}").text(root, wholetext=True)
+          .select(F.col("_metadata.file_path").alias("_full"), F.col("value").alias("text")))
+    decoded = F.url_decode(F.replace(F.col("_full"), F.lit("+"), F.lit("%2B")))
+    plain = F.regexp_replace(decoded, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    base = _uri(spark, root).getPath().rstrip("/")
+    return df.select(F.substring(plain, len(base) + 2, 1 << 30).alias("path"), "text")
+
+
+def list_files(spark: SparkSession, uri: str, suffix: str) -> DataFrame:
+    """(path, size) of the files under the folder ``uri`` that are neither
+    hidden nor empty. Tasks list the folders of a level; what they find is
+    written, and its folders are the next level."""
+    import pyarrow as pa
+
+    def run(batches):
+        import pyarrow.fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(uri)
+        base = base.rstrip("/")
+        for b in batches:
+            for folder in b.column("path").to_pylist():
+                found = []
+                for info in fs.get_file_info(pafs.FileSelector(f"{base}/{folder}")):
+                    name = info.base_name
+                    if name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_"):
+                        continue
+                    inner = info.type == pafs.FileType.Directory
+                    if inner or (name.endswith(suffix) and info.size):
+                        found.append((f"{folder}/{name}" if folder else name, inner, info.size or 0))
+                for i in range(0, len(found), 10_000):
+                    part = list(zip(*found[i : i + 10_000]))
+                    yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[1], pa.bool_()),
+                                                      pa.array(part[2], pa.int64())], names=["path", "folder", "size"])
+
+    level, out = spark.createDataFrame([("",)], "path string"), None
+    while True:
+        level = level.repartition(spark.sparkContext.defaultParallelism, "path")
+        found = written(level.mapInArrow(run, "path string, folder boolean, size long"), "listing")
+        files = found.filter(~F.col("folder")).select("path", "size")
+        out = files if out is None else out.unionByName(files)
+        level = found.filter("folder").select("path")
+        if level.isEmpty():
+            return out
+
+
+#: files, and bytes of files, that a task reads
+TASK_FILES = 5_000
+TASK_BYTES = 128 << 20
+#: bytes of texts in one batch
+_BATCH_BYTES = 4 << 20
+
+
+def _read_by_tasks(spark: SparkSession, uri: str, suffix: str) -> DataFrame:
+    """(path, text) of the files under the folder ``uri``, dealt over tasks."""
+    import pyarrow as pa
+
+    files = list_files(spark, uri, suffix)
+    n, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(spark.sparkContext.defaultParallelism, n // TASK_FILES, size // TASK_BYTES)
+    batch_bytes = _BATCH_BYTES
+
+    def run(batches):
+        import pyarrow.fs as pafs
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.binary())],
+                                              names=["path", "text"])
+
+        fs, base = pafs.FileSystem.from_uri(uri)
+        base = base.rstrip("/")
+        for b in batches:
+            paths, texts, held = [], [], 0
+            for path in b.column("path").to_pylist():
+                with fs.open_input_stream(f"{base}/{path}") as f:
+                    texts.append(f.read())
+                paths.append(path)
+                held += len(texts[-1])
+                if held >= batch_bytes:
+                    yield batch()
+                    paths, texts, held = [], [], 0
+            if paths:
+                yield batch()
+
+    read = files.select("path").repartition(tasks, "path").mapInArrow(run, "path string, text binary")
+    return read.select("path", F.col("text").cast("string").alias("text"))
+
+
 def write_scripts(files: DataFrame, root: str) -> DataFrame:
     """Write each row's ``text`` as the file ``path`` under ``root`` and
     return the paths written. Tasks write through the file system of the

@@ -56,6 +56,30 @@ def test_scan_and_bundle_sink(spark):
         ("host-one", "x", "select 1;"), ("host-one", "y-z", "select 3;")]
 
 
+def test_scan_reads_files_in_few_tasks_and_passes_over_what_the_source_does(spark, monkeypatch):
+    """Tasks do not grow with the files, nothing is opened by the file source,
+    and the rows are those of the file source."""
+    from revledger.sources import scripts
+
+    root = tempfile.mkdtemp(prefix="revledger-scan v1+x-")
+    names = [f"h{i % 3}/sub {i % 2}/%{i}+ é.sql" for i in range(60)] + ["top.sql", "a=b/_x=1.sql"]
+    for name in names + ["h0/.hid.sql", "_tmp/1.sql", ".git/2.sql", "h1/_3.sql", "h1/4.txt", "h2/empty.sql"]:
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{name}", "wb") as fh:
+            fh.write(b"" if "empty" in name else f"select '{name}';\r\n".encode() + b"\xff\n")
+    os.makedirs(f"{root}/none")
+    monkeypatch.setattr(scripts, "_BATCH_BYTES", 100)
+    df = scan_scripts(spark, [root])
+    assert "Scan text" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    by_tasks = sorted((r["path"], bytes(r["b"])) for r in df.select("path", F.col("text").cast("binary").alias("b")).collect())
+    source = scripts._read_by_source(spark, root, ".sql").select("path", F.col("text").cast("binary").alias("b"))
+    assert by_tasks == sorted((r["path"], bytes(r["b"])) for r in source.collect())
+    assert [p for p, _ in by_tasks] == sorted(names)
+    one = scan_scripts(spark, [f"{root}/h0/*", f"{root}/none"])
+    assert one.count() == 20
+
+
 def test_ledger_commit_protocol(spark):
     import datetime
 
