@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from revledger.plans.fixtures import Fixtures
+from revledger.plans.script_queries import _script_files
 from revledger.plans.stream_queries import guard_pushes
 from revledger.sources.scripts import bundle_keys, scan_scripts, write_bundles
 from tests.conftest import SMALL
@@ -80,6 +81,55 @@ def test_scan_reads_files_in_few_tasks_and_passes_over_what_the_source_does(spar
     assert one.count() == 20
 
 
+def test_bundles_deal_paths_before_texts_are_read(spark, monkeypatch):
+    """No text is shuffled between its file and its bundle, and part files in
+    name order hold a bundle's fragments in path order."""
+    from revledger.functions.keys import file_safe_key
+    from revledger.sources import scripts
+
+    root = tempfile.mkdtemp(prefix="revledger-scan-")
+    names = [f"{h}/{k}/{i:03d} f.sql" for h in ("a.b", "a-b", "c") for k in ("x", "y.z") for i in range(40)]
+    for name in names:
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{name}", "w") as fh:
+            fh.write(name)
+    monkeypatch.setattr(scripts, "TASK_FILES", 7)
+    host, kind = (F.split_part("path", F.lit("/"), F.lit(i)) for i in (1, 2))
+    df = scan_scripts(spark, [root], order=[file_safe_key(host), file_safe_key(kind), F.col("path")])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("MapInArrow")] and "rangepartitioning" in plan
+    assert df.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    out = tempfile.mkdtemp(prefix="revledger-bundle-") + "/b"
+    write_bundles(bundle_keys(df, host, kind).withColumn("seq", F.col("path")), out, dealt=True)
+    lines = spark.read.text(out).select("host_key", "type_key", "value", F.col("_metadata.file_name").alias("name"),
+                                        F.monotonically_increasing_id().alias("line")).collect()
+    got, want = {}, {}
+    for r in sorted(lines, key=lambda r: (r["name"], r["line"])):
+        got.setdefault((r["host_key"], r["type_key"]), []).append(r["value"])
+    for name in sorted(names):
+        h, k, _ = name.split("/")
+        want.setdefault((h.replace(".", "-"), k.replace(".", "-")), []).append(name)
+    assert got == want and len({r["name"] for r in lines}) > 20
+    # a root that the file source reads is dealt by the same order
+    both = [r["path"] for r in scan_scripts(spark, [f"{root}/c/*", f"{root}/a.b"], order=[F.col("path")]).collect()]
+    assert both == sorted(both) and len(both) == 160
+
+
+def test_scripts_join_no_labels_unless_they_repeat(spark):
+    """The corpus needs no join with labels that are unique; labels that
+    repeat (or are null) give the rows of the view."""
+
+    docs = spark.createDataFrame([(i, f"text {i}", "en", f"src{i % 2}") for i in range(1, 9)] + [(None, "n", "en", "src0")],
+                                 "doc_id long, text string, lang string, source string")
+    for ids, joins in (([1, 2, 5, None, None], False), ([1, 2, 2, None], True)):
+        fx = Fixtures(spark, "none")
+        fx._frames = {"documents": docs, "labels": spark.createDataFrame([(i, 1, 0) for i in ids],
+                                                                         "doc_id long, quality int, toxic int")}
+        got, view = _script_files(fx), fx["fx_script_files"]
+        assert ("Join" in got._jdf.queryExecution().optimizedPlan().toString()) == joins
+        assert sorted(map(str, got.collect())) == sorted(map(str, view.collect()))
+
+
 def test_ledger_commit_protocol(spark):
     import datetime
 
