@@ -618,6 +618,28 @@ def test_routing_is_dealt_by_pairs_whatever_the_files(spark):  # J1
         spark.conf.unset("spark.revledger.taskPairs")
 
 
+def test_routed_rows_come_in_blocks(spark):  # J1
+    """A table of all pairs is small on disk: rows of one descriptor come one
+    after another for a block of hosts, not one for each host in turn."""
+    hosts = [(i % 380, [None, "x", "y", "none"][i % 4]) for i in range(400)] + [(None, "x"), (None, None)]
+    descr = [(t, i) for i in range(60) for t in ("x", "x", "y", None, "z")]
+    h = spark.createDataFrame(hosts, "host_id int, host_type string")
+    d = spark.createDataFrame(descr, "schemas_type string, k int")
+    spark.conf.set("spark.revledger.taskPairs", "6000")
+    try:
+        out = routing.route(h, d)
+        assert out.columns == ["host_id", "host_type", "k"]
+        got = out.withColumn("p", F.spark_partition_id()).withColumn("n", F.monotonically_increasing_id())
+        got = sorted(got.collect(), key=lambda r: r["n"])
+    finally:
+        spark.conf.unset("spark.revledger.taskPairs")
+    assert srt((r["host_id"], r["host_type"], r["k"]) for r in got) == srt(
+        (i, t, k) for i, t in hosts for u, k in descr if t is not None and t == u)
+    runs = 1 + sum((a["host_type"], a["k"]) != (b["host_type"], b["k"]) for a, b in zip(got, got[1:]))
+    assert len(got) == 60 * (2 * 101 + 100) and runs <= len(got) / 25
+    assert max(map([r["p"] for r in got].count, {r["p"] for r in got})) <= 4 * 6000
+
+
 def _numbered(hosts, typed, own):
     """The plan of every host id, laid out and counted row by row."""
     plans = {}
