@@ -665,6 +665,15 @@ def test_plans_numbered_by_type_are_those_numbered_by_host(spark, with_own):  #
     assert rows(out, "host_id", "phase_no", "pos", "item", "fragment_no") == _numbered(hosts, typed, own)
 
 
+@pytest.mark.parametrize("with_own", [False, True])
+def test_plans_numbered_in_blocks_are_those_numbered_by_host(spark, with_own):  # U3, W2
+    spark.conf.set("spark.revledger.taskPairs", "3")
+    try:
+        test_plans_numbered_by_type_are_those_numbered_by_host(spark, with_own)
+    finally:
+        spark.conf.unset("spark.revledger.taskPairs")
+
+
 def test_fragment_numbers_shuffles_no_routed_row(spark):  # W2
     hosts = spark.createDataFrame([(i, "t") for i in range(30)], "host_id int, host_type string")
     typed = spark.createDataFrame([("t", 0, i) for i in range(30)], "schemas_type string, phase_no int, pos int")
