@@ -606,6 +606,72 @@ def test_table_scope_drops_what_was_written_inside(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "result")).count() == 5 and before.count() == 3
 
 
+def test_what_was_shuffled_for_a_written_table_goes_with_it(spark):
+    import time
+
+    from revledger.session import shuffles_dropped, written
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.endswith(".data")}
+
+    had = shuffled()
+    df = spark.range(20_000).select(F.xxhash64("id").alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    out = written(df)
+    end = time.time() + 20
+    while shuffled() - had and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled() - had
+    assert out.count() == df.count() == 20_000 and spark.conf.get(name, None) == before
+    with pytest.raises(ZeroDivisionError), shuffles_dropped(spark):
+        1 / 0
+    assert spark.conf.get(name, None) == before
+
+
+def test_long_lists_are_kept_once_for_their_rows(spark, tmp_path):  # T2
+    """Rows of many keys with a long list each: the table holds a list a few
+    times, not once a row, however the rows came."""
+    import os
+
+    from revledger.session import written
+    texts = [("".join(chr(97 + (i * 7919 + j * j * 31 + j * 17) % 26) for j in range(300_000)), str(i)) for i in range(8)]
+    lists = spark.createDataFrame(texts, "names string, t string").unionByName(
+        spark.createDataFrame([("", "empty"), (None, "null")], "names string, t string"))
+    ids = spark.range(2000)
+    data = written(ids.select("id", F.when(F.col("id") % 11 < 8, (F.col("id") % 11).cast("string")).when(
+        F.col("id") % 11 == 8, "empty").when(F.col("id") % 11 == 9, "unlisted").alias("k")).repartition(2))
+    plain = data.join(lists, F.col("k") == F.col("t"), "left")
+    out = routing.with_lists(data, lists, F.col("k") == F.col("t"), "names", ["k", "id"])
+
+    def short(df):
+        return rows(df.select("id", "k", "t", F.md5("names").alias("m")), "id", "k", "t", "m")
+    assert short(out) == short(plain)
+    out.write.parquet(str(tmp_path / "out"))
+    size = sum(os.path.getsize(tmp_path / "out" / f) for f in os.listdir(tmp_path / "out"))
+    assert size < 40 * 300_000  # 1455 rows have one
+
+
+def test_entries_of_a_hop_count_once_however_often_they_are_listed(spark):  # J4
+    ways = spark.createDataFrame([(a, 1, 3, "unique", 2, 1, [(2, 1), (3, 2)]) for a in (7, 8)],
+                                 "application int, from_rev int, target_rev int, status string, length int, n_paths int, "
+                                 "way array<struct<to_rev:int,from_rev:int>>")
+    entries = spark.createDataFrame(
+        [(7, "a", 2, [1, 1, None]), (7, "a", 2, [1]), (7, "b", 3, [2]), (7, "c", 3, [2, 1]), (8, None, 2, [1]), (8, "d", 3, [])],
+        "application int, migration_id string, to_rev int, compatible array<int>")
+    out = graph.hop_entries(ways, entries, F.lit("main"))
+    assert rows(out, "application", "hop_no", "status", "migration_id") == srt([
+        (7, 1, "ok", "a"), (7, 2, "non_unique", None), (8, 1, "missing", None), (8, 2, "missing", None)])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = graph.hop_entries(ways, entries, F.lit("main"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange") <= 2  # the entries once, the hops once
+
+
 def test_routing_is_dealt_by_pairs_whatever_the_files(spark):  # J1
     hosts = spark.createDataFrame([(i, f"t{i % 2}") for i in range(40)], "host_id int, host_type string").coalesce(1)
     descr = spark.createDataFrame([(f"t{i % 2}", i) for i in range(50)], "schemas_type string, k int").coalesce(1)
